@@ -113,7 +113,7 @@ def encode_topics(state: DataFrame, write_time, observed_only: bool = False,
     return (
         state.withColumn("slice", slice_no)
         .groupBy("topic", "slice", *versions)
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"), observed.alias("observed"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"), observed.alias("observed"))
         .where("observed")
         .select(
             F.col("topic").alias("key"),

@@ -233,7 +233,7 @@ def topic_documents(state: DataFrame, as_of, prefix=None, search=None, regex: bo
         partitions_of(named)
         .withColumn("slice", F.floor(F.col("partition") / F.lit(slice_width)))
         .groupBy(F.col("topic").alias("name"), "slice")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(
             F.struct(F.col("partition").cast("string").alias("key"), part.alias("value"))))).alias("partitions"))
     )
 

@@ -68,6 +68,8 @@ def read_topic_view(spark: SparkSession, path: str) -> DataFrame:
 
 # -- merged topic view in the state store -----------------------------------------------
 
+_INPUT = ["seq", "tombstone", "partition", *PARTITION_FIELDS]
+_SCANNED_AT = PARTITION_FIELDS.index("scanned_at")
 _CHANGE = T.StructType([f for f in STATE if f.name != "last_update"] + [T.StructField("deleted", T.BooleanType())])
 
 
@@ -80,40 +82,42 @@ class TopicMerge(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         topic = key[0]
-        batch = pd.concat(list(rows), ignore_index=True)
-        tombstones = batch.loc[batch["tombstone"], "seq"]
+        # Keys are many and small, so plain tuples in arrival order beat frame operations.
+        arrived = sorted(row for frame in rows for row in frame[_INPUT].itertuples(index=False, name=None))
+        start = 1 + max((i for i, row in enumerate(arrived) if row[1]), default=-1)
         removed: set[int] = set()
-        if len(tombstones):
-            removed = {k[0] for k in self._partitions.keys()}
+        if start:
+            removed = {int(k[0]) for k in self._partitions.keys()}
             self._partitions.clear()
-            batch = batch[batch["seq"] > tombstones.max()]
-        batch = batch[~batch["tombstone"] & batch["partition"].notna()]
-        fresh = batch.sort_values(["scanned_at", "seq"]).drop_duplicates("partition", keep="last")
+        fresh: dict[int, tuple] = {}
+        for row in arrived[start:]:
+            partition, fields = row[2], row[3:]
+            if partition not in fresh or fields[_SCANNED_AT] >= fresh[partition][_SCANNED_AT]:
+                fresh[partition] = fields
         changed = []
-        for row in fresh.itertuples(index=False):
-            partition = (int(row.partition),)
-            held = self._partitions.getValue(partition)
-            scanned_at = PARTITION_FIELDS.index("scanned_at")
-            if held is None or row.scanned_at >= held[scanned_at]:
-                fields = (int(row.offset), int(row.timestamp), bool(row.is_empty), int(row.scanned_at),
-                          int(row.message_count))
-                self._partitions.updateValue(partition, fields)
-                changed.append((topic, partition[0], *fields, False))
-            removed.discard(partition[0])
-        gone = [(topic, partition, None, None, None, None, None, True) for partition in sorted(removed)]
-        if changed or gone:
-            out = pd.DataFrame(changed + gone, columns=_CHANGE.names)
-            integers = {name: "Int64" for name in ("offset", "timestamp", "scanned_at", "message_count")}
-            yield out.astype({**integers, "partition": "Int32", "is_empty": "boolean"})
+        for partition, fields in fresh.items():
+            held = None if start else self._partitions.getValue((partition,))
+            if held is None or fields[_SCANNED_AT] >= held[_SCANNED_AT]:
+                self._partitions.updateValue((partition,), fields)
+                changed.append((topic, partition, *fields, False))
+        if changed:
+            yield pd.DataFrame(changed, columns=_CHANGE.names)
+        gone = sorted(removed - fresh.keys())
+        if gone:
+            yield pd.DataFrame([(topic, partition, 0, 0, False, 0, 0, True) for partition in gone],
+                               columns=_CHANGE.names)
 
     def close(self) -> None:
         pass
 
 
 def topic_changes(changelog: DataFrame, salts: int = 16) -> DataFrame:
-    """Stream of changed partition rows; ``deleted`` marks those a tombstone removed."""
+    """Stream of changed partition rows; ``deleted`` marks those a tombstone removed.
+
+    No column of the input is ever null, so that integers stay exact in pandas.
+    """
     records = decode(changelog).where(F.col("instance_id").isNull() & F.col("is_valid"))
-    zero = F.lit(None).cast(_ROW)
+    zero = F.struct(*[F.lit(False if f.name == "is_empty" else 0).cast(f.dataType).alias(f.name) for f in _ROW])
     # A tombstone reaches every salt of its topic, a record only those of its partitions.
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     rows = F.when(F.col("is_tombstone"), F.transform(every_salt, lambda s: F.struct(
