@@ -6,12 +6,15 @@ Two folds exist on purpose.  Replay *replaces* what a key held; the live merge w
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quietlog.operators.codec import decode, heartbeat_fields, partition_rows
-from quietlog.schema import PARTITION_FIELDS, STATE_COLUMNS
+from quietlog.schema import PARTITION_FIELDS, STATE, STATE_COLUMNS
 from quietlog.sources.tables import materialise
 
 _TOMBSTONE_SLICE = -1
+# A partition row without its topic.
+ROW = T.StructType([f for f in STATE if f.name not in ("topic", "last_update")])
 
 
 def arrival(moved_keys: bool = False) -> Column:
@@ -25,17 +28,19 @@ def arrival(moved_keys: bool = False) -> Column:
     return F.col("offset")
 
 
-def _kept_per_key(records: DataFrame, payload: Column, moved_keys: bool) -> DataFrame:
-    """The last record of every (key, slice) that no later tombstone of the key clears.
+def _kept_per_key(records: DataFrame, payload: str, moved_keys: bool) -> DataFrame:
+    """The last valid record of every (key, slice) that no later tombstone of the key clears.
 
-    Partial aggregation keeps one record per (key, slice) and task before the shuffle.
+    ``records`` has key, slice, seq (null on malformed records, which then lose without
+    a filter that would parse the value once more) and ``payload``.  Partial aggregation
+    keeps one record per (key, slice) and task before the shuffle.
     """
     last = records.groupBy("key", "slice").agg(
-        F.max_by(payload, arrival(moved_keys)).alias("payload"), F.max(arrival(moved_keys)).alias("seq"))
+        F.max_by(payload, F.col("seq")).alias("payload"), F.max("seq").alias("seq"))
     cleared_at = F.max(F.when(F.col("slice") == _TOMBSTONE_SLICE, F.col("seq"))).over(Window.partitionBy("key"))
     return (
         last.withColumn("cleared_at", cleared_at)
-        .where((F.col("slice") != _TOMBSTONE_SLICE)
+        .where((F.col("slice") != _TOMBSTONE_SLICE) & F.col("seq").isNotNull()
                & (F.col("cleared_at").isNull() | (F.col("seq") > F.col("cleared_at"))))
     )
 
@@ -46,11 +51,12 @@ def replay_topics(changelog: DataFrame, load_time: int, moved_keys: bool = False
     The raw value travels through the aggregation and only the surviving records are
     expanded to partitions.  ``last_update`` is the load time.
     """
-    records = decode(changelog).where(F.col("instance_id").isNull() & F.col("is_valid")).select(
-        "key", "value", "partition", "offset", "timestamp",
+    records = decode(changelog).where(F.col("instance_id").isNull()).select(
+        "key", "value",
+        F.when(F.col("is_valid"), arrival(moved_keys)).alias("seq"),
         F.when(F.col("is_tombstone"), F.lit(_TOMBSTONE_SLICE))
         .otherwise(F.coalesce(F.col("topic_record.slice"), F.lit(0))).alias("slice"))
-    kept = _kept_per_key(records, F.col("value"), moved_keys)
+    kept = _kept_per_key(records, "value", moved_keys)
     expanded = (
         decode(kept.select("key", F.col("payload").alias("value")))
         .select(F.col("key").alias("topic"), F.explode_outer(partition_rows(F.col("topic_record"))).alias("row"))
@@ -60,35 +66,48 @@ def replay_topics(changelog: DataFrame, load_time: int, moved_keys: bool = False
 
 def replay_heartbeats(changelog: DataFrame, moved_keys: bool = False) -> DataFrame:
     """The last valid heartbeat of every instance without a later tombstone."""
-    records = decode(changelog).where(F.col("instance_id").isNotNull() & F.col("is_valid")).withColumn(
-        "slice", F.when(F.col("is_tombstone"), F.lit(_TOMBSTONE_SLICE)).otherwise(F.lit(0)))
-    kept = _kept_per_key(
-        records, F.struct("instance_id", F.col("heartbeat").alias("body")), moved_keys)
+    records = decode(changelog).where(F.col("instance_id").isNotNull()).select(
+        "key",
+        F.struct("instance_id", F.col("heartbeat").alias("body")).alias("payload"),
+        F.when(F.col("is_valid"), arrival(moved_keys)).alias("seq"),
+        F.when(F.col("is_tombstone"), F.lit(_TOMBSTONE_SLICE)).otherwise(F.lit(0)).alias("slice"))
+    kept = _kept_per_key(records, "payload", moved_keys)
     return kept.select(*heartbeat_fields(F.col("payload.body"), F.col("payload.instance_id")))
 
 
-def alive_rows(records: DataFrame, cleared: DataFrame, seq: Column) -> DataFrame:
+def last_tombstones(changelog: DataFrame, seq: Column) -> DataFrame:
+    """(key, cleared_at) of every key that was ever deleted."""
+    return changelog.where(F.col("value").isNull()).groupBy("key").agg(F.max(seq).alias("cleared_at"))
+
+
+def alive_rows(changelog: DataFrame, cleared: DataFrame, seq: Column) -> DataFrame:
     """Partition rows of the valid topic records that come after their last tombstone.
 
-    ``records`` are decoded and ``cleared`` is (key, cleared_at).  A record without
-    partitions gives one row with a null partition.
+    ``cleared`` is (key, cleared_at).  Each record also gives one marker row with a null
+    partition, from which the last record of the topic follows.  Malformed records give
+    no row; they are dropped after the expansion, so that no value is parsed twice.
     """
-    written_at = F.coalesce(F.col("topic_record.timestamp"), F.lit(0))
-    return (
-        records.where(F.col("instance_id").isNull() & F.col("is_valid") & ~F.col("is_tombstone"))
+    pending = (
+        changelog.where(F.col("value").isNotNull())
         .join(cleared, "key", "left")
         .where(F.col("cleared_at").isNull() | (seq > F.col("cleared_at")))
+    )
+    record = F.col("topic_record")
+    rows = F.concat(
+        F.array(F.struct(F.lit(True).alias("is_marker"), F.lit(None).cast(ROW).alias("row"))),
+        F.transform(F.coalesce(partition_rows(record), F.array().cast(T.ArrayType(ROW))),
+                    lambda r: F.struct(F.lit(False).alias("is_marker"), r.alias("row"))))
+    return (
+        decode(pending)
+        .where(F.col("instance_id").isNull())
         .select(F.col("key").alias("topic"), seq.alias("seq"),
-                F.struct(seq.alias("seq"), written_at.alias("written_at")).alias("last_record"),
-                F.explode_outer(partition_rows(F.col("topic_record"))).alias("row"))
+                F.struct(seq.alias("seq"), F.coalesce(record["timestamp"], F.lit(0)).alias("written_at")).alias("last_record"),
+                F.explode_outer(F.when(F.col("is_valid"), rows)).alias("entry"))
+        .where(F.col("entry").isNotNull())
+        .select("topic", "entry.row", "seq", "last_record")
     )
 
 
-def last_tombstones(changelog: DataFrame, seq: Column) -> DataFrame:
-    """(key, cleared_at) of every key that was ever deleted."""
-    return changelog.where(F.col("value").isNull()).groupBy("key").agg(F.max(seq).alias("cleared_at"))
-
-
 def fold_alive(alive: DataFrame) -> DataFrame:
     """The fresher row of every (topic, partition): higher ``scanned_at``, then later."""
     return alive.groupBy("topic", F.col("row.partition").alias("partition")).agg(
@@ -99,11 +118,8 @@ def fold_alive(alive: DataFrame) -> DataFrame:
 
 def folded_state(folded: DataFrame) -> DataFrame:
     """State table of folded rows; a marker has the write time of the topic's last record."""
-    partitions = folded.where(F.col("row.partition").isNotNull()).select(
-        "topic", "row.*", F.lit(None).cast("bigint").alias("last_update"))
-    markers = folded.groupBy("topic").agg(F.max("last_record").alias("last_record")).select(
-        "topic", F.col("last_record.written_at").alias("last_update"))
-    return partitions.unionByName(markers, allowMissingColumns=True).select(*STATE_COLUMNS)
+    update = F.when(F.col("row.partition").isNull(), F.col("last_record.written_at"))
+    return folded.select("topic", "row.*", update.alias("last_update")).select(*STATE_COLUMNS)
 
 
 def merge_topics(changelog: DataFrame, moved_keys: bool = False) -> DataFrame:
@@ -111,7 +127,7 @@ def merge_topics(changelog: DataFrame, moved_keys: bool = False) -> DataFrame:
     seq = arrival(moved_keys)
     # Few topics are ever deleted; the frame is written out so that the join knows its size.
     cleared = materialise(last_tombstones(changelog, seq), "tombstones")
-    return folded_state(fold_alive(alive_rows(decode(changelog), cleared, seq)))
+    return folded_state(fold_alive(alive_rows(changelog, cleared, seq)))
 
 
 def merge_states(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -22,15 +22,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from quietlog.operators.codec import decode, heartbeat_fields, partition_rows
 from quietlog.operators.instances import with_liveness
-from quietlog.operators.replay import alive_rows, fold_alive, folded_state, last_tombstones
+from quietlog.operators.replay import ROW, alive_rows, fold_alive, folded_state, last_tombstones
 from quietlog.schema import HEARTBEAT, PARTITION_FIELDS, STATE
 from quietlog.sources.tables import materialise
 from quietlog.streaming.sinks import last_batch_id, latest_updates, read_batch, write_batch
 
-_ROW = T.StructType([f for f in STATE if f.name not in ("topic", "last_update")])
 _FOLDED = T.StructType([
     T.StructField("topic", T.StringType()),
-    T.StructField("row", _ROW),
+    T.StructField("row", ROW),
     T.StructField("seq", T.LongType()),
     T.StructField("last_record", T.StructType([
         T.StructField("seq", T.LongType()), T.StructField("written_at", T.LongType())])),
@@ -48,7 +47,7 @@ def _fold_batch(previous: DataFrame, batch: DataFrame) -> DataFrame:
     seq = F.col("offset")
     cleared = materialise(last_tombstones(batch, seq), "tombstones")
     kept = previous.join(cleared.select(F.col("key").alias("topic")), "topic", "left_anti")
-    return fold_alive(kept.unionByName(alive_rows(decode(batch), cleared, seq).select(*_FOLDED.names)))
+    return fold_alive(kept.unionByName(alive_rows(batch, cleared, seq)))
 
 
 def topic_view_tables(changelog: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -116,8 +115,8 @@ def topic_changes(changelog: DataFrame, salts: int = 16) -> DataFrame:
 
     No column of the input is ever null, so that integers stay exact in pandas.
     """
-    records = decode(changelog).where(F.col("instance_id").isNull() & F.col("is_valid"))
-    zero = F.struct(*[F.lit(False if f.name == "is_empty" else 0).cast(f.dataType).alias(f.name) for f in _ROW])
+    records = decode(changelog).where(F.col("instance_id").isNull())
+    zero = F.struct(*[F.lit(False if f.name == "is_empty" else 0).cast(f.dataType).alias(f.name) for f in ROW])
     # A tombstone reaches every salt of its topic, a record only those of its partitions.
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     rows = F.when(F.col("is_tombstone"), F.transform(every_salt, lambda s: F.struct(
@@ -126,8 +125,9 @@ def topic_changes(changelog: DataFrame, salts: int = 16) -> DataFrame:
             F.pmod(r["partition"], F.lit(salts)).alias("salt"), r.alias("row"))))
     keyed = records.select(
         F.col("key").alias("topic"), F.col("offset").alias("seq"), F.col("is_tombstone").alias("tombstone"),
-        F.explode(rows).alias("entry"),
-    ).select("topic", "entry.salt", "seq", "tombstone", "entry.row.*")
+        # Malformed records are dropped after the expansion, so that no value is parsed twice.
+        F.explode_outer(F.when(F.col("is_valid"), rows)).alias("entry"),
+    ).where(F.col("entry").isNotNull()).select("topic", "entry.salt", "seq", "tombstone", "entry.row.*")
     return keyed.groupBy("topic", "salt").transformWithStateInPandas(
         TopicMerge(), _CHANGE, "Update", "None")
 
@@ -152,10 +152,10 @@ def heartbeat_changes(changelog: DataFrame) -> DataFrame:
     A native streaming aggregation, partial before the shuffle; malformed records do
     not take part, so the older heartbeat stays.
     """
-    records = decode(changelog).where(F.col("instance_id").isNotNull() & F.col("is_valid"))
+    records = decode(changelog).where(F.col("instance_id").isNotNull())
     return records.groupBy("instance_id").agg(
-        F.max_by(F.struct("is_tombstone", "heartbeat"), F.col("offset")).alias("last")
-    ).select(F.col("last.is_tombstone").alias("deleted"),
+        F.max_by(F.struct("is_tombstone", "heartbeat"), F.when(F.col("is_valid"), F.col("offset"))).alias("last")
+    ).where(F.col("last").isNotNull()).select(F.col("last.is_tombstone").alias("deleted"),
              *heartbeat_fields(F.col("last.heartbeat"), F.col("instance_id")))
 
 

@@ -193,12 +193,12 @@ def sql() -> dict[str, str]:
 lt AS (SELECT topic, part, max(ts) AS ts, count(*) AS c FROM rec WHERE NOT starts_with(topic, '_') GROUP BY ALL),
 tt AS (SELECT topic AS name, CAST(count(*) AS INTEGER) AS partition_count, min(ts) AS oldest, max(ts) AS newest,
               CAST(sum(c) AS BIGINT) AS total,
-              CAST(count(*) FILTER (WHERE ({_AS_OF} - ts) // 86400 >= 7) AS BIGINT) AS stale FROM lt GROUP BY topic)
+              CAST(count(*) FILTER (WHERE ({_AS_OF} - ts) // 86400 >= 3) AS BIGINT) AS stale FROM lt GROUP BY topic)
 SELECT name, 'unused' AS status, false AS is_empty, 'no' AS empty, partition_count, stale AS stale_partitions,
        total AS total_message_count, {_age_text(f'{_AS_OF} - oldest')} AS oldest_partition_age,
        {_age_text(f'{_AS_OF} - newest')} AS newest_partition_age,
        CAST(({_AS_OF} - newest) // 86400 AS INTEGER) AS newest_days, newest AS last_update_unix
-FROM tt WHERE ({_AS_OF} - newest) // 86400 >= 10""",
+FROM tt WHERE ({_AS_OF} - newest) // 86400 >= 4""",
         "topic_listing": "SELECT topic, part AS partition, scan_time FROM listing",
         "listed_partition_counts":
             "SELECT topic, CAST(count(*) AS INTEGER) AS partition_count FROM listing WHERE n = 30 GROUP BY topic",

@@ -53,7 +53,7 @@ def _rows(state: DataFrame) -> DataFrame:
 # -- log and watermarks -------------------------------------------------------------------
 
 def unused_topics_from_log(spark, sf_dir):
-    return reports.list_report(_log_state(spark, sf_dir), AS_OF, unused_days=10)
+    return reports.list_report(_log_state(spark, sf_dir), AS_OF, stale_days=_STALE, unused_days=_UNUSED)
 
 
 def topic_listing(spark, sf_dir):
