@@ -137,20 +137,20 @@ def merge_states(current: DataFrame, incoming: DataFrame) -> DataFrame:
     ``last_update`` follows the incoming version where a topic has one.  Both sides
     hold unique keys, so the join spreads evenly.
     """
-    marker = F.coalesce("partition", F.lit(-1)).alias("partition")
-    fields = [*PARTITION_FIELDS, "last_update"]
-    old = current.select("topic", marker, F.struct(*fields).alias("old"))
-    new = incoming.select("topic", marker, F.struct(*fields).alias("new"))
-    take_new = F.col("old").isNull() | (
-        F.col("new").isNotNull()
-        & (F.coalesce("new.scanned_at", F.lit(0)) >= F.coalesce("old.scanned_at", F.lit(0))))
-    winner = F.when(take_new, F.col("new")).otherwise(F.col("old"))
-    merged = old.join(new, ["topic", "partition"], "full_outer").select(
-        "topic", F.nullif(F.col("partition"), F.lit(-1)).alias("partition"), winner.alias("row"),
-        F.col("new.last_update").alias("new_update"), F.col("old.last_update").alias("old_update"))
-    partitions = merged.where(F.col("partition").isNotNull()).select(
-        "topic", "partition", *[F.col(f"row.{name}").alias(name) for name in PARTITION_FIELDS],
-        F.lit(None).cast("bigint").alias("last_update"))
-    markers = merged.groupBy("topic").agg(
+    def side(state: DataFrame, name: str) -> DataFrame:
+        rows = state.where(F.col("partition").isNotNull())
+        return rows.select("topic", "partition", F.struct(*PARTITION_FIELDS).alias(name))
+
+    old, new = F.col("old"), F.col("new")
+    take_new = old.isNull() | (
+        new.isNotNull() & (F.coalesce(new["scanned_at"], F.lit(0)) >= F.coalesce(old["scanned_at"], F.lit(0))))
+    partitions = (
+        side(current, "old").join(side(incoming, "new"), ["topic", "partition"], "full_outer")
+        .select("topic", "partition", F.when(take_new, new).otherwise(old).alias("row"))
+        .select("topic", "partition", "row.*", F.lit(None).cast("bigint").alias("last_update"))
+    )
+    updates = current.select("topic", F.col("last_update").alias("old_update")).unionByName(
+        incoming.select("topic", F.col("last_update").alias("new_update")), allowMissingColumns=True)
+    markers = updates.groupBy("topic").agg(
         F.coalesce(F.max("new_update"), F.max("old_update")).alias("last_update"))
     return partitions.unionByName(markers, allowMissingColumns=True).select(*STATE_COLUMNS)

@@ -8,8 +8,6 @@ from pyspark.sql import SparkSession
 SQL_SETTINGS = {
     # Zone-free TIMESTAMP columns are read as UTC.
     "spark.sql.session.timeZone": "UTC",
-    # Deep pages fall back from an in-memory heap to an external sort.
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Stateful operators keep their state off the heap, with changelog checkpoints.

@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quietlog.arguments import Page, Thresholds
+from quietlog.operators.ordering import page_of, topic_order
 from quietlog.operators.rollup import topic_rollup
 from quietlog.plans import reports
 from quietlog.schema import STATE
@@ -65,6 +67,19 @@ def test_pages(spark):
     assert reports.list_topics(frame, NOW, limit=3).meta.first().has_more is True
 
 
+@pytest.mark.parametrize("sort_by", ["name", "age"])
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_deep_pages_equal_plain_pages(spark, sort_by, direction):
+    frame = state(spark, [(f"t{i % 40:02d}", 0, i % 7, False, 1) for i in range(40)])
+    topics = topic_rollup(frame)
+    order = topic_order(NOW, Thresholds.of(), sort_by, direction)
+    for number in (1, 2, 4, 5, 6, 7):
+        page = Page.of(number, 7)
+        plain = [(r.name, r.position) for r in page_of(topics, order, page).orderBy("position").collect()]
+        deep = [(r.name, r.position) for r in page_of(topics, order, page, deep_from=0).orderBy("position").collect()]
+        assert deep == plain and len(plain) == (0 if number == 7 else 7 if number < 6 else 5)
+
+
 def test_bad_arguments_raise_before_any_job(spark):
     frame = state(spark, [("a", 0, 1, False, 1)])
     for options in ({"page": 0}, {"limit": "x"}, {"stale_days": 9, "unused_days": 3}, {"search": "("}):
