@@ -16,7 +16,8 @@ def config_findings(configs: DataFrame, expected: Mapping[str, str] = EXPECTED_C
 
     A clean-up policy that is missing or lacks ``compact`` is an error, and a topic with
     the error gets no warnings.  The expected keys are pivoted to columns by one
-    aggregation, so no join takes place.
+    aggregation, so no join takes place.  A topic without any configuration row is not
+    seen; pass rows with null values to have it reported.
     """
     names = [_POLICY, *sorted(name for name in expected if name != _POLICY)]
     by_topic = configs.groupBy("topic").agg(*[

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quietlog.schema import CORRUPT, HEARTBEAT_KEY_PREFIX, HEARTBEAT_RECORD, TOPIC_RECORD
 
-SLICE_WIDTH = 10_000
+SLICE_WIDTH = 5_000
 _JSON_READ = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 _JSON_WRITE = {"ignoreNullFields": "true"}
 _INTEGER = r"^[+-]?[0-9]+$"

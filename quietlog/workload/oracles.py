@@ -177,11 +177,20 @@ merged AS (
   SELECT w.* FROM written w JOIN alive a ON w.topic = a.topic AND w.n = a.n WHERE w.part % 2 = w.n % 2
   QUALIFY row_number() OVER (PARTITION BY w.topic, w.part ORDER BY w.scanned_at DESC, w.n DESC) = 1)"""
 
-_MERGE_RESULT = _MERGE + """
-SELECT topic, part AS partition, off AS "offset", ts AS "timestamp", is_empty, scanned_at, cnt AS message_count,
-       CAST(NULL AS BIGINT) AS last_update FROM merged
+_AUDIT = """,
+p AS (SELECT topic, max(value) FILTER (WHERE name = 'cleanup.policy') AS policy FROM cfg GROUP BY topic),
+q AS (SELECT topic, policy, coalesce(list_contains(list_transform(string_split(policy, ','),
+             lambda x: lower(trim(x))), 'compact'), false) AS ok FROM p),
+want AS (SELECT * FROM (VALUES ('segment.ms', '104857600'), ('min.cleanable.dirty.ratio', '0.1'),
+                               ('retention.ms', '-1'), ('retention.bytes', '-1')) t(name, recommended)),
+findings AS (
+SELECT topic, 'cleanup.policy' AS name, 'error' AS severity,
+       CASE WHEN policy IS NULL THEN 'not set' ELSE 'not compacted' END AS problem, policy AS actual,
+       'compact' AS recommended FROM q WHERE NOT ok
 UNION ALL
-SELECT topic, NULL, NULL, NULL, NULL, NULL, NULL, CAST(1704067200 + max(n) * 86400 AS BIGINT) FROM alive GROUP BY topic"""
+SELECT q.topic, w.name, 'warning', CASE WHEN c.value IS NULL THEN 'not set' ELSE 'mismatch' END, c.value, w.recommended
+FROM q JOIN want w ON q.ok LEFT JOIN cfg c ON c.topic = q.topic AND c.name = w.name
+WHERE c.value IS NULL OR c.value <> w.recommended)"""
 
 _HISTORY = ("SELECT topic, part AS partition, epoch, scan_time, off AS offset, ts AS timestamp, is_empty, "
             "cnt AS message_count FROM hist")
@@ -328,7 +337,13 @@ FROM otopic JOIN parts ON name = topic WHERE contains(name, '-1')""",
 FROM ostate GROUP BY topic""",
         "changelog_encode_replay": _REPLAY + f"""
 SELECT {_STATE_COLUMNS}, CAST({_AS_OF} AS BIGINT) AS last_update FROM replayed""",
-        "changelog_merge": _MERGE_RESULT,
+        "changelog_merge": _MERGE + f"\nSELECT {_STATE_COLUMNS} FROM merged",
+        "changelog_merge_topics": _MERGE + """,
+last_alive AS (SELECT topic, max(n) AS n FROM alive GROUP BY topic)
+SELECT a.topic AS name, CAST(count(m.topic) AS INTEGER) AS partition_count,
+  CAST(coalesce(sum(m.cnt), 0) AS BIGINT) AS total_message_count,
+  CAST(1704067200 + max(a.n) * 86400 AS BIGINT) AS last_update
+FROM last_alive a LEFT JOIN merged m ON a.topic = m.topic GROUP BY a.topic""",
         "state_merge": _state(30, "cur") + _state(26, "inc") + """,
 both_sides AS (
   SELECT *, 0 AS side FROM cur WHERE (part + off) % 3 <> 0 UNION ALL SELECT *, 1 AS side FROM inc WHERE off % 5 <> 0)
@@ -349,30 +364,26 @@ ends AS (SELECT {_shard('topic', '0')} AS partition, off FROM recs UNION ALL SEL
 SELECT partition, max(off) + 1 AS next_offset FROM ends GROUP BY partition""",
         "heartbeat_liveness": """SELECT instance_id, last_heartbeat_at, heartbeat_interval_sec, 0 AS scan_interval_sec,
   group_id, assigned_shards, is_active FROM hb_live""",
-        "instance_prune": """SELECT 'tracker-instance:' || instance_id AS key, CAST(NULL AS VARCHAR) AS value
+        "instance_prune": """SELECT 'tracker-instance:' || instance_id AS key, true AS is_tombstone
 FROM hb_live WHERE NOT is_active""",
         "live_instances": "SELECT instance_id, group_id, assigned_shards FROM hb_live WHERE is_active",
         "active_instances": "SELECT count(*) AS active_instances FROM hb_live WHERE is_active",
         "shard_assign": f"SELECT topic, part AS partition, {_shard('topic', 'part')} AS shard FROM ostate",
         "shard_balance": f"""SELECT {_shard('topic', 'part')} AS shard, count(*) AS partitions
 FROM ostate GROUP BY 1""",
+        "shard_skew": f""",
+b AS (SELECT {_shard('topic', 'part')} AS shard, count(*) AS c FROM ostate GROUP BY 1)
+SELECT count(*) AS shards, min(c) AS min_partitions, max(c) AS max_partitions,
+       round(stddev_pop(c), 6) AS stddev_partitions FROM b""",
         "owned_partitions": f""",
 s AS (SELECT topic, part AS partition, {_shard('topic', 'part')} AS shard FROM ostate)
 SELECT * FROM s WHERE shard IN (2, 5)""",
         "topic_configs": "SELECT topic, name, value FROM cfg WHERE value IS NOT NULL AND name IN ('cleanup.policy', 'segment.ms')",
-        "config_audit": """,
-p AS (SELECT topic, max(value) FILTER (WHERE name = 'cleanup.policy') AS policy FROM cfg GROUP BY topic),
-q AS (SELECT topic, policy, coalesce(list_contains(list_transform(string_split(policy, ','),
-             lambda x: lower(trim(x))), 'compact'), false) AS ok FROM p),
-want AS (SELECT * FROM (VALUES ('segment.ms', '104857600'), ('min.cleanable.dirty.ratio', '0.1'),
-                               ('retention.ms', '-1'), ('retention.bytes', '-1')) t(name, recommended))
-SELECT topic, 'cleanup.policy' AS name, 'error' AS severity,
-       CASE WHEN policy IS NULL THEN 'not set' ELSE 'not compacted' END AS problem, policy AS actual,
-       'compact' AS recommended FROM q WHERE NOT ok
-UNION ALL
-SELECT q.topic, w.name, 'warning', CASE WHEN c.value IS NULL THEN 'not set' ELSE 'mismatch' END, c.value, w.recommended
-FROM q JOIN want w ON q.ok LEFT JOIN cfg c ON c.topic = q.topic AND c.name = w.name
-WHERE c.value IS NULL OR c.value <> w.recommended""",
+        "config_audit": _AUDIT + """
+SELECT topic, name, severity, problem, coalesce(actual, '') AS actual, recommended FROM findings
+WHERE topic IN (SELECT topic FROM cfg WHERE value IS NOT NULL)""",
+        "config_audit_summary": _AUDIT + """
+SELECT name, severity, problem, count(*) AS topics FROM findings GROUP BY ALL""",
         "stream_merge": _MERGE + f"\nSELECT {_STATE_COLUMNS} FROM merged",
         "stream_merge_tables": _MERGE + f"\nSELECT {_STATE_COLUMNS} FROM merged",
         "stream_heartbeats": """SELECT instance_id, last_heartbeat_at, heartbeat_interval_sec, 0 AS scan_interval_sec,

@@ -275,8 +275,18 @@ def changelog_encode_replay(spark, sf_dir):
     return replay.replay_topics(views.changelog(spark, sf_dir), AS_OF)
 
 
+def _partial_log(spark, sf_dir):
+    return materialise(views.changelog(spark, sf_dir, partial_writers=True), "changelog")
+
+
 def changelog_merge(spark, sf_dir):
-    return replay.merge_topics(materialise(views.changelog(spark, sf_dir, partial_writers=True), "changelog"))
+    return _rows(replay.merge_topics(_partial_log(spark, sf_dir)))
+
+
+def changelog_merge_topics(spark, sf_dir):
+    """Topics of the merged log, also those without partitions, with their last update."""
+    return rollup.topic_rollup(replay.merge_topics(_partial_log(spark, sf_dir))).select(
+        "name", "partition_count", "total_message_count", "last_update")
 
 
 def state_merge(spark, sf_dir):
@@ -310,7 +320,7 @@ def heartbeat_liveness(spark, sf_dir):
 
 def instance_prune(spark, sf_dir):
     expired = instances.expired_instances(replay.replay_heartbeats(_beat_log(spark, sf_dir)), AS_OF)
-    return codec.instance_tombstones(expired)
+    return codec.instance_tombstones(expired).select("key", F.col("value").isNull().alias("is_tombstone"))
 
 
 def live_instances(spark, sf_dir):
@@ -331,6 +341,10 @@ def shard_balance(spark, sf_dir):
     return ownership.shard_balance(views.order_state(spark, sf_dir))
 
 
+def shard_skew(spark, sf_dir):
+    return ownership.shard_skew(views.order_state(spark, sf_dir))
+
+
 def owned_partitions(spark, sf_dir):
     return ownership.owned_partitions(views.order_state(spark, sf_dir).select("topic", "partition"), [2, 5])
 
@@ -340,7 +354,14 @@ def topic_configs(spark, sf_dir):
 
 
 def config_audit(spark, sf_dir):
-    return audit.config_findings(views.topic_config(spark, sf_dir))
+    return audit.config_findings(configs.topic_configs(views.topic_config(spark, sf_dir))).withColumn(
+        "actual", F.coalesce("actual", F.lit("")))
+
+
+def config_audit_summary(spark, sf_dir):
+    """Findings by kind."""
+    return audit.config_findings(views.topic_config(spark, sf_dir)).groupBy("name", "severity", "problem").agg(
+        F.count(F.lit(1)).alias("topics"))
 
 
 # -- streams ----------------------------------------------------------------------------------
@@ -357,7 +378,7 @@ def _thirds(n) -> list:
 
 
 def _stream_topics(spark, sf_dir, start) -> str:
-    log = materialise(views.changelog(spark, sf_dir, partial_writers=True), "changelog")
+    log = _partial_log(spark, sf_dir)
     n = (F.unix_timestamp("timestamp") - F.lit(BASE)) / DAY
     source, out, checkpoint = (scratch_dir(spark, f"stream-{part}") for part in ("source", "out", "checkpoint"))
     _feed(log, _thirds(n), source, lambda: start(log_source.stream_table(spark, source), out, checkpoint))
@@ -459,6 +480,7 @@ QUERIES: dict[str, Query] = {
     "changelog_records": changelog_records,
     "changelog_encode_replay": changelog_encode_replay,
     "changelog_merge": changelog_merge,
+    "changelog_merge_topics": changelog_merge_topics,
     "state_merge": state_merge,
     "changelog_profile": changelog_profile,
     "resume_offsets": resume_offsets,
@@ -468,9 +490,11 @@ QUERIES: dict[str, Query] = {
     "active_instances": active_instances,
     "shard_assign": shard_assign,
     "shard_balance": shard_balance,
+    "shard_skew": shard_skew,
     "owned_partitions": owned_partitions,
     "topic_configs": topic_configs,
     "config_audit": config_audit,
+    "config_audit_summary": config_audit_summary,
     "stream_merge": stream_merge,
     "stream_merge_tables": stream_merge_tables,
     "stream_heartbeats": stream_heartbeats,
