@@ -59,7 +59,8 @@ def decode(changelog: DataFrame) -> DataFrame:
 def partition_rows(record: Column) -> Column:
     """The partition map of a topic record as an array of rows.
 
-    The map key is the partition number; absent fields read as 0 or false.
+    The map key is the partition number; absent fields read as 0 or false.  Should a
+    number occur twice (``0`` and ``00``), the last one counts.
     """
     def row(entry: Column) -> Column:
         body = entry["value"]
@@ -72,7 +73,14 @@ def partition_rows(record: Column) -> Column:
             F.coalesce(body["scanned_at"], zero).alias("scanned_at"),
             F.coalesce(body["message_count"], zero).alias("message_count"),
         )
-    return F.transform(F.map_entries(record["partitions"]), row)
+    rows = F.transform(F.map_entries(record["partitions"]), row)
+    numbers = F.transform(F.map_keys(record["partitions"]), lambda k: k.try_cast("int"))
+    repeated = F.size(F.array_distinct(numbers)) < F.size(numbers)
+
+    def is_last(entry: Column, i: Column) -> Column:
+        later = F.slice(rows, i + 2, F.greatest(F.size(rows) - i - 1, F.lit(0)))
+        return ~F.exists(later, lambda other: other["partition"] == entry["partition"])
+    return F.when(repeated, F.filter(rows, is_last)).otherwise(rows)
 
 
 def heartbeat_fields(heartbeat: Column, instance_id: Column) -> list[Column]:

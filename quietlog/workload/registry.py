@@ -39,7 +39,8 @@ def _log_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, sf_dir: str, n: int = 30) -> DataFrame:
-    return history.state_as_of(views.observation(spark, sf_dir), views.listing(spark, sf_dir), _at(n))
+    listing, observation = views.scans(spark, sf_dir)
+    return history.state_as_of(observation, listing, _at(n))
 
 
 def _at_scan(frame: DataFrame, n: int) -> DataFrame:
@@ -93,8 +94,8 @@ def observation_join(spark, sf_dir):
 # -- scans over time ----------------------------------------------------------------------
 
 def last_change_backfill(spark, sf_dir):
-    returns = history.topic_returns(views.listing(spark, sf_dir))
-    return history.last_change_history(views.observation(spark, sf_dir), returns)
+    listing, observation = views.scans(spark, sf_dir)
+    return history.last_change_history(observation, history.topic_returns(listing))
 
 
 def topic_epochs(spark, sf_dir):
@@ -111,7 +112,7 @@ def state_as_of_scan_with_deletions(spark, sf_dir):
 
 
 def _fold(spark, sf_dir, n):
-    listing, observation = views.listing(spark, sf_dir), views.observation(spark, sf_dir)
+    listing, observation = views.scans(spark, sf_dir)
     previous = materialise(history.state_as_of(observation, listing, _at(n - 1)), "state")
     return previous, _at_scan(listing, n), _at_scan(observation, n)
 
@@ -127,8 +128,9 @@ def deleted_topics(spark, sf_dir):
 
 
 def scan_counters(spark, sf_dir):
-    listing = _at_scan(views.listing(spark, sf_dir), 30)
-    return scan.scan_counters(listing, listing, _at_scan(views.observation(spark, sf_dir), 30))
+    listing, observation = views.scans(spark, sf_dir)
+    listed = _at_scan(listing, 30)
+    return scan.scan_counters(listed, listed, _at_scan(observation, 30))
 
 
 def scan_cycle_records(spark, sf_dir):
@@ -290,8 +292,9 @@ def changelog_merge_topics(spark, sf_dir):
 
 
 def state_merge(spark, sf_dir):
-    current = _state(spark, sf_dir).where((F.col("partition") + F.col("offset")) % 3 != 0)
-    incoming = _state(spark, sf_dir, 26).where(F.col("offset") % 5 != 0)
+    listing, observation = views.scans(spark, sf_dir)
+    current = history.state_as_of(observation, listing, _at(30)).where((F.col("partition") + F.col("offset")) % 3 != 0)
+    incoming = history.state_as_of(observation, listing, _at(26)).where(F.col("offset") % 5 != 0)
     return _rows(replay.merge_states(current, incoming))
 
 

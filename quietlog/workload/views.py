@@ -13,6 +13,7 @@ from quietlog.functions.sharding import shard
 from quietlog.operators.codec import encode_heartbeats, encode_topics
 from quietlog.operators.history import last_change_history, topic_epochs, topic_returns
 from quietlog.schema import DEFAULT_SHARDS
+from quietlog.sources.tables import materialise
 
 BASE = 1704067200
 DAY = 86400
@@ -89,11 +90,11 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "topic", "partition", scan_time(F.col("n")).alias("scan_time"))
 
 
-def observation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Watermarks of the listed partitions at every scan, with 7 days of retention.
+def scan_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed partitions at every scan with their watermarks, after 7 days of retention.
 
     Record counts per day are added up over range frames, so each window holds a
-    partition's days and never its records.
+    partition's days and never its records.  ``asked`` is false where an answer is missing.
     """
     counts = _daily_counts(spark, sf_dir).withColumn("listed", F.lit(False))
     grid = _grid(spark, sf_dir).withColumn("records", F.lit(0).cast("bigint")).withColumn("listed", F.lit(True))
@@ -104,14 +105,26 @@ def observation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("records").over(by_day.rangeBetween(Window.unboundedPreceding, 0)).alias("latest0"),
         F.coalesce(F.sum("records").over(by_day.rangeBetween(Window.unboundedPreceding, -7)), F.lit(0)).alias("earliest0"),
     )
-    return cumulated.where(F.col("listed") & _is_listed() & ((user + 2 * n + part) % 53 != 0)).select(
-        "topic", "partition", scan_time(n).alias("scan_time"),
-        F.when((user + n) % 37 == 0, F.greatest(F.col("latest0") - 1, F.lit(0).cast("bigint")))
-        .otherwise(F.col("latest0")).alias("latest"),
-        F.when((user + n) % 31 != 0, F.col("earliest0")).alias("earliest"),
+    asked = (user + 2 * n + part) % 53 != 0
+    latest = F.when((user + n) % 37 == 0, F.greatest(F.col("latest0") - 1, F.lit(0).cast("bigint"))).otherwise(F.col("latest0"))
+    return cumulated.where(F.col("listed") & _is_listed()).select(
+        "topic", "partition", scan_time(n).alias("scan_time"), asked.alias("asked"),
+        F.when(asked, latest).alias("latest"),
+        F.when(asked & ((user + n) % 31 != 0), F.col("earliest0")).alias("earliest"),
     )
 
 
+def observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_frame(spark, sf_dir).where("asked").drop("asked")
+
+
+def scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(listing, observation) as tables, the way a scanner leaves them."""
+    table_of_scans = materialise(scan_frame(spark, sf_dir), "scans")
+    return (table_of_scans.select("topic", "partition", "scan_time"),
+            table_of_scans.where("asked").drop("asked"))
+
+
 def order_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as a state table: a topic per customer, two partitions each."""
     return (
@@ -203,7 +216,8 @@ def changelog(spark: SparkSession, sf_dir: str, partial_writers: bool = False) -
 
     With ``partial_writers`` the record of scan n has only the partitions of its parity.
     """
-    rows, tombstones = state_per_scan(observation(spark, sf_dir), listing(spark, sf_dir))
+    listings, observations = scans(spark, sf_dir)
+    rows, tombstones = state_per_scan(observations, listings)
     if partial_writers:
         mine = F.col("partition") % 2 == F.col("n") % 2
         rows = rows.withColumn("partition", F.when(mine, F.col("partition")))

@@ -60,6 +60,13 @@ def test_absent_fields_are_zero(spark):
     assert rows == {"t": {3: (0, 0, False, 0, 0), 4: (0, 0, False, 0, 0)}}
 
 
+def test_repeated_partition_numbers(spark):
+    value = '{"partitions":{"0":{"offset":1},"1":{"offset":2},"00":{"offset":3},"+1":{"offset":4},"0":{"offset":5}}}'
+    frame = log(spark, [("t", value)])
+    for rows in (folds.of_state(replay.replay_topics(frame, 1)), folds.of_state(replay.merge_topics(frame))):
+        assert {p: f[0] for p, f in rows["t"].items()} == {0: 5, 1: 4}
+
+
 @pytest.mark.parametrize("fold", [replay.replay_topics, None])
 def test_live_records(spark, fold):
     def topics(records):
