@@ -12,6 +12,7 @@ from quietlog.operators.ownership import owned_partitions
 from quietlog.operators.replay import replay_topics
 from quietlog.operators.scan import fold_scan
 from quietlog.schema import DEFAULT_SHARDS, STATE_COLUMNS
+from quietlog.sources.tables import materialise
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,9 @@ def scan_once(changelog: DataFrame, listing: DataFrame, observations: DataFrame,
     is to be written, when no listed partition is assigned; deleted topics are found
     against the full listing.
     """
-    return scan_state(replay_topics(changelog, scan_time), listing, observations, scan_time, assigned, shard_count)
+    # The replayed state takes part twice, so the log is read and parsed once.
+    previous = materialise(replay_topics(changelog, scan_time), "replayed-state")
+    return scan_state(previous, listing, observations, scan_time, assigned, shard_count)
 
 
 def scan_state(previous: DataFrame, listing: DataFrame, observations: DataFrame, scan_time: int,

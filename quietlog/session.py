@@ -25,14 +25,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_base: str | None = None
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
     Only where ``spark.checkpoint.dir`` is unset, as in local tests, is a local
     temporary folder used.
     """
+    global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quietlog-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        _local_base = _local_base or tempfile.mkdtemp(prefix="quietlog-")
+        base = _local_base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -51,7 +51,10 @@ def _fold_batch(previous: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def topic_view_tables(changelog: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Fold a changelog stream into state tables under ``path``, one version per batch."""
+    """Fold a changelog stream into state tables under ``path``, one version per batch.
+
+    A batch reads the version of the batch before it; older ones may be deleted.
+    """
     def fold(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         previous = read_batch(batch.sparkSession, path, batch_id - 1, _FOLDED)

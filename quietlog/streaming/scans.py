@@ -13,7 +13,7 @@ from quietlog.functions.names import is_system_topic
 from quietlog.functions.sharding import shard
 from quietlog.operators.codec import encode_topics, topic_tombstones
 from quietlog.operators.history import resume_scans
-from quietlog.schema import CHANGELOG, DEFAULT_SHARDS, STATE, STATE_COLUMNS
+from quietlog.schema import CHANGELOG, DEFAULT_SHARDS, STATE
 from quietlog.streaming.sinks import last_batch_id, read_batch, write_batch
 
 SCAN_ROW = T.StructType([
@@ -26,6 +26,9 @@ SCAN_ROW = T.StructType([
 ])
 
 
+_FLAGGED_STATE = T.StructType([*STATE, T.StructField("observed", T.BooleanType())])
+
+
 def scan_rows(listing: DataFrame, observations: DataFrame) -> DataFrame:
     """Listing and observations as rows of the scan stream."""
     answers = observations.select("topic", "partition", "scan_time", F.lit(True).alias("asked"), "latest", "earliest")
@@ -56,8 +59,9 @@ def start_scans(scans: DataFrame, state_path: str, changelog_path: str, checkpoi
                 **trigger) -> StreamingQuery:
     """Fold every micro-batch of scans into the next state table and changelog records.
 
-    A batch may hold several scans (catching up); they are folded in one pass.  Batches
-    never overlap, and ``availableNow`` gives the one-shot form.  The counters of A11
+    A batch may hold several scans (catching up); they are folded in one pass.  A batch
+    reads the state of the batch before it; older ones may be deleted.  Batches never
+    overlap, and ``availableNow`` gives the one-shot form.  The counters of A11
     are reported as the observed metrics ``scan`` of the query.
     """
     scans = scans.where(~is_system_topic(F.col("topic"))).observe(
@@ -76,10 +80,12 @@ def start_scans(scans: DataFrame, state_path: str, changelog_path: str, checkpoi
         else:
             listing = batch.select("topic", "partition", "scan_time")
             result = resume_scans(previous, listing, batch.where("asked"), first, last)
-            records = encode_topics(result.state, last, observed_only=True).select("key", "value").unionByName(
+            # The records are encoded from the written state, so the fold runs once.
+            write_batch(result.state, state_path, batch_id)
+            state = read_batch(spark, state_path, batch_id, _FLAGGED_STATE)
+            records = encode_topics(state, last, observed_only=True).select("key", "value").unionByName(
                 topic_tombstones(result.deleted))
             write_batch(_log_columns(records, last), changelog_path, batch_id)
-            write_batch(result.state.select(*STATE_COLUMNS), state_path, batch_id)
         batch.unpersist()
 
     return (scans.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)

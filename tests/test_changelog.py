@@ -266,3 +266,13 @@ def test_kafka_layout(spark):
 
 def test_utc_text(spark):
     assert spark.range(1).select(utc_text(F.lit(0)).alias("x")).first().x == "1970-01-01T00:00:00Z"
+
+
+def test_kafka_sources_reach_the_connector(spark):
+    """Without the connector on the class path the lookup of the source fails, not the options."""
+    frame = spark.createDataFrame([("k", "v")], "key string, value string")
+    for call in (lambda: log_source.from_kafka(spark, "host:1", "log", maxOffsetsPerTrigger="10"),
+                 lambda: log_source.stream_kafka(spark, "host:1", "log", '{"log":{"0":1}}'),
+                 lambda: log_source.append_to_kafka(frame, "host:1", "log")):
+        with pytest.raises(Exception, match="(?i)kafka"):
+            call()
