@@ -36,19 +36,21 @@ def topic_epochs(listing: DataFrame) -> DataFrame:
     )
 
 
-def topic_returns(listing: DataFrame) -> DataFrame:
+def returns_of(epochs: DataFrame) -> DataFrame:
     """(topic, returns): scan times at which deleted topics came back.
 
     Only recreated topics have a row and an array holds at most one entry per scan.
     The frame is written out so that joins know its size.
     """
-    returns = (
-        topic_epochs(listing).where("is_return").groupBy("topic")
-        .agg(F.sort_array(F.collect_list("scan_time")).alias("returns"))
-    )
+    returns = epochs.where("is_return").groupBy("topic").agg(F.sort_array(F.collect_list("scan_time")).alias("returns"))
     return materialise(returns, "topic-returns")
 
 
+def topic_returns(listing: DataFrame) -> DataFrame:
+    """``returns_of`` the epochs of a listing."""
+    return returns_of(topic_epochs(listing))
+
+
 def _epoch_at(time: Column) -> Column:
     return F.coalesce(F.array_size(F.filter("returns", lambda back: back <= time)), F.lit(0))
 
@@ -137,9 +139,7 @@ def resume_scans(previous: DataFrame, listing: DataFrame, observations: DataFram
     known = previous.select("topic").distinct().withColumn("scan_time", F.lit(before).cast("bigint"))
     # The epochs feed three small results, so they are written out once.
     epochs = materialise(topic_epochs(listing.select("topic", "scan_time").unionByName(known)), "topic-epochs")
-    returns = materialise(
-        epochs.where("is_return").groupBy("topic").agg(F.sort_array(F.collect_list("scan_time")).alias("returns")),
-        "topic-returns")
+    returns = returns_of(epochs)
     live = epochs.where(F.col("scan_time") == last_scan).select("topic", "epoch")
     gone = (
         epochs.where(F.col("epoch") == 0).groupBy("topic")

@@ -11,7 +11,7 @@ from quietlog.functions.ages import epoch_seconds
 from quietlog.functions.names import is_system_topic
 from quietlog.functions.sharding import shard
 from quietlog.operators.codec import encode_heartbeats, encode_topics
-from quietlog.operators.history import last_change_history, topic_epochs, topic_returns
+from quietlog.operators.history import last_change_history, returns_of, topic_epochs
 from quietlog.schema import DEFAULT_SHARDS
 from quietlog.sources.tables import materialise
 
@@ -184,10 +184,11 @@ def state_per_scan(observations: DataFrame, listings: DataFrame) -> tuple[DataFr
     Each answered row is valid until the next answer for its partition; it is repeated
     for the scans in between at which its topic was processed.
     """
-    returns = topic_returns(listings)
-    epochs = topic_epochs(listings).withColumn("n", scan_no(F.col("scan_time")))
+    epochs = materialise(topic_epochs(listings).withColumn("n", scan_no(F.col("scan_time"))), "epochs")
     by_scan = Window.partitionBy("topic", "partition", "epoch").orderBy("n")
-    history = last_change_history(observations, returns).withColumn("n", scan_no(F.col("scan_time")))
+    # Both are read several times below.
+    history = materialise(
+        last_change_history(observations, returns_of(epochs)).withColumn("n", scan_no(F.col("scan_time"))), "history")
     until = F.coalesce(F.lead("n").over(by_scan) - 1, F.lit(SCANS))
     filled = (
         history.withColumn("until", until)
