@@ -28,15 +28,32 @@ def prepare(spark: SparkSession) -> SparkSession:
 _local_base: str | None = None
 
 
+def _shared_base(spark: SparkSession) -> str:
+    """The cluster's shared folder: the setting, else the session's checkpoint directory."""
+    global _local_base
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder that all executors share; a folder of one machine would lose rows")
+    _local_base = _local_base or tempfile.mkdtemp(prefix="quietlog-")
+    return _local_base
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+    """A new folder below the cluster's shared folder.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in local tests, is a local
-    temporary folder used.
+    Only on a local master, with neither ``spark.checkpoint.dir`` nor a checkpoint
+    directory set, is a local temporary folder used.
     """
-    global _local_base
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        _local_base = _local_base or tempfile.mkdtemp(prefix="quietlog-")
-        base = _local_base
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{_shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch folder, through Spark's own file system layer."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

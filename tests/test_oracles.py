@@ -9,11 +9,12 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from quietlog.workload import oracles, registry
 from tests import compare
 
 SF = os.environ.get("QUIETLOG_SF", "0.001")
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = registry.queries()
+SQL = oracles.sql()
 DELETIONS = ["topic_epochs", "state_as_of_scan_with_deletions", "last_change_incremental", "deleted_topics",
              "scan_cycle_records", "changelog_encode_replay", "changelog_merge", "stream_scan"]
 STREAMS = [name for name in QUERIES if name.startswith("stream_")]
