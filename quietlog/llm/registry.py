@@ -5,7 +5,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quietlog.llm import chat, decontamination, fingerprints, oracles, packing, pii, quality, token_files, url_rules
+from quietlog.llm import chat, decontamination, embeddings, fingerprints, oracles, packing, pii, quality, token_files, url_rules
 from quietlog.llm.encoding import default_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op7_chat(spark, sf_dir):
     return chat.digests(chat.formatted(rows, default_file("byte_bpe_50k.json")))
 
 
+def op8_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii(spark, sf_dir):
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -70,7 +74,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_simhash, op2_token_files, op3_decontamination, op5_url_rules, op6_packing, op7_chat, op9_pii, op10_quality, pipeline]
+    named = [op1_simhash, op2_token_files, op3_decontamination, op5_url_rules, op6_packing, op7_chat, op8_embeddings, op9_pii, op10_quality, pipeline]
     return {f.__name__: f for f in named}
 
 
