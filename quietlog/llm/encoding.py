@@ -15,7 +15,7 @@ from quietlog.llm.common import ranges
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Distinct pieces that a worker keeps; the store starts anew when it is full.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 800_000
 #: Longer pieces are encoded one by one.
 LONG_PIECE = 200
 _MARK = "|"
@@ -49,7 +49,7 @@ class Encoder:
         self._start_over()
 
     def _start_over(self):
-        self.places = _Places()
+        self.places = Places()
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
         self.unsafe = np.zeros(1 << 16, bool)
@@ -141,19 +141,19 @@ class Encoder:
         return np.concatenate(parts) if parts else ids, counts
 
 
-class _Places(dict):
+class Places(dict):
     """Places of pieces; an unknown piece gets the next one."""
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
+    def __init__(self, first=()):
+        super().__init__((piece, place) for place, piece in enumerate(first))
+        self.new: list = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece) -> int:
         place = self[piece] = len(self)
         self.new.append(piece)
         return place
 
-    def take_new(self) -> list[str]:
+    def take_new(self) -> list:
         new, self.new = self.new, []
         return new
 

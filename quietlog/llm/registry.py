@@ -5,7 +5,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quietlog.llm import chat, decontamination, embeddings, fingerprints, oracles, packing, pii, quality, token_files, url_rules
+from quietlog.llm import chat, decontamination, embeddings, fingerprints, language_model, oracles, packing, pii, quality, token_files, url_rules
 from quietlog.llm.encoding import default_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op3_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_katz(spark, sf_dir):
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_url_rules(spark, sf_dir):
     index = url_rules.build(url_rules.rule_frame(spark, URL_RULES))
     return url_rules.judge(table(spark, sf_dir, "pages"), index).select("page_id", "host", "path", "rule", "verdict")
@@ -74,7 +78,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_simhash, op2_token_files, op3_decontamination, op5_url_rules, op6_packing, op7_chat, op8_embeddings, op9_pii, op10_quality, pipeline]
+    named = [op1_simhash, op2_token_files, op3_decontamination, op4_katz, op5_url_rules, op6_packing, op7_chat, op8_embeddings, op9_pii, op10_quality, pipeline]
     return {f.__name__: f for f in named}
 
 
