@@ -62,7 +62,7 @@ def _exact(sims: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> np.
     """Which similarities reach the threshold; those within rounding of it are computed anew, pair by pair."""
     result = sims >= cosine
     for k in np.flatnonzero(np.abs(sims - cosine) < 1e-9):
-        x, y = a[k], b[k]
+        x, y = a[k] / np.abs(a[k]).max(), b[k] / np.abs(b[k]).max()
         result[k] = float(x @ y) / (math.sqrt(float(x @ x)) * math.sqrt(float(y @ y))) >= cosine
     return result
 

@@ -59,8 +59,19 @@ def pieces(docs: DataFrame, file: str, end: int, sequence: int = SEQUENCE) -> Da
 def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[list[int], int]]:
     """(lengths of a sequence, how often) that use up the histogram.
 
+    Combinations of up to three, two or one lengths are tried, and the plan with the fewest
+    sequences is taken: where short pieces are scarce, exact fits can spend them too early.
+    """
+    plans = [plan_with(histogram, sequence, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def plan_with(histogram: dict[int, int], sequence: int, most: int) -> list[tuple[list[int], int]]:
+    """One plan with exact fills of up to ``most`` lengths.
+
     From the longest length on, a sequence's gap is filled exactly by one, two or three shorter lengths
-    that are still available: combinations are taken as often as all their lengths last.
+    that are still available: combinations are taken as often as all their lengths last, those of
+    similar lengths first, so that the shortest ones are kept for later gaps.
     What no combination fits exactly goes best fit, longest first, into open sequences.
     """
     left = {k: v for k, v in histogram.items() if v > 0}
@@ -79,7 +90,7 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[list
                     del left[x]
         return times > 0
 
-    for longest in sorted(left, reverse=True):
+    for longest in sorted(left, reverse=True) if most else ():
         gap = sequence - longest
         if gap == 0:
             if longest in left:
@@ -88,17 +99,21 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[list
         while longest in left:  # each pass takes a combination until one of its lengths is used up
             if longest >= gap and gap in left and take([longest, gap]):
                 continue
+            if most == 1:
+                break
             sizes = sorted(x for x in left if x <= min(gap - 1, longest))
             held = set(sizes)
-            if not any(gap - a in held and take([longest, a, gap - a]) for a in reversed(sizes) if 2 * a >= gap):
+            if not any(gap - a in held and take([longest, a, gap - a]) for a in sizes if 2 * a >= gap):
+                if most == 2:
+                    break
                 # pair sums of what is left, indexed by the sum
                 pairs = {}
                 for i, a in enumerate(sizes):
                     for b in sizes[i:]:
                         if a + b >= gap:
                             break
-                        pairs.setdefault(a + b, (b, a))
-                if not any(gap - a in pairs and take([longest, a, *pairs[gap - a]]) for a in reversed(sizes)):
+                        pairs[a + b] = (b, a)  # the last one is the most even
+                if not any(gap - a in pairs and take([longest, a, *pairs[gap - a]]) for a in sizes if 3 * a >= gap):
                     break
     open_gaps: list[int] = []  # sorted gaps of open groups of equal sequences
     groups: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
