@@ -166,7 +166,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """
     order = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    files = files.repartition("file")
+    files = files.repartition(max(1, manifest.count()), "file")  # a number of its own keeps small rows from being put together
 
     def run(batches):
         store, base = open_store(folder)
