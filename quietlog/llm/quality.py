@@ -80,9 +80,9 @@ class Model:
 
 
 def bent(rows: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Standardised features, each also as what lies one deviation above and below: too much and too little can both be bad."""
-    z = np.clip((rows - mean) / scale, -6, 6)
-    return np.concatenate([z, np.maximum(z - 1, 0), np.maximum(-z - 1, 0)], axis=1)
+    """Features in deviations of the positives, and how far each lies above and below what is usual there."""
+    z = (rows - mean) / scale
+    return np.concatenate([np.clip(z, -2, 2), np.log1p(np.maximum(z - 1, 0)), np.log1p(np.maximum(-z - 1, 0))], axis=1)
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
@@ -117,9 +117,7 @@ def _adam(slope, x, steps, rate, ridge):
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
     """Minimise the non-negative risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), logistic loss."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0)
-    scale = np.where(scale > 1e-6, scale, 1.0)
+    mean, scale = positive.mean(axis=0), np.maximum(positive.std(axis=0), 1e-3)
     p, u = bent(positive, mean, scale), bent(unlabelled, mean, scale)
     if prior is None:
         half = len(p) // 2, len(u) // 2  # the prior is read off rows that the telling model has not seen
@@ -144,7 +142,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
             g[n:] = -s[n:] / m
         return g
 
-    fitted = _adam(slope, x, 600, 0.02, 1e-3)
+    fitted = _adam(slope, x, 600, 0.05, 1e-3)
     return Model(mean, scale, fitted[:-1], float(fitted[-1]), prior)
 
 
