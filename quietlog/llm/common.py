@@ -16,12 +16,16 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def pack(values: np.ndarray) -> bytes:
-    """A numeric array as compressed bytes."""
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """A numeric array as compressed bytes, all first bytes of its numbers, then all second ones and so on."""
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype)
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

@@ -29,7 +29,7 @@ from quietlog.session import scratch_dir
 from quietlog.sources.tables import materialise
 
 #: Tokens of a block, about; tokens per bucket of words or pairs.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 3_000_000
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
@@ -90,16 +90,23 @@ BLOCKS = "block long, doc_ids binary, nulls binary, lengths binary, held binary,
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Written blocks of whole documents; a null text is an empty one."""
+    """Written blocks of whole documents; a null text is an empty one.
+
+    Local words are numbered in the order of their digests; the last token of a block is an end.
+    """
     def row(doc_ids, lengths, parts, places):
         words = list(places)
         held = np.array([x is not None and zlib.crc32(str(x).encode()) % 7 == 2 for x in doc_ids])
-        tokens = np.concatenate(parts).astype(np.int32)
+        digests = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+        order = np.argsort(digests, kind="stable")
+        number = np.empty(len(words), np.int32)
+        number[order] = np.arange(len(words))
+        tokens = number[np.concatenate(parts)]
         counts = np.bincount(tokens[~np.repeat(held, lengths)], minlength=len(words))
         values = [
             pack(np.array([x or 0 for x in doc_ids], np.int64)), pack(np.array([x is None for x in doc_ids], np.uint8)),
             pack(np.array(lengths, np.int64)), pack(held.astype(np.uint8)), pack(tokens),
-            pack(np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)), pack(counts.astype(np.int64))]
+            pack(np.diff(digests[order], prepend=np.uint64(0))), pack(counts.astype(np.int64))]
         return pa.RecordBatch.from_arrays(
             [*(pa.array([v], pa.binary()) for v in values), pa.array([len(tokens)], pa.int64())],
             ["doc_ids", "nulls", "lengths", "held", "tokens", "digests", "counts", "n"])
@@ -153,10 +160,9 @@ def word_answers(parts: DataFrame, buckets: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for block, digests, counts in zip(*(column(batch, c) for c in ("block", "digests", "counts"))):
-                digests, counts = unpack(digests, np.uint64), unpack(counts, np.int64)
-                bucket = (digests % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                for mine in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                digests, counts = np.cumsum(unpack(digests, np.uint64), dtype=np.uint64), unpack(counts, np.int64)
+                bucket = ((digests >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # in the order of the digests
+                for mine in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
                     yield _table((pa.int64(), pa.int64(), pa.binary(), pa.binary()), ["bucket", "block", "digests", "counts"],
                                  [(int(bucket[mine[0]]), block, pack(digests[mine]), pack(counts[mine]))])
 
@@ -188,13 +194,10 @@ def word_answers(parts: DataFrame, buckets: int) -> DataFrame:
         answer, "block long, bucket long, ids binary, totals binary, figures array<long>"), "lm-words")
 
 
-def _numbers(block: dict, rows: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Global number and training count of each local word of a block."""
-    bucket = (unpack(block["digests"], np.uint64) % np.uint64(buckets)).astype(np.int64)
-    ids, totals = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
-    for r in rows:
-        mine = np.flatnonzero(bucket == r["bucket"])
-        ids[mine], totals[mine] = unpack(r["a"], np.int32), unpack(r["b"], np.int64)
+def _numbers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Global number and training count of each local word of a block: the answers in bucket order are in local order."""
+    ids = np.concatenate([unpack(r["a"], np.int32) for r in rows]).astype(np.int64)
+    totals = np.concatenate([unpack(r["b"], np.int64) for r in rows])
     return np.where(totals > 0, ids, _UNKNOWN), totals
 
 
@@ -207,7 +210,7 @@ class _Pairs:
         first = np.cumsum(lengths) - lengths
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
-        before[first] = 0  # a text starts behind an end
+        before[first] = tokens[-1]  # a text starts behind an end
         self.tokens, self.lengths = tokens, lengths
         known = totals[before] > 0
         self.place = np.flatnonzero(known)  # tokens that have a pair
@@ -228,18 +231,18 @@ class _Pairs:
         return [(int(self.bucket[mine[0]]), mine) for mine in np.split(order, cuts) if len(mine)]
 
 
-_MOVED = "block long, kind int, bucket long, a binary, b binary, doc_ids binary, nulls binary, lengths binary, held binary, tokens binary, digests binary"
+_MOVED = "block long, kind int, bucket long, a binary, b binary, doc_ids binary, nulls binary, lengths binary, held binary, tokens binary"
 
 
 def _moved(parts: DataFrame, answers: list[tuple[int, DataFrame]]) -> DataFrame:
-    """Blocks and the answers to them, together and sorted: the block first."""
+    """Blocks and the answers to them, together and sorted: the block first; about one block per task."""
     none = F.lit(None).cast("binary")
     rows = parts.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("bucket"), none.alias("a"), none.alias("b"),
-                        "doc_ids", "nulls", "lengths", "held", "tokens", "digests")
+                        "doc_ids", "nulls", "lengths", "held", "tokens")
     for kind, frame in answers:
         rows = rows.union(frame.select("block", F.lit(kind).alias("kind"), "bucket", "a", "b", *(
-            none.alias(c) for c in ("doc_ids", "nulls", "lengths", "held", "tokens", "digests"))))
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket")
+            none.alias(c) for c in ("doc_ids", "nulls", "lengths", "held", "tokens"))))
+    return rows.repartition(max(1, parts.count()), "block").sortWithinPartitions("block", "kind", "bucket")
 
 
 def _figures(histories: np.ndarray, counts: np.ndarray, single: np.ndarray):
@@ -252,22 +255,22 @@ def _figures(histories: np.ndarray, counts: np.ndarray, single: np.ndarray):
     return unique, c, n, p
 
 
-def pair_answers(moved: DataFrame, words: Words, word_buckets: int, buckets: int) -> DataFrame:
+def pair_answers(moved: DataFrame, words: Words, buckets: int) -> DataFrame:
     """Written rows of four kinds: 1 answers to blocks, 2 the model's table, 3 figures of common histories, 4 counts of counts."""
     def ask(batches):
         for _, rows in _groups(batches, "block"):
             block = rows[0]
-            pairs = _Pairs(block, *_numbers(block, rows[1:], word_buckets), words, buckets)
+            pairs = _Pairs(block, *_numbers(rows[1:]), words, buckets)
             for bucket, mine in pairs.parts():
                 yield _table((pa.int64(), pa.int64(), *(pa.binary(),) * 4), ["bucket", "block", "keys", "counts", "totals", "hot"], [(
-                    bucket, block["block"], pack(pairs.keys[mine]), pack(pairs.counts[mine].astype(np.int32)),
+                    bucket, block["block"], pack(np.diff(pairs.keys[mine], prepend=0)), pack(pairs.counts[mine].astype(np.int32)),
                     pack(pairs.follow_totals[mine]), pack(pairs.hot[mine].astype(np.uint8)))])
 
     def answer(batches):
         kinds = (pa.int32(), pa.int64(), pa.int64(), *(pa.binary(),) * 2, pa.list_(pa.int64()), pa.float64())
         names = ["kind", "block", "bucket", "a", "b", "figures", "mass"]
         for bucket, rows in _groups(batches, "bucket"):
-            keys = [unpack(r["keys"], np.int64) for r in rows]
+            keys = [np.cumsum(unpack(r["keys"], np.int64)) for r in rows]
             unique, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             counts = np.bincount(place, np.concatenate([unpack(r["counts"], np.int32) for r in rows]), len(unique)).astype(np.int64)
             totals = np.concatenate([unpack(r["totals"], np.int64) for r in rows])[first]
@@ -276,7 +279,7 @@ def pair_answers(moved: DataFrame, words: Words, word_buckets: int, buckets: int
             kept = counts > 0
             small = np.bincount(np.minimum(counts[kept], DISCOUNTED + 2), minlength=DISCOUNTED + 3)
             yield _table(kinds, names, [
-                (2, None, bucket, pack(unique[kept]), pack(counts[kept]), None, None),
+                (2, None, bucket, pack(np.diff(unique[kept], prepend=0)), pack(counts[kept]), None, None),
                 (4, None, bucket, None, None, [int(x) for x in small[:DISCOUNTED + 2]], None)])
             common = np.isin(histories, unique[hot] >> 32)
             if common.any():
@@ -314,12 +317,12 @@ def backoff(c: np.ndarray, n: np.ndarray, p: np.ndarray, discount: np.ndarray, u
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def evaluate(moved: DataFrame, words: Words, discount: np.ndarray, common: dict, word_buckets: int, buckets: int) -> DataFrame:
+def evaluate(moved: DataFrame, words: Words, discount: np.ndarray, common: dict, buckets: int) -> DataFrame:
     """Rows of scores, one per document."""
     def run(batches):
         for _, rows in _groups(batches, "block"):
             block = rows[0]
-            ids, totals = _numbers(block, [r for r in rows if r["kind"] == 1], word_buckets)
+            ids, totals = _numbers([r for r in rows if r["kind"] == 1])
             pairs = _Pairs(block, ids, totals, words, buckets)
             answers = {r["bucket"]: r for r in rows if r["kind"] == 2}
             counts = np.zeros(len(pairs.keys), np.int64)
@@ -372,7 +375,7 @@ def scores(docs: DataFrame) -> DataFrame:
     total, distinct, *n = vocabulary.where("block is null").agg(*sums).first()
     words = Words.of(total, distinct, [0, *n]) if total else Words(0, 0, np.ones(DISCOUNTED + 1), 1, 1.0)
     numbers = vocabulary.where("block is not null").select("block", "bucket", F.col("ids").alias("a"), F.col("totals").alias("b"))
-    found = pair_answers(_moved(parts, [(1, numbers)]), words, buckets, buckets)
+    found = pair_answers(_moved(parts, [(1, numbers)]), words, buckets)
     sums = [F.coalesce(F.sum(F.col("figures")[i]), F.lit(0)).alias(f"f{i}") for i in range(DISCOUNTED + 2)]
     discount = discounts(list(found.where("kind = 4").agg(*sums).first()))
     # at most 4 * buckets words are so common that their pairs are spread
@@ -380,4 +383,4 @@ def scores(docs: DataFrame) -> DataFrame:
         *(F.sum(F.col("figures")[i + 1]).alias(f"f{i}") for i in range(DISCOUNTED + 1)), F.sum("mass").alias("mass")).collect()
     common = {r["h"]: (r["f0"], np.array([r[f"f{i}"] for i in range(1, DISCOUNTED + 1)]), r["mass"]) for r in figures}
     answers = found.where("kind = 1").select("block", "bucket", "a", "b")
-    return evaluate(_moved(parts, [(1, numbers), (2, answers)]), words, discount, common, buckets, buckets)
+    return evaluate(_moved(parts, [(1, numbers), (2, answers)]), words, discount, common, buckets)
