@@ -5,8 +5,13 @@ import re
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Constructs that exist in java.util.regex but are errors in RE2.
-_NOT_RE2 = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|[*+?}]\+")
+# Escapes that both dialects read alike, and flags of RE2.
+_ESCAPES = "dDwWsSbBAztnrfavQE"
+_FLAGS = re.compile(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])")
+_GROUP = re.compile(r"\(\?P?<([A-Za-z][A-Za-z0-9]*)>")
+_REPEAT = re.compile(r"[*+?]|\{[0-9]+(?:,[0-9]*)?\}")
+_PROPERTY = re.compile(r"[pP](?:\{\^?[A-Za-z_]+\}|[A-Z])")
+_NAMED_CLASS = re.compile(r"\[:(\^?)([a-z]+):\]")
 # POSIX classes of RE2 and their java.util.regex names.
 POSIX_CLASSES = {
     "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}",
@@ -26,15 +31,103 @@ def is_system_topic(topic: Column) -> Column:
 
 
 def portable_regex(pattern: str) -> str:
-    """Rewrite an RE2 pattern for java.util.regex, refusing what RE2 refuses."""
-    without_escapes = re.sub(r"\\[^1-9k]", "", pattern)
-    if _NOT_RE2.search(without_escapes):
-        raise InvalidSearch(f"invalid search regex: {pattern!r} uses an unsupported construct")
-    pattern = pattern.replace("(?P<", "(?<")
-    for name, java in POSIX_CLASSES.items():
-        negated = java.replace("\\p", "\\P").replace("\\w", "\\W")
-        pattern = pattern.replace(f"[:^{name}:]", negated).replace(f"[:{name}:]", java)
-    return pattern
+    """Rewrite an RE2 pattern for java.util.regex, refusing what RE2 refuses.
+
+    Reads the pattern token by token: escapes, classes, groups and repetitions.  In classes
+    ``[`` and ``&`` are plain characters, as in RE2; the flag ``i`` also folds letters
+    beyond ASCII.
+    """
+    out: list[str] = []
+    i, repeated = 0, False
+
+    def refuse(what: str):
+        raise InvalidSearch(f"invalid search regex: {pattern!r}: {what}")
+
+    def escape(i: int, in_class: bool) -> int:
+        """Take the escape at ``i``; the position behind it."""
+        rest = pattern[i + 1:]
+        if not rest:
+            refuse("it ends in a backslash")
+        found = _PROPERTY.match(rest)
+        if found:
+            text = found[0].replace("{^", "{")
+            out.append("\\" + (text if text == found[0] else ("P" if text[0] == "p" else "p") + text[1:]))
+            return i + 1 + found.end()
+        numbered = re.match(r"x(?:\{[0-9A-Fa-f]+\}|[0-9A-Fa-f]{2})|0[0-7]{0,2}", rest)
+        if numbered:
+            out.append("\\" + (numbered[0] if numbered[0] != "0" else "00"))
+            return i + 1 + numbered.end()
+        if rest[0] in "QE" or rest[0].isalnum() and rest[0] not in (_ESCAPES.replace("b", "").replace("B", "") if in_class else _ESCAPES):
+            if rest[0] == "Q" and not in_class:
+                quoted, _, tail = rest[1:].partition("\\E")
+                out.extend(re.escape(c) if not c.isalnum() else c for c in quoted)
+                return len(pattern) - len(tail)
+            refuse(f"unknown escape \\{rest[0]}")
+        # java.util.regex reads \v as any vertical space
+        out.append("\\x0B" if rest[0] == "v" else "\\" + rest[0])
+        return i + 2
+
+    def class_(i: int) -> int:
+        """Take the class at ``i``; the position behind it."""
+        out.append("[")
+        i += 1
+        if pattern[i:i + 1] == "^":
+            out.append("^")
+            i += 1
+        first = True
+        while first or pattern[i:i + 1] != "]":
+            if i >= len(pattern):
+                refuse("a class is not closed")
+            named = _NAMED_CLASS.match(pattern, i)
+            if named and named[2] in POSIX_CLASSES:
+                java = POSIX_CLASSES[named[2]]
+                out.append(java.replace("\\p", "\\P").replace("\\w", "\\W") if named[1] else java)
+                i = named.end()
+            elif named:
+                refuse(f"unknown class {named[0]}")
+            elif pattern[i] == "\\":
+                i = escape(i, True)
+            else:
+                out.append("\\" + pattern[i] if pattern[i] in "[]&" else pattern[i])
+                i += 1
+            first = False
+        out.append("]")
+        return i + 1
+
+    while i < len(pattern):
+        c = pattern[i]
+        repeat = _REPEAT.match(pattern, i)
+        if repeat:
+            if repeated:
+                refuse("a repetition of a repetition")
+            i = repeat.end()
+            lazy = pattern[i:i + 1] == "?"
+            out.append(repeat[0] + "?" * lazy)
+            i += lazy
+            repeated = True
+            continue
+        repeated = False
+        if c == "\\":
+            i = escape(i, False)
+        elif c == "[":
+            i = class_(i)
+        elif pattern.startswith("(?", i):
+            flags, group = _FLAGS.match(pattern, i), _GROUP.match(pattern, i)
+            if flags:
+                if "U" in flags[1] + (flags[2] or ""):
+                    refuse("the flag U")
+                off = "-" + flags[2].replace("i", "iu") if flags[2] else ""
+                out.append("(?" + flags[1].replace("i", "iu") + off + flags[3])
+                i = flags.end()
+            elif group:
+                out.append(f"(?<{group[1]}>")
+                i = group.end()
+            else:
+                refuse("an unsupported group")
+        else:
+            out.append("\\{" if c == "{" else c)
+            i += 1
+    return "".join(out)
 
 
 def check_regex(pattern: str) -> None:

@@ -11,15 +11,18 @@ from quietlog.schema import EXPECTED_CHANGELOG_CONFIG
 _POLICY = "cleanup.policy"
 
 
-def config_findings(configs: DataFrame, expected: Mapping[str, str] = EXPECTED_CHANGELOG_CONFIG) -> DataFrame:
+def config_findings(configs: DataFrame, expected: Mapping[str, str] = EXPECTED_CHANGELOG_CONFIG,
+                    topics: DataFrame | None = None) -> DataFrame:
     """(topic, name, severity, problem, actual, recommended), one row per finding.
 
     A clean-up policy that is missing or lacks ``compact`` is an error, and a topic with
     the error gets no warnings.  The expected keys are pivoted to columns by one
-    aggregation, so no join takes place.  A topic without any configuration row is not
-    seen; pass rows with null values to have it reported.
+    aggregation.  ``topics`` lists all topics, so that those without any configuration are
+    reported too; without it only the topics of ``configs`` are seen.
     """
     names = [_POLICY, *sorted(name for name in expected if name != _POLICY)]
+    if topics is not None:
+        configs = configs.select("topic", "name", "value").unionByName(topics.select("topic"), allowMissingColumns=True)
     by_topic = configs.groupBy("topic").agg(*[
         F.max(F.when(F.col("name") == name, F.col("value"))).alias(f"c{i}") for i, name in enumerate(names)])
     policy = F.col("c0")

@@ -1,10 +1,13 @@
 """Changelog records to and from rows.
 
-A topic record carries a whole topic.  Topics are grouped by (topic, slice), where a
-slice is a fixed range of partition numbers, so that no task ever builds more than
-``SLICE_WIDTH`` partitions into one value.  Topics below that width give exactly one
-record without a ``slice`` field; wider ones give one record per range, each of which
-replaces only its own range on replay.  A tombstone clears them all.
+A topic record carries a whole topic, and its key is the topic's name.  A topic with
+partition numbers of ``SLICE_WIDTH`` or more is written as several records, one per range
+of numbers, so that no task ever builds more than that many partitions into one value.  Each
+has a key of its own, ``topic`` for the first range and ``topic#n`` for range n (no topic name
+may hold the mark), so a compacted log keeps them all.  The first one is the head: it
+names the width and the number of ranges, and on replay only the ranges that fit it count.
+A record of the whole topic, from whatever writer, therefore replaces all ranges, and
+without a head there is no topic.
 """
 
 from collections.abc import Sequence
@@ -19,6 +22,17 @@ _JSON_READ = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 _JSON_WRITE = {"ignoreNullFields": "true"}
 _INTEGER = r"^[+-]?[0-9]+$"
 _CLOSED_OBJECT = r"\}\s*$"
+_SLICE_KEY = "#([0-9]{1,9})$"
+
+
+def slice_of(key: Column) -> Column:
+    """Number of the range that a slice key names, null for other keys."""
+    return F.nullif(F.regexp_extract(key, _SLICE_KEY, 1), F.lit("")).cast("int")
+
+
+def topic_of(key: Column) -> Column:
+    """Topic of a topic key, with or without a slice."""
+    return F.regexp_replace(key, _SLICE_KEY, "")
 
 
 def instance_id_of(key: Column) -> Column:
@@ -102,8 +116,10 @@ def encode_topics(state: DataFrame, write_time, observed_only: bool = False,
     """(key, value, slice) topic records of a state table (K1).
 
     With ``observed_only`` a record is written only where a row of its slice has
-    ``observed`` set; the others are unchanged in the log.  ``versions`` names further
-    columns, such as a scan number, each value of which has records of its own.
+    ``observed`` set; the others are unchanged in the log.  The head of a wide topic is
+    written with any of its slices.  Write everything when ``slice_width`` changes.
+    ``versions`` names further columns, such as a scan number, each value of which has
+    records of its own.
     """
     body = F.struct(
         F.col("partition"),
@@ -113,24 +129,35 @@ def encode_topics(state: DataFrame, write_time, observed_only: bool = False,
         F.nullif(F.col("scanned_at"), F.lit(0)).alias("scanned_at"),
         F.nullif(F.col("message_count"), F.lit(0)).alias("message_count"),
     )
-    entry = F.when(F.col("partition").isNotNull(),
+    entry = F.when(F.col("target.own") & F.col("partition").isNotNull(),
                    F.struct(F.col("partition").cast("string").alias("key"), body.alias("value")))
-    slice_no = F.coalesce(F.floor(F.col("partition") / F.lit(slice_width)).cast("int"), F.lit(0))
+    number = F.coalesce(F.floor(F.col("partition") / F.lit(slice_width)).cast("int"), F.lit(0))
+
+    def target(slice_no: Column, own: bool) -> Column:
+        return F.struct(slice_no.alias("slice"), F.lit(own).alias("own"), (number + 1).alias("slices"))
+    # A row beyond the first range is also counted at the head, which so learns the number of ranges.
+    targets = F.when(number > 0, F.array(target(number, True), target(F.lit(0), False))).otherwise(
+        F.array(target(F.lit(0), True)))
     observed = F.bool_or("observed") if observed_only else F.lit(True)
     when = write_time if isinstance(write_time, Column) else F.lit(write_time).cast("bigint")
+    is_head = F.col("slice") == 0
+    is_wide = F.col("slices") > 1
     return (
-        state.withColumn("slice", slice_no)
-        .groupBy("topic", "slice", *versions)
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"), observed.alias("observed"))
+        state.withColumn("target", F.explode(targets))
+        .groupBy("topic", F.col("target.slice").alias("slice"), *versions)
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"), observed.alias("observed"),
+             F.max("target.slices").alias("slices"))
         .where("observed")
         .select(
-            F.col("topic").alias("key"),
+            F.when(is_head, F.col("topic")).otherwise(F.concat("topic", F.lit("#"), "slice")).alias("key"),
             F.to_json(F.struct(
                 F.lit(1).alias("version"),
                 F.col("topic"),
                 when.alias("timestamp"),
                 F.map_from_entries("entries").alias("partitions"),
                 F.nullif(F.col("slice"), F.lit(0)).alias("slice"),
+                F.when(is_head & is_wide, F.col("slices")).alias("slices"),
+                F.when(is_wide, F.lit(slice_width)).alias("slice_width"),
             ), _JSON_WRITE).alias("value"),
             "slice",
             *versions,
@@ -143,9 +170,19 @@ def encode_topic(state: DataFrame, topic: str, write_time) -> DataFrame:
     return encode_topics(state.where(F.col("topic") == topic), write_time)
 
 
-def topic_tombstones(topics: DataFrame) -> DataFrame:
-    """(key, value) tombstones of a ``topic`` column (K3)."""
-    return topics.select(F.col("topic").alias("key"), F.lit(None).cast("string").alias("value"))
+def topic_tombstones(topics: DataFrame, state: DataFrame | None = None,
+                     slice_width: int = SLICE_WIDTH) -> DataFrame:
+    """(key, value) tombstones of a ``topic`` column (K3).
+
+    ``state`` is the last state of the topics; the slices of the wide ones among them
+    get tombstones too.
+    """
+    keys = topics.select(F.col("topic").alias("key"))
+    if state is not None:
+        number = F.floor(F.col("partition") / F.lit(slice_width)).cast("string")
+        wide = state.where(F.col("partition") >= slice_width).select("topic", F.concat("topic", F.lit("#"), number).alias("key"))
+        keys = keys.union(wide.distinct().join(topics.select("topic"), "topic", "left_semi").select("key"))
+    return keys.withColumn("value", F.lit(None).cast("string"))
 
 
 def encode_heartbeats(heartbeats: DataFrame) -> DataFrame:

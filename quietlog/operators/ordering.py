@@ -5,10 +5,6 @@ from pyspark.sql import functions as F
 
 from quietlog.functions.status import status_bucket
 from quietlog.arguments import Page, Thresholds, sort_arguments
-from quietlog.sources.tables import materialise
-
-# Last position up to which a page is found by a plain top-k.
-DEEP_PAGE = 10_000
 
 
 def topic_order(as_of, thresholds: Thresholds, sort_by: str | None = None,
@@ -33,40 +29,17 @@ def topic_order(as_of, thresholds: Thresholds, sort_by: str | None = None,
     return [first, F.col("name")] if key == "name" else [first, by_name, F.col("name")]
 
 
-def page_of(rows: DataFrame, order: list[Column], page: Page, deep_from: int = DEEP_PAGE) -> DataFrame:
+def page_of(rows: DataFrame, order: list[Column], page: Page) -> DataFrame:
     """The rows of one page with their 1-based ``position`` in the whole order (T4).
 
-    Planned as a top-k per task, so no full sort takes place.  As a top-k holds all rows
-    up to the end of the page, pages that end beyond ``deep_from`` are looked up in
-    ranges first.  The position is counted over the page only, which has at most
-    ``MAX_PAGE_SIZE`` rows.
+    Planned lazily as a top-k per task at any depth.  The position is counted over the
+    page only, which has at most ``MAX_PAGE_SIZE`` rows.
     """
-    skip = page.offset
-    if skip + page.limit > deep_from:
-        rows, skip = _ranges_of_page(rows, order, page)
-    top = rows.orderBy(*order).offset(skip).limit(page.limit)
+    top = rows.orderBy(*order).offset(page.offset).limit(page.limit)
     position = F.row_number().over(Window.orderBy(*order)) + F.lit(page.offset)
     return top.withColumn("position", position.cast("int"))
 
 
-def _ranges_of_page(rows: DataFrame, order: list[Column], page: Page) -> tuple[DataFrame, int]:
-    """The rows of the sort ranges that a page touches, and how many of them precede it.
-
-    The rows are written out once, partitioned by range; only the count of each range
-    comes to the driver.
-    """
-    ranged = materialise(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "page-ranges")
-    counts = sorted((row["range"], row["count"]) for row in ranged.groupBy("range").count().collect())
-    touched, before, skip = [], 0, page.offset
-    for number, count in counts:
-        if before + count <= page.offset:
-            skip = page.offset - before - count
-        elif before < page.offset + page.limit:
-            touched.append(number)
-        before += count
-    return ranged.where(F.col("range").isin(touched)).drop("range"), skip if touched else 0
-
-
 def page_meta(rows: DataFrame, page: Page) -> DataFrame:
     """Count of the page, total, page, limit and has_more, from one count."""
     total = F.col("total")

@@ -3,14 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.operators.codec import decode
+from quietlog.operators.codec import decode, slice_of, topic_of
 from quietlog.operators.replay import arrival
 
 
 def changelog_profile(changelog: DataFrame, moved_keys: bool = False) -> DataFrame:
     """One row of counters (A4, A5).
 
-    A single shuffle by key: each key brings its counts and the kind of its last valid
+    Further slices of wide topics are keys, but not topics.  A single shuffle by key: each key brings its counts and the kind of its last valid
     record, from which the surviving topics and instances follow.
     """
     last_valid = F.max_by("is_tombstone", F.when(F.col("is_valid"), arrival(moved_keys)))
@@ -35,7 +35,7 @@ def changelog_profile(changelog: DataFrame, moved_keys: bool = False) -> DataFra
         total(F.when(~F.col("is_heartbeat"), F.col("records"))).alias("topic_state_records"),
         total("malformed").alias("malformed_records"),
         F.count(F.lit(1)).alias("unique_keys"),
-        F.count_if(survives & ~F.col("is_heartbeat")).alias("final_topics"),
+        F.count_if(survives & ~F.col("is_heartbeat") & slice_of(F.col("key")).isNull()).alias("final_topics"),
         F.count_if(survives & F.col("is_heartbeat")).alias("final_instances"),
     )
     kept = F.col("final_topics") + F.col("final_instances")
@@ -54,7 +54,7 @@ def approximate_unique_keys(changelog: DataFrame, relative_error: float = 0.01)
 def key_mismatches(changelog: DataFrame) -> DataFrame:
     """Number of topic records whose ``topic`` field differs from their key."""
     return decode(changelog).agg(
-        F.count_if(F.col("is_valid") & (F.col("topic_record.topic") != F.col("key"))).alias("key_mismatches"))
+        F.count_if(F.col("is_valid") & (F.col("topic_record.topic") != topic_of(F.col("key")))).alias("key_mismatches"))
 
 
 def resume_offsets(changelog: DataFrame, partition_count: int | None = None) -> DataFrame:
@@ -65,3 +65,8 @@ def resume_offsets(changelog: DataFrame, partition_count: int | None = None) ->
     all_partitions = changelog.sparkSession.range(partition_count, numPartitions=1).select(
         F.col("id").cast("int").alias("partition"), F.lit(0).cast("bigint").alias("next_offset"))
     return ends.unionByName(all_partitions).groupBy("partition").agg(F.max("next_offset").alias("next_offset"))
+
+
+def partitions_with_data(changelog: DataFrame) -> DataFrame:
+    """Number of changelog partitions that hold a record (A4)."""
+    return changelog.agg(F.count_distinct("partition").alias("partitions_with_data"))

@@ -4,15 +4,14 @@ Two folds exist on purpose.  Replay *replaces* what a key held; the live merge w
 *per partition* and keeps the fresher scan.  Both ignore malformed records.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietlog.operators.codec import decode, heartbeat_fields, partition_rows
+from quietlog.operators.codec import decode, heartbeat_fields, instance_id_of, partition_rows, slice_of, topic_of
 from quietlog.schema import PARTITION_FIELDS, STATE, STATE_COLUMNS
 from quietlog.sources.tables import materialise
 
-_TOMBSTONE_SLICE = -1
 # A partition row without its topic.
 ROW = T.StructType([f for f in STATE if f.name not in ("topic", "last_update")])
 
@@ -28,68 +27,64 @@ def arrival(moved_keys: bool = False) -> Column:
     return F.col("offset")
 
 
-def _kept_per_key(records: DataFrame, payload: str, moved_keys: bool) -> DataFrame:
-    """The last valid record of every (key, slice) that no later tombstone of the key clears.
+def _last_per_key(records: DataFrame, payload: str) -> DataFrame:
+    """(key, payload) of the last valid record of every key, without the keys it deletes.
 
-    ``records`` has key, slice, seq (null on malformed records, which then lose without
-    a filter that would parse the value once more) and ``payload``.  Partial aggregation
-    keeps one record per (key, slice) and task before the shuffle.
+    ``records`` has key, seq (null on malformed records, which then lose without a
+    filter that would parse the value once more) and ``payload``, null on tombstones.
+    Partial aggregation keeps one record per key and task before the shuffle.
     """
-    last = records.groupBy("key", "slice").agg(
-        F.max_by(payload, F.col("seq")).alias("payload"), F.max("seq").alias("seq"))
-    cleared_at = F.max(F.when(F.col("slice") == _TOMBSTONE_SLICE, F.col("seq"))).over(Window.partitionBy("key"))
-    return (
-        last.withColumn("cleared_at", cleared_at)
-        .where((F.col("slice") != _TOMBSTONE_SLICE) & F.col("seq").isNotNull()
-               & (F.col("cleared_at").isNull() | (F.col("seq") > F.col("cleared_at"))))
-    )
+    return records.groupBy("key").agg(
+        F.max_by(payload, F.col("seq")).alias("payload"), F.max("seq").alias("seq")
+    ).where(F.col("payload").isNotNull() & F.col("seq").isNotNull())
 
 
 def replay_topics(changelog: DataFrame, load_time: int, moved_keys: bool = False) -> DataFrame:
     """State table of the last valid record of every topic.
 
     The raw value travels through the aggregation and only the surviving records are
-    expanded to partitions.  ``last_update`` is the load time.
+    expanded to partitions.  Of the further records of wide topics those count that
+    their head names.  ``last_update`` is the load time.
     """
     records = decode(changelog).where(F.col("instance_id").isNull()).select(
-        "key", "value",
-        F.when(F.col("is_valid"), arrival(moved_keys)).alias("seq"),
-        F.when(F.col("is_tombstone"), F.lit(_TOMBSTONE_SLICE))
-        .otherwise(F.coalesce(F.col("topic_record.slice"), F.lit(0))).alias("slice"))
-    kept = _kept_per_key(records, "value", moved_keys)
-    expanded = (
-        decode(kept.select("key", F.col("payload").alias("value")))
-        .select(F.col("key").alias("topic"), F.explode_outer(partition_rows(F.col("topic_record"))).alias("row"))
-    )
+        "key", F.col("value").alias("payload"), F.when(F.col("is_valid"), arrival(moved_keys)).alias("seq"))
+    last = decode(_last_per_key(records, "payload").select("key", F.col("payload").alias("value"))).select(
+        topic_of(F.col("key")).alias("topic"), slice_of(F.col("key")).alias("number"), "topic_record")
+    heads = last.where(F.col("number").isNull())
+    widths = heads.where(F.col("topic_record.slices") > 1).select(
+        "topic", F.col("topic_record.slices").alias("slices"), F.col("topic_record.slice_width").alias("width"))
+    slices = last.where(F.col("number").isNotNull()).join(widths, "topic").where(
+        (F.col("number") < F.col("slices")) & (F.col("topic_record.slice_width") == F.col("width")))
+    kept = heads.select("topic", "topic_record").unionByName(slices.select("topic", "topic_record"))
+    expanded = kept.select("topic", F.explode_outer(partition_rows(F.col("topic_record"))).alias("row"))
     return expanded.select("topic", "row.*", F.lit(load_time).cast("bigint").alias("last_update")).select(*STATE_COLUMNS)
 
 
 def replay_heartbeats(changelog: DataFrame, moved_keys: bool = False) -> DataFrame:
     """The last valid heartbeat of every instance without a later tombstone."""
+    body = F.struct("instance_id", F.col("heartbeat").alias("body"))
     records = decode(changelog).where(F.col("instance_id").isNotNull()).select(
-        "key",
-        F.struct("instance_id", F.col("heartbeat").alias("body")).alias("payload"),
-        F.when(F.col("is_valid"), arrival(moved_keys)).alias("seq"),
-        F.when(F.col("is_tombstone"), F.lit(_TOMBSTONE_SLICE)).otherwise(F.lit(0)).alias("slice"))
-    kept = _kept_per_key(records, "payload", moved_keys)
-    return kept.select(*heartbeat_fields(F.col("payload.body"), F.col("payload.instance_id")))
+        "key", F.when(~F.col("is_tombstone"), body).alias("payload"), F.when(F.col("is_valid"), arrival(moved_keys)).alias("seq"))
+    return _last_per_key(records, "payload").select(*heartbeat_fields(F.col("payload.body"), F.col("payload.instance_id")))
 
 
 def last_tombstones(changelog: DataFrame, seq: Column) -> DataFrame:
-    """(key, cleared_at) of every key that was ever deleted."""
-    return changelog.where(F.col("value").isNull()).groupBy("key").agg(F.max(seq).alias("cleared_at"))
+    """(topic, cleared_at) of every topic that was ever deleted."""
+    deleted = changelog.where(F.col("value").isNull() & instance_id_of(F.col("key")).isNull())
+    return deleted.groupBy(topic_of(F.col("key")).alias("topic")).agg(F.max(seq).alias("cleared_at"))
 
 
 def alive_rows(changelog: DataFrame, cleared: DataFrame, seq: Column) -> DataFrame:
     """Partition rows of the valid topic records that come after their last tombstone.
 
-    ``cleared`` is (key, cleared_at).  Each record also gives one marker row with a null
+    ``cleared`` is (topic, cleared_at).  All slices of a wide topic lie in one changelog
+    partition, so their offsets compare.  Each record also gives one marker row with a null
     partition, from which the last record of the topic follows.  Malformed records give
     no row; they are dropped after the expansion, so that no value is parsed twice.
     """
     pending = (
-        changelog.where(F.col("value").isNotNull())
-        .join(cleared, "key", "left")
+        changelog.where(F.col("value").isNotNull()).withColumn("topic", topic_of(F.col("key")))
+        .join(cleared, "topic", "left")
         .where(F.col("cleared_at").isNull() | (seq > F.col("cleared_at")))
     )
     record = F.col("topic_record")
@@ -100,7 +95,7 @@ def alive_rows(changelog: DataFrame, cleared: DataFrame, seq: Column) -> DataFra
     return (
         decode(pending)
         .where(F.col("instance_id").isNull())
-        .select(F.col("key").alias("topic"), seq.alias("seq"),
+        .select("topic", seq.alias("seq"),
                 F.struct(seq.alias("seq"), F.coalesce(record["timestamp"], F.lit(0)).alias("written_at")).alias("last_record"),
                 F.explode_outer(F.when(F.col("is_valid"), rows)).alias("entry"))
         .where(F.col("entry").isNotNull())

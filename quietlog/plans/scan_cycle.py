@@ -51,7 +51,7 @@ def scan_state(previous: DataFrame, listing: DataFrame, observations: DataFrame,
         return None
     result = fold_scan(previous, listing, observations, scan_time)
     records = encode_topics(result.state, scan_time, observed_only=True).select("key", "value")
-    return ScanOutcome(result.state.select(*STATE_COLUMNS), records.unionByName(topic_tombstones(result.deleted)))
+    return ScanOutcome(result.state.select(*STATE_COLUMNS), records.unionByName(topic_tombstones(result.deleted, previous)))
 
 
 def run_scan(changelog: DataFrame, listing: DataFrame, observations: DataFrame, scan_time: int,

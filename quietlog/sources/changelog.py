@@ -9,6 +9,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietlog.operators.codec import topic_of
 from quietlog.schema import CHANGELOG
 
 # Offsets with a special meaning for the Kafka source.
@@ -80,8 +81,17 @@ def append_to_table(records: DataFrame, path: str, fmt: str = "parquet") -> None
     records.write.mode("append").format(fmt).save(path)
 
 
-def append_to_kafka(records: DataFrame, servers: str, topic: str, **options: str) -> None:
-    """Produce encoded records; the producer picks the partition from the key."""
-    (records.select("key", "value").write.format("kafka")
+def append_to_kafka(records: DataFrame, servers: str, topic: str, partition_count: int | None = None,
+                    **options: str) -> None:
+    """Produce encoded records; the producer picks the partition from the key.
+
+    With ``partition_count`` the partition follows from the topic's name, so that all
+    slices of a wide topic lie in one and their offsets compare.
+    """
+    columns = ["key", "value"]
+    if partition_count:
+        records = records.withColumn("partition", F.pmod(F.xxhash64(topic_of(F.col("key"))), F.lit(partition_count)).cast("int"))
+        columns.append("partition")
+    (records.select(*columns).write.format("kafka")
      .option("kafka.bootstrap.servers", servers).option("topic", topic)
      .options(**options).save())

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quietlog.operators.codec import decode, heartbeat_fields, partition_rows
+from quietlog.operators.codec import decode, heartbeat_fields, partition_rows, topic_of
 from quietlog.operators.instances import with_liveness
 from quietlog.operators.replay import ROW, alive_rows, fold_alive, folded_state, last_tombstones
 from quietlog.schema import HEARTBEAT, PARTITION_FIELDS, STATE
@@ -46,20 +46,36 @@ def _start(frame: DataFrame, write, checkpoint: str, mode: str, trigger: dict) -
 def _fold_batch(previous: DataFrame, batch: DataFrame) -> DataFrame:
     seq = F.col("offset")
     cleared = materialise(last_tombstones(batch, seq), "tombstones")
-    kept = previous.join(cleared.select(F.col("key").alias("topic")), "topic", "left_anti")
+    kept = previous.join(cleared.select("topic"), "topic", "left_anti")
     return fold_alive(kept.unionByName(alive_rows(batch, cleared, seq)))
 
 
-def topic_view_tables(changelog: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def folded_from(state: DataFrame) -> DataFrame:
+    """A state table as the start of a view: older than every record of the tail."""
+    row = F.struct(*[F.col(name) for name in ROW.names]).alias("row")
+    mark = F.struct(F.lit(-1).cast("bigint").alias("seq"), F.coalesce("last_update", F.lit(0)).alias("written_at"))
+    rows = state.where(F.col("partition").isNotNull()).select("topic", row, F.lit(-1).cast("bigint").alias("seq"), mark.alias("last_record"))
+    markers = state.groupBy("topic").agg(F.max("last_update").alias("last_update")).select(
+        "topic", F.lit(None).cast(ROW).alias("row"), F.lit(-1).cast("bigint").alias("seq"), mark.alias("last_record"))
+    return rows.unionByName(markers)
+
+
+def topic_view_tables(changelog: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None,
+                      **trigger) -> StreamingQuery:
     """Fold a changelog stream into state tables under ``path``, one version per batch.
 
     A batch reads the version of the batch before it; older ones may be deleted.
+    ``initial`` is a replayed state from whose resume offsets the stream reads on.
     """
     def fold(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        previous = read_batch(batch.sparkSession, path, batch_id - 1, _FOLDED)
-        write_batch(_fold_batch(previous, batch), path, batch_id)
-        batch.unpersist()
+        try:
+            previous = read_batch(batch.sparkSession, path, batch_id - 1, _FOLDED)
+            if batch_id == 0 and initial is not None:
+                previous = folded_from(initial)
+            write_batch(_fold_batch(previous, batch), path, batch_id)
+        finally:
+            batch.unpersist()
     return _start(changelog, fold, checkpoint, "append", trigger or {"availableNow": True})
 
 
@@ -127,7 +143,7 @@ def topic_changes(changelog: DataFrame, salts: int = 16) -> DataFrame:
         F.transform(partition_rows(F.col("topic_record")), lambda r: F.struct(
             F.pmod(r["partition"], F.lit(salts)).alias("salt"), r.alias("row"))))
     keyed = records.select(
-        F.col("key").alias("topic"), F.col("offset").alias("seq"), F.col("is_tombstone").alias("tombstone"),
+        topic_of(F.col("key")).alias("topic"), F.col("offset").alias("seq"), F.col("is_tombstone").alias("tombstone"),
         # Malformed records are dropped after the expansion, so that no value is parsed twice.
         F.explode_outer(F.when(F.col("is_valid"), rows)).alias("entry"),
     ).where(F.col("entry").isNotNull()).select("topic", "entry.salt", "seq", "tombstone", "entry.row.*")

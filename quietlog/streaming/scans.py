@@ -1,7 +1,9 @@
 """Periodic scans as a stream.
 
 The stream has one row per listed partition and scan: topic, partition, scan_time,
-``asked`` (false where the topic gave no answer at all), latest and earliest.
+``asked`` (false where the topic gave no answer at all), latest, earliest, and
+``expected``, the number of rows of the scan.  A scan counts only when all its rows have
+arrived: until then it is held back, and so are later scans.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quietlog.functions.names import is_system_topic
 from quietlog.functions.sharding import shard
-from quietlog.operators.codec import encode_topics, topic_tombstones
-from quietlog.operators.history import resume_scans
+from quietlog.operators.codec import encode_topics, topic_of, topic_tombstones
+from quietlog.operators.scan import fold_scan
 from quietlog.schema import CHANGELOG, DEFAULT_SHARDS, STATE
+from quietlog.sources.tables import materialise
 from quietlog.streaming.sinks import last_batch_id, read_batch, write_batch
 
 SCAN_ROW = T.StructType([
@@ -23,18 +26,18 @@ SCAN_ROW = T.StructType([
     T.StructField("asked", T.BooleanType()),
     T.StructField("latest", T.LongType()),
     T.StructField("earliest", T.LongType()),
+    T.StructField("expected", T.LongType()),
 ])
 
 
-_FLAGGED_STATE = T.StructType([*STATE, T.StructField("observed", T.BooleanType())])
-
-
 def scan_rows(listing: DataFrame, observations: DataFrame) -> DataFrame:
     """Listing and observations as rows of the scan stream."""
+    sizes = listing.where(~is_system_topic(F.col("topic"))).groupBy("scan_time").agg(F.count(F.lit(1)).alias("expected"))  # one row per scan
     answers = observations.select("topic", "partition", "scan_time", F.lit(True).alias("asked"), "latest", "earliest")
     return (
         listing.join(answers, ["topic", "partition", "scan_time"], "left")
         .withColumn("asked", F.coalesce("asked", F.lit(False)))
+        .join(sizes, "scan_time")
         .select(*SCAN_ROW.names)
     )
 
@@ -50,20 +53,41 @@ def _log_columns(records: DataFrame, last_scan: int) -> DataFrame:
     """Place records in a table-backed log: a tombstone just before the new record."""
     return records.select(
         "key", "value",
-        shard(F.col("key"), F.lit(0), DEFAULT_SHARDS).alias("partition"),
+        shard(topic_of(F.col("key")), F.lit(0), DEFAULT_SHARDS).alias("partition"),
         (F.lit(last_scan).cast("bigint") * 2 + F.col("value").isNotNull().cast("bigint")).alias("offset"),
         F.timestamp_seconds(F.lit(last_scan)).alias("timestamp"))
 
 
+def _due(rows: DataFrame, after: int | None) -> tuple[list[int], int | None]:
+    """(scan times to fold, first scan time to hold back).
+
+    Scans at or before ``after`` were overtaken by a later one and are never folded.  One
+    row per waiting scan comes to the driver.
+    """
+    scans = rows.groupBy("scan_time").agg(F.count(F.lit(1)).alias("n"), F.max("expected").alias("expected"))
+    due: list[int] = []
+    for scan in sorted(scans.collect(), key=lambda r: r["scan_time"]):
+        if after is not None and scan["scan_time"] <= after:
+            continue
+        if scan["n"] < scan["expected"]:
+            return due, scan["scan_time"]
+        due.append(scan["scan_time"])
+    return due, None
+
+
 def start_scans(scans: DataFrame, state_path: str, changelog_path: str, checkpoint: str,
-                **trigger) -> StreamingQuery:
+                initial: DataFrame | None = None, **trigger) -> StreamingQuery:
     """Fold every micro-batch of scans into the next state table and changelog records.
 
-    A batch may hold several scans (catching up); they are folded in one pass.  A batch
-    reads the state of the batch before it; older ones may be deleted.  Batches never
-    overlap, and ``availableNow`` gives the one-shot form.  The counters of A11
-    are reported as the observed metrics ``scan`` of the query.
+    A batch may complete several scans (catching up); each writes its own set of records.
+    Rows of incomplete scans wait in a table beside the state.  A batch reads the state of
+    the batch before it; older ones may be deleted.  ``initial`` is the state to start
+    from, such as a replayed log; scans up to its last one are refused, as are scans
+    that a later one has overtaken.  Batches never overlap, and ``availableNow`` gives the
+    one-shot form.  The counters of A11 are reported as the observed metrics ``scan`` of
+    the query; they count rows before completeness is known.
     """
+    waiting_path = f"{state_path.rstrip('/')}-waiting"
     scans = scans.where(~is_system_topic(F.col("topic"))).observe(
         "scan",
         F.count(F.lit(1)).alias("listed_partitions"),
@@ -72,21 +96,31 @@ def start_scans(scans: DataFrame, state_path: str, changelog_path: str, checkpoi
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
-        previous = read_batch(spark, state_path, batch_id - 1, STATE)
-        first, last = batch.agg(F.min("scan_time"), F.max("scan_time")).first()
-        if last is None:
-            write_batch(previous, state_path, batch_id)
-        else:
-            listing = batch.select("topic", "partition", "scan_time")
-            result = resume_scans(previous, listing, batch.where("asked"), first, last)
-            # The records are encoded from the written state, so the fold runs once.
-            write_batch(result.state, state_path, batch_id)
-            state = read_batch(spark, state_path, batch_id, _FLAGGED_STATE)
-            records = encode_topics(state, last, observed_only=True).select("key", "value").unionByName(
-                topic_tombstones(result.deleted))
-            write_batch(_log_columns(records, last), changelog_path, batch_id)
-        batch.unpersist()
+        waiting = read_batch(spark, waiting_path, batch_id - 1, SCAN_ROW)
+        rows = waiting.unionByName(batch).persist()
+        try:
+            state = read_batch(spark, state_path, batch_id - 1, STATE)
+            if batch_id == 0 and initial is not None:
+                state = initial.select(*STATE.names)
+            after = state.agg(F.max(F.greatest("scanned_at", "last_update"))).first()[0]
+            due, held_from = _due(rows, after)
+            records = None
+            for scan in due:
+                own = rows.where(F.col("scan_time") == scan)
+                result = fold_scan(state, own.select("topic", "partition"), own.where("asked"), scan)
+                # The records are encoded from the written state, so the fold runs once.
+                before, state = state, materialise(result.state, "scanned-state")
+                written = encode_topics(state, scan, observed_only=True).select("key", "value").unionByName(
+                    topic_tombstones(result.deleted, before))
+                placed = _log_columns(written, scan)
+                records = placed if records is None else records.unionByName(placed)
+            held = rows.where(F.lit(held_from is not None) & (F.col("scan_time") >= F.lit(held_from)))
+            write_batch(held, waiting_path, batch_id)
+            if records is not None:
+                write_batch(records, changelog_path, batch_id)
+            write_batch(state.select(*STATE.names), state_path, batch_id)
+        finally:
+            rows.unpersist()
 
     return (scans.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -130,6 +130,10 @@ _STATE_COLUMNS = ("topic, part AS partition, off AS offset, ts AS timestamp, is_
 _AS_OF = 1706659200
 
 # Topics of the state after scan 30.
+_WIDE = """CAST(o_orderkey AS INTEGER) AS partition, CAST(o_custkey AS BIGINT) AS "offset",
+  CAST(floor(epoch(o_orderdate)) AS BIGINT) AS "timestamp", false AS is_empty,
+  CAST(floor(epoch(o_orderdate)) AS BIGINT) AS scanned_at, CAST(o_custkey AS BIGINT) AS message_count"""
+
 _TOPICS = _state(30) + f""",
 topics AS (
   SELECT topic AS name, CAST(count(*) AS INTEGER) AS partition_count, min(ts) AS oldest, max(ts) AS newest,
@@ -266,6 +270,9 @@ SELECT o_orderkey, {_age_text('e')} AS age FROM a""",
         "list_topics_by_status": _page("ostatus", f"{_O_BUCKET} DESC, lower(name), name", 500, 500),
         "list_topics_by_messages": _page("ostatus", "total DESC, lower(name), name", 50, 0,
                                          "regexp_matches(name, 'CUST-1[0-9]+$', 'i')"),
+        "list_topics_deep_page": """SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS name,
+  CAST(row_number() OVER (ORDER BY o_custkey, 'order-' || CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS position,
+  CAST(o_custkey AS BIGINT) AS total_message_count FROM orders QUALIFY position > 10000 AND position <= 10500""",
         "list_topics_by_empty": _TOPICS + "\n" + _page("status", "is_empty DESC, lower(name), name", 500, 0),
         "unused_topics": _TOPICS + "\n" + _page("status", "newest DESC, lower(name), name".replace("newest", "oldest"),
                                                 50, 50, "newest_days >= 4"),
@@ -326,6 +333,8 @@ FROM otopic JOIN parts ON name = topic WHERE contains(name, '-1')""",
         "scan_summary": """SELECT count(*) AS total_topics,
   count(*) FILTER (WHERE contains(lower(name), 'cust-1')) AS match_count,
   count(*) FILTER (WHERE contains(lower(name), 'cust-1') AND status = 'unused') AS unused_count FROM ostatus""",
+        "name_match_class": "SELECT name FROM otopic WHERE regexp_matches(name, 'cust-[[&&1]+[^*+&&1]*$')",
+        "topic_search_unicode": "SELECT name FROM otopic WHERE regexp_matches(name || '-ÄÖ', '(?i)CUST-[0-9]*7-äö$')",
         "name_match_prefix": "SELECT name FROM otopic WHERE starts_with(name, 'orders.cust-2')",
         "name_match_substring": "SELECT name FROM otopic WHERE contains(lower(name), 'cust-3')",
         "name_match_regex": "SELECT name FROM otopic WHERE regexp_matches(name, 'cust-(?:1|2)[0-9]*5$')",
@@ -335,6 +344,15 @@ FROM otopic JOIN parts ON name = topic WHERE contains(name, '-1')""",
      || CAST(off AS VARCHAR) || ',"timestamp":' || CAST(ts AS VARCHAR) || ',"is_empty":false,"scanned_at":'
      || CAST(ts AS VARCHAR) || ',"message_count":' || CAST(off AS VARCHAR) || '}', ',' ORDER BY part) || '}}' AS value
 FROM ostate GROUP BY topic""",
+        "changelog_one_topic": """SELECT topic AS key, '{"version":1,"topic":"' || topic || '","timestamp":1706659200,"partitions":{'
+  || string_agg('"' || CAST(part AS VARCHAR) || '":{"partition":' || CAST(part AS VARCHAR) || ',"offset":'
+     || CAST(off AS VARCHAR) || ',"timestamp":' || CAST(ts AS VARCHAR) || ',"is_empty":false,"scanned_at":'
+     || CAST(ts AS VARCHAR) || ',"message_count":' || CAST(off AS VARCHAR) || '}', ',' ORDER BY part) || '}}' AS value
+FROM ostate WHERE topic = 'orders.cust-7' GROUP BY topic""",
+        "changelog_wide_compacted": f"""SELECT 'orders.all' AS topic, {_WIDE} FROM orders""",
+        "changelog_wide_replaced": """SELECT 'orders.a' AS topic, CAST(n_nationkey AS INTEGER) AS partition,
+  CAST(n_regionkey AS BIGINT) AS "offset", CAST(1706659200 AS BIGINT) AS "timestamp", false AS is_empty,
+  CAST(1706659200 AS BIGINT) AS scanned_at, CAST(n_regionkey AS BIGINT) AS message_count FROM nation""",
         "changelog_encode_replay": _REPLAY + f"""
 SELECT {_STATE_COLUMNS}, CAST({_AS_OF} AS BIGINT) AS last_update FROM replayed""",
         "changelog_merge": _MERGE + f"\nSELECT {_STATE_COLUMNS} FROM merged",
@@ -346,7 +364,7 @@ SELECT a.topic AS name, CAST(count(m.topic) AS INTEGER) AS partition_count,
 FROM last_alive a LEFT JOIN merged m ON a.topic = m.topic GROUP BY a.topic""",
         "state_merge": _state(30, "cur") + _state(26, "inc") + """,
 both_sides AS (
-  SELECT *, 0 AS side FROM cur WHERE (part + off) % 3 <> 0 UNION ALL SELECT *, 1 AS side FROM inc WHERE off % 5 <> 0)
+  SELECT *, 0 AS side FROM cur UNION ALL SELECT *, 1 AS side FROM inc)
 SELECT topic, part AS partition, off AS "offset", ts AS "timestamp", is_empty, scanned_at, cnt AS message_count
 FROM both_sides QUALIFY row_number() OVER (PARTITION BY topic, part ORDER BY scanned_at DESC, side DESC) = 1""",
         "changelog_profile": """,
@@ -359,6 +377,7 @@ SELECT total + c AS total_records, tombs AS tombstone_records, c AS heartbeat_re
        bad AS malformed_records, keys + c AS unique_keys, topics AS final_topics, c AS final_instances,
        total - keys AS duplicate_key_records, total - topics AS discarded_records
 FROM tot, fin, hbs""",
+        "partitions_with_data": f"""SELECT count(DISTINCT {_shard('topic', '0')}) AS partitions_with_data FROM recs""",
         "resume_offsets": f""",
 ends AS (SELECT {_shard('topic', '0')} AS partition, off FROM recs UNION ALL SELECT CAST(p AS INTEGER), -1 FROM range(8) t(p))
 SELECT partition, max(off) + 1 AS next_offset FROM ends GROUP BY partition""",
@@ -380,8 +399,7 @@ s AS (SELECT topic, part AS partition, {_shard('topic', 'part')} AS shard FROM o
 SELECT * FROM s WHERE shard IN (2, 5)""",
         "topic_configs": "SELECT topic, name, value FROM cfg WHERE value IS NOT NULL AND name IN ('cleanup.policy', 'segment.ms')",
         "config_audit": _AUDIT + """
-SELECT topic, name, severity, problem, coalesce(actual, '') AS actual, recommended FROM findings
-WHERE topic IN (SELECT topic FROM cfg WHERE value IS NOT NULL)""",
+SELECT topic, name, severity, problem, coalesce(actual, '') AS actual, recommended FROM findings""",
         "config_audit_summary": _AUDIT + """
 SELECT name, severity, problem, count(*) AS topics FROM findings GROUP BY ALL""",
         "stream_merge": _MERGE + f"\nSELECT {_STATE_COLUMNS} FROM merged",
@@ -389,6 +407,11 @@ SELECT name, severity, problem, count(*) AS topics FROM findings GROUP BY ALL"""
         "stream_heartbeats": """SELECT instance_id, last_heartbeat_at, heartbeat_interval_sec, 0 AS scan_interval_sec,
   group_id, assigned_shards, is_active FROM hb_live WHERE CAST(substr(instance_id, 6) AS BIGINT) % 9 <> 0""",
         "stream_scan": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
+        "stream_merge_resumed": _MERGE + f"\nSELECT {_STATE_COLUMNS} FROM merged",
+        "stream_scan_split": _state(6) + f"\nSELECT {_STATE_COLUMNS} FROM state",
+        "stream_scan_resumed": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
+        "stream_scan_log": _state(10, "s10") + _state(20, "s20") + _state(30, "s30") + "".join(
+            f"{' UNION ALL' if n > 10 else ''}\nSELECT {_STATE_COLUMNS}, {n} AS n FROM s{n}" for n in (10, 20, 30)),
         "stream_scan_replay": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
     }
     return {name: _COMMON.strip() + body if body.startswith(",") else _COMMON.strip() + "\n" + body

@@ -189,6 +189,13 @@ def _list_orders(**options) -> Query:
     return query
 
 
+def list_topics_deep_page(spark, sf_dir):
+    """A page behind position 10,000 of all orders as topics."""
+    return reports.list_topics(views.single_order_state(spark, sf_dir), views.order_as_of(spark, sf_dir), sort_by="messages",
+                               page=21, limit=500, stale_days=_O_STALE, unused_days=_O_UNUSED).rows.select(
+        "name", "position", "total_message_count")
+
+
 def list_topics_by_empty(spark, sf_dir):
     return reports.list_topics(_state(spark, sf_dir), AS_OF, sort_by="empty", sort_dir="desc", limit=500,
                                stale_days=_STALE, unused_days=_UNUSED).rows
@@ -291,10 +298,50 @@ def changelog_merge_topics(spark, sf_dir):
         "name", "partition_count", "total_message_count", "last_update")
 
 
+def changelog_one_topic(spark, sf_dir):
+    return codec.encode_topic(views.order_state(spark, sf_dir), "orders.cust-7", AS_OF).select("key", "value")
+
+
+def _placed(records: DataFrame, order: int) -> DataFrame:
+    """Records of one writer in the log, later than those of a lower order."""
+    offset = F.lit(order * 10**9) + F.coalesce(codec.slice_of(F.col("key")), F.lit(0))
+    return records.select("key", "value", F.lit(0).alias("partition"), offset.cast("bigint").alias("offset"),
+                          F.timestamp_seconds(F.lit(AS_OF)).alias("timestamp"))
+
+
+def _compacted(log: DataFrame) -> DataFrame:
+    """What a compacted log keeps: the last record of every key."""
+    last = log.groupBy("key").agg(F.max_by(F.struct("value", "partition", "offset", "timestamp"), "offset").alias("last"))
+    return last.select("key", "last.*")
+
+
+def changelog_wide_compacted(spark, sf_dir):
+    """All orders as one wide topic, written twice, compacted and replayed."""
+    state = views.wide_order_state(spark, sf_dir, "orders.all")
+    older = codec.encode_topics(state.withColumn("offset", F.col("offset") + 1), AS_OF)
+    log = _placed(older, 0).unionByName(_placed(codec.encode_topics(state, AS_OF), 1))
+    return _rows(replay.replay_topics(_compacted(log), AS_OF))
+
+
+def changelog_wide_replaced(spark, sf_dir):
+    """Two wide topics; another writer replaces one by a record of the whole topic, the other one is deleted."""
+    first, second = (views.wide_order_state(spark, sf_dir, f"orders.{name}") for name in "ab")
+    whole = views.table(spark, sf_dir, "nation").select(
+        F.lit("orders.a").alias("topic"), F.col("n_nationkey").cast("int").alias("partition"),
+        F.col("n_regionkey").cast("bigint").alias("offset"), F.lit(AS_OF).cast("bigint").alias("timestamp"),
+        F.lit(False).alias("is_empty"), F.lit(AS_OF).cast("bigint").alias("scanned_at"),
+        F.col("n_regionkey").cast("bigint").alias("message_count"), F.lit(AS_OF).cast("bigint").alias("last_update"))
+    gone = codec.topic_tombstones(second.select("topic").distinct(), second)
+    log = (_placed(codec.encode_topics(first.unionByName(second), AS_OF), 0)
+           .unionByName(_placed(codec.encode_topics(whole, AS_OF, slice_width=10**6), 1)).unionByName(_placed(gone, 2)))
+    return _rows(replay.replay_topics(_compacted(log), AS_OF))
+
+
 def state_merge(spark, sf_dir):
+    """The states of two writers, each of which was last seen at another scan; every row takes part."""
     listing, observation = views.scans(spark, sf_dir)
-    current = history.state_as_of(observation, listing, _at(30)).where((F.col("partition") + F.col("offset")) % 3 != 0)
-    incoming = history.state_as_of(observation, listing, _at(26)).where(F.col("offset") % 5 != 0)
+    current = history.state_as_of(observation, listing, _at(30))
+    incoming = history.state_as_of(observation, listing, _at(26))
     return _rows(replay.merge_states(current, incoming))
 
 
@@ -305,6 +352,10 @@ def changelog_profile(spark, sf_dir):
     return profile.changelog_profile(views.changelog(spark, sf_dir).unionByName(beats))
 
 
+def partitions_with_data(spark, sf_dir):
+    return profile.partitions_with_data(views.changelog(spark, sf_dir))
+
+
 def resume_offsets(spark, sf_dir):
     return profile.resume_offsets(views.changelog(spark, sf_dir), 8)
 
@@ -357,7 +408,8 @@ def topic_configs(spark, sf_dir):
 
 
 def config_audit(spark, sf_dir):
-    return audit.config_findings(configs.topic_configs(views.topic_config(spark, sf_dir))).withColumn(
+    rows = views.topic_config(spark, sf_dir)
+    return audit.config_findings(configs.topic_configs(rows), topics=rows.select("topic").distinct()).withColumn(
         "actual", F.coalesce("actual", F.lit("")))
 
 
@@ -398,6 +450,18 @@ def stream_merge_tables(spark, sf_dir):
     return _rows(live.read_topic_view(spark, out))
 
 
+def stream_merge_resumed(spark, sf_dir):
+    """The log up to scan 15 merged in one batch; a stream starts from that state and reads the rest."""
+    log = _partial_log(spark, sf_dir)
+    early = F.unix_timestamp("timestamp") <= F.lit(_at(15))
+    initial = materialise(replay.merge_topics(log.where(early)), "initial-state")
+    source, out, checkpoint = (scratch_dir(spark, f"stream-{part}") for part in ("source", "out", "checkpoint"))
+    late = F.unix_timestamp("timestamp")
+    _feed(log.where(~early), [late <= _at(20), late > _at(20)], source,
+          lambda: live.topic_view_tables(log_source.stream_table(spark, source), out, checkpoint, initial=initial))
+    return _rows(live.read_topic_view(spark, out))
+
+
 def stream_heartbeats(spark, sf_dir):
     """Every heartbeat, then a broken value for some users and a tombstone for others."""
     user = F.substring_index("key", "-", -1).cast("bigint")
@@ -413,8 +477,12 @@ def stream_heartbeats(spark, sf_dir):
     return live.read_heartbeat_view(spark, out, AS_OF)
 
 
+def _scan_rows(spark, sf_dir) -> DataFrame:
+    return materialise(scans.scan_rows(views.raw_listing(spark, sf_dir), views.observation(spark, sf_dir)), "scans")
+
+
 def _run_scan_stream(spark, sf_dir) -> tuple[str, str]:
-    rows = materialise(scans.scan_rows(views.raw_listing(spark, sf_dir), views.observation(spark, sf_dir)), "scans")
+    rows = _scan_rows(spark, sf_dir)
     n = (F.col("scan_time") - F.lit(BASE)) / DAY
     source, state, log, checkpoint = (
         scratch_dir(spark, f"stream-{part}") for part in ("source", "state", "log", "checkpoint"))
@@ -434,6 +502,42 @@ def stream_scan_replay(spark, sf_dir):
     return _rows(replay.replay_topics(scans.read_scan_changelog(spark, log), AS_OF))
 
 
+def stream_scan_split(spark, sf_dir):
+    """Scans 1 to 6 from files that cut across scans, one file per micro-batch."""
+    rows = _scan_rows(spark, sf_dir).where(F.col("scan_time") <= _at(6))
+    source, state, log, checkpoint = (
+        scratch_dir(spark, f"stream-{part}") for part in ("source", "state", "log", "checkpoint"))
+    piece = F.pmod(F.xxhash64("topic"), F.lit(4))
+    rows.repartition(4, piece).write.parquet(source)
+    scans.start_scans(scans.read_scans(spark, source, max_files_per_trigger=1), state, log, checkpoint).awaitTermination()
+    return _rows(scans.read_scan_state(spark, state))
+
+
+def stream_scan_resumed(spark, sf_dir):
+    """The records of scans 1 to 26 replayed, then scans 27 to 30 from a stream that starts from that state."""
+    listing, observation = views.scans(spark, sf_dir)
+    records = codec.encode_topics(history.state_as_of(observation, listing, _at(26)), _at(26))
+    log = records.select("key", "value", F.lit(0).alias("partition"), F.lit(0).cast("bigint").alias("offset"),
+                         F.timestamp_seconds(F.lit(_at(26))).alias("timestamp"))
+    initial = materialise(replay.replay_topics(log, _at(26)), "initial-state")
+    rows = _scan_rows(spark, sf_dir).where(F.col("scan_time") > _at(26))
+    source, state, changes, checkpoint = (
+        scratch_dir(spark, f"stream-{part}") for part in ("source", "state", "log", "checkpoint"))
+    rows.write.parquet(source)
+    scans.start_scans(scans.read_scans(spark, source), state, changes, checkpoint, initial=initial).awaitTermination()
+    return _rows(scans.read_scan_state(spark, state))
+
+
+def stream_scan_log(spark, sf_dir):
+    """Replays of a scan stream's log after scans 10, 20 and 30."""
+    _, path = _run_scan_stream(spark, sf_dir)
+    log = scans.read_scan_changelog(spark, path)
+    states = [
+        _rows(replay.replay_topics(log.where(F.unix_timestamp("timestamp") <= F.lit(_at(n))), _at(n))).withColumn("n", F.lit(n))
+        for n in (10, 20, 30)]
+    return states[0].unionByName(states[1]).unionByName(states[2])
+
+
 QUERIES: dict[str, Query] = {
     "unused_topics_from_log": unused_topics_from_log,
     "topic_listing": topic_listing,
@@ -463,6 +567,7 @@ QUERIES: dict[str, Query] = {
     "list_topics_by_status": _list_orders(sort_by="status", sort_dir="desc", page=2, limit=500),
     "list_topics_by_messages": _list_orders(sort_by="messages", sort_dir="desc", search="CUST-1[0-9]+$"),
     "list_topics_by_empty": list_topics_by_empty,
+    "list_topics_deep_page": list_topics_deep_page,
     "unused_topics": unused_topics,
     "empty_topics": empty_topics,
     "page_meta": page_meta,
@@ -479,13 +584,19 @@ QUERIES: dict[str, Query] = {
     "name_match_prefix": _matched(lambda: name_matcher(F.col("name"), prefix="orders.cust-2")),
     "name_match_substring": _matched(lambda: name_matcher(F.col("name"), search="CUST-3")),
     "name_match_regex": _matched(lambda: name_matcher(F.col("name"), search="cust-(?:1|2)[0-9]*5$", regex=True)),
+    "name_match_class": _matched(lambda: name_matcher(F.col("name"), search="cust-[[&&1]+[^*+&&1]*$", regex=True)),
+    "topic_search_unicode": _matched(lambda: search_predicate(F.concat(F.col("name"), F.lit("-ÄÖ")), "(?i)CUST-[0-9]*7-äö$")),
     "topic_search": _matched(lambda: search_predicate(F.col("name"), "ORDERS[.]cust-[0-9]*7$")),
     "changelog_records": changelog_records,
+    "changelog_one_topic": changelog_one_topic,
+    "changelog_wide_compacted": changelog_wide_compacted,
+    "changelog_wide_replaced": changelog_wide_replaced,
     "changelog_encode_replay": changelog_encode_replay,
     "changelog_merge": changelog_merge,
     "changelog_merge_topics": changelog_merge_topics,
     "state_merge": state_merge,
     "changelog_profile": changelog_profile,
+    "partitions_with_data": partitions_with_data,
     "resume_offsets": resume_offsets,
     "heartbeat_liveness": heartbeat_liveness,
     "instance_prune": instance_prune,
@@ -500,9 +611,13 @@ QUERIES: dict[str, Query] = {
     "config_audit_summary": config_audit_summary,
     "stream_merge": stream_merge,
     "stream_merge_tables": stream_merge_tables,
+    "stream_merge_resumed": stream_merge_resumed,
     "stream_heartbeats": stream_heartbeats,
     "stream_scan": stream_scan,
     "stream_scan_replay": stream_scan_replay,
+    "stream_scan_split": stream_scan_split,
+    "stream_scan_resumed": stream_scan_resumed,
+    "stream_scan_log": stream_scan_log,
 }
 
 

@@ -70,7 +70,7 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         topics.select("topic", "user_id", "first_ts", F.explode(partitions).alias("partition"))
         .select("topic", "user_id", "partition",
-                F.explode(F.sequence(_day_of(F.col("first_ts")), F.lit(SCANS))).alias("n"))
+                F.explode(F.when(_day_of(F.col("first_ts")) <= SCANS, F.sequence(_day_of(F.col("first_ts")), F.lit(SCANS)))).alias("n"))
     )
 
 
@@ -139,6 +139,21 @@ def order_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_order_state(spark: SparkSession, sf_dir: str, topic: str) -> DataFrame:
+    """``orders`` as one very wide topic: a partition per order."""
+    when = epoch_seconds(F.col("o_orderdate"))
+    return table(spark, sf_dir, "orders").select(
+        F.lit(topic).alias("topic"), F.col("o_orderkey").cast("int").alias("partition"),
+        F.col("o_custkey").cast("bigint").alias("offset"), when.alias("timestamp"), F.lit(False).alias("is_empty"),
+        when.alias("scanned_at"), F.col("o_custkey").cast("bigint").alias("message_count"), when.alias("last_update"))
+
+
+def single_order_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as one topic per order."""
+    rows = wide_order_state(spark, sf_dir, "")
+    return rows.withColumn("topic", F.concat(F.lit("order-"), F.col("partition").cast("string"))).withColumn("partition", F.lit(0))
+
+
 def order_as_of(spark: SparkSession, sf_dir: str) -> Column:
     """The latest order time as a scalar subquery."""
     return table(spark, sf_dir, "orders").agg(F.max(epoch_seconds(F.col("o_orderdate")))).scalar()

@@ -137,21 +137,63 @@ def test_encoding(spark):
     assert codec.encode_topics(state(spark, {}), 1).count() == 0
 
 
-def test_wide_topics_are_sliced(spark):
-    """A topic wider than one record round-trips, and a later slice replaces only its range."""
-    topics = {"wide": {p: (p, p, False, 1, 1) for p in range(25)}, "slim": {0: (1, 1, False, 1, 1)}}
-    encoded = codec.encode_topics(state(spark, topics), 1, slice_width=10)
-    rows = encoded.orderBy("key", "slice").collect()
-    assert [(r.key, r.slice) for r in rows] == [("slim", 0), ("wide", 0), ("wide", 1), ("wide", 2)]
-    assert "slice" not in rows[1].value and '"slice":2' in rows[3].value
+WIDE = {"wide": {p: (p, p, False, 1, 1) for p in range(25)}, "slim": {0: (1, 1, False, 1, 1)}}
+
+
+def replayed(spark, records):
+    return folds.of_state(replay.replay_topics(log(spark, records), 1))
+
+
+def compacted(records):
+    """What a compacted log keeps: the last record of every key."""
+    return list(dict(records).items())
+
+
+def test_wide_topics_survive_compaction(spark):
+    """Every slice has a key of its own; a later slice replaces only its range."""
+    rows = codec.encode_topics(state(spark, WIDE), 1, slice_width=10).orderBy("key", "slice").collect()
+    assert [(r.key, r.slice) for r in rows] == [("slim", 0), ("wide", 0), ("wide#1", 1), ("wide#2", 2)]
+    assert '"slices":3,"slice_width":10' in rows[1].value and '"slice":2,"slice_width":10' in rows[3].value
+    assert "slice" not in rows[0].value
     records = [(r.key, r.value) for r in rows]
-    assert folds.of_state(replay.replay_topics(log(spark, records), 1)) == topics
-    assert folds.of_state(replay.merge_topics(log(spark, records))) == topics
-    changed = record("wide", {24: offset_only(99)}, slice=2)
-    replayed = folds.of_state(replay.replay_topics(log(spark, [*records, ("wide", changed)]), 1))["wide"]
-    assert set(replayed) == {*range(20), 24} and replayed[24][0] == 99
-    assert "wide" not in folds.of_state(replay.replay_topics(log(spark, [*records, ("wide", None)]), 1))
-    assert profile.changelog_profile(log(spark, records)).first()["final_topics"] == 2
+    assert replayed(spark, compacted(records * 2)) == WIDE
+    assert folds.of_state(replay.merge_topics(log(spark, records))) == WIDE
+    changed = record("wide", {24: offset_only(99)}, slice=2, slice_width=10)
+    later = replayed(spark, compacted([*records, ("wide#2", changed)]))["wide"]
+    assert set(later) == {*range(20), 24} and later[24][0] == 99
+    figures = profile.changelog_profile(log(spark, records)).first()
+    assert (figures["final_topics"], figures["unique_keys"]) == (2, 4)
+    assert profile.key_mismatches(log(spark, records)).first()["key_mismatches"] == 0
+
+
+def test_whole_records_replace_all_slices(spark):
+    records = [(r.key, r.value) for r in codec.encode_topics(state(spark, WIDE), 1, slice_width=10).collect()]
+    whole = ("wide", record("wide", {p: offset_only(7) for p in (0, 12, 24)}))
+    assert set(replayed(spark, compacted([*records, whole]))["wide"]) == {0, 12, 24}
+    # a later writer with another width replaces every range of the earlier one
+    other = [(r.key, r.value) for r in codec.encode_topics(state(spark, WIDE), 2, slice_width=9).collect()]
+    assert replayed(spark, [*records, *other]) == replayed(spark, compacted([*records, *other])) == WIDE
+    # wide once more after the whole record
+    assert replayed(spark, compacted([*records, whole, *records])) == WIDE
+
+
+def test_tombstones_of_wide_topics(spark):
+    frame = state(spark, WIDE)
+    records = [(r.key, r.value) for r in codec.encode_topics(frame, 1, slice_width=10).collect()]
+    gone = codec.topic_tombstones(spark.createDataFrame([("wide",)], "topic string"), frame, slice_width=10)
+    deleted = [(r.key, r.value) for r in gone.collect()]
+    assert sorted(deleted) == [("wide", None), ("wide#1", None), ("wide#2", None)]
+    assert set(replayed(spark, [*records, *deleted])) == {"slim"}
+    assert set(folds.of_state(replay.merge_topics(log(spark, [*records, *deleted])))) == {"slim"}
+    assert set(replayed(spark, [*records, ("wide", None)])) == {"slim"}  # no head, no topic
+    again = ("wide", record("wide", {0: offset_only(3)}))
+    assert set(replayed(spark, compacted([*records, *deleted, again]))["wide"]) == {0}
+
+
+def test_the_head_is_written_with_any_slice(spark):
+    flagged = state(spark, WIDE).withColumn("observed", F.coalesce(F.col("partition") == 24, F.lit(False)))
+    keys = [r.key for r in codec.encode_topics(flagged, 1, observed_only=True, slice_width=10).collect()]
+    assert sorted(keys) == ["wide", "wide#2"]
 
 
 def test_unobserved_topics_are_not_written(spark):

@@ -127,7 +127,12 @@ def test_search_predicate(spark):
     assert matched(spark, names.search_predicate(name, "ÄPF"), ["äpfel", "birne"]) == {"äpfel"}
     assert matched(spark, names.search_predicate(name, "^(?P<kind>ord)"), ["orders", "x-ord"]) == {"orders"}
     assert matched(spark, names.search_predicate(name, "[[:digit:]]$"), ["a1", "b"]) == {"a1"}
-    for bad in ("(", "a(?=b)", "(?<!x)y", r"(a)\1", "a++"):
+    assert matched(spark, names.search_predicate(name, "[a&&b]"), ["&", "b", "c"]) == {"&", "b"}
+    assert matched(spark, names.search_predicate(name, "^[*+]$"), ["*", "+", "c"]) == {"*", "+"}
+    assert matched(spark, names.search_predicate(name, "^[[x]$"), ["[", "x", "c"]) == {"[", "x"}
+    assert matched(spark, names.name_matcher(name, search="(?i)^ä", regex=True), ["Äpfel", "birne"]) == {"Äpfel"}
+    assert matched(spark, names.name_matcher(name, search=r"^\Qa.b\E{2}$|[^\d[:alpha:]]{3}", regex=True), ["a.bb", "a.b", "--.", "x"]) == {"a.bb", "--."}
+    for bad in ("(", "a(?=b)", "(?<!x)y", r"(a)\1", "a++", "a**", "a{2}{3}", "(?U)a", "(?x)a", r"\R", r"\h", r"\Z", "[a", "\\", "[[:foo:]]"):
         with pytest.raises(names.InvalidSearch):
             names.search_predicate(name, bad)
 

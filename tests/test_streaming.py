@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quietlog.operators import replay
-from quietlog.schema import CHANGELOG
+from quietlog.schema import CHANGELOG, STATE
 from quietlog.sources import changelog as log_source
 from quietlog.streaming import live, scans
 from tests import folds
@@ -76,6 +76,56 @@ def test_heartbeat_view(spark, tmp_path):
     assert {r.instance_id for r in kept} == {"a", "b"}
 
 
+def test_table_view_starts_from_a_replayed_state(spark, tmp_path):
+    records = random_records(13, 200)
+    numbered = [(key, value, 0, i, None) for i, (key, value) in enumerate(records)]
+    initial = replay.merge_topics(spark.createDataFrame(numbered[:120], CHANGELOG))
+    source, out, checkpoint = (str(tmp_path / n) for n in ("source", "out", "checkpoint"))
+    for part in (numbered[120:160], numbered[160:]):
+        spark.createDataFrame(part, CHANGELOG).write.mode("append").parquet(source)
+        live.topic_view_tables(log_source.stream_table(spark, source), out, checkpoint, initial=initial).awaitTermination()
+    assert folds.of_state(live.read_topic_view(spark, out), with_update=True) == folds.merge(records)
+
+
+def scan_table(spark, rows):
+    sizes = {}
+    for _, _, time, _ in rows:
+        sizes[time] = sizes.get(time, 0) + 1
+    return spark.createDataFrame([(t, p, time, True, offset, 0, sizes[time]) for t, p, time, offset in rows], scans.SCAN_ROW)
+
+
+def test_split_scans_wait_and_late_ones_are_refused(spark, tmp_path):
+    source, state, changelog, checkpoint = (str(tmp_path / n) for n in ("source", "state", "log", "checkpoint"))
+    topics = [f"t{i}" for i in range(8)]
+    first = scan_table(spark, [(t, 0, 1000, 5) for t in topics])
+    second = scan_table(spark, [(t, 0, 2000, 9) for t in topics])
+    late = scan_table(spark, [(t, 0, 1500, 7) for t in topics[:2]])
+
+    def run(frame):
+        frame.coalesce(1).write.mode("append").parquet(source)
+        scans.start_scans(scans.read_scans(spark, source, max_files_per_trigger=1), state, changelog, checkpoint).awaitTermination()
+        return {t: held[0][0] for t, held in folds.of_state(scans.read_scan_state(spark, state)).items()}
+
+    half = F.col("topic") < "t4"
+    assert run(first.where(half)) == {}
+    assert run(second) == {}  # complete, but an earlier scan is not
+    assert run(first.where(~half)) == dict.fromkeys(topics, 9)
+    records = scans.read_scan_changelog(spark, changelog).collect()
+    assert len(records) == 16 and all(r.value for r in records)  # a set of records for each scan, no tombstone
+    assert run(late) == dict.fromkeys(topics, 9)
+    assert scans.read_scan_changelog(spark, changelog).count() == 16
+
+
+def test_scans_start_from_a_state(spark, tmp_path):
+    source, state, changelog, checkpoint = (str(tmp_path / n) for n in ("source", "state", "log", "checkpoint"))
+    initial = spark.createDataFrame([("a", 0, 5, 700, False, 1000, 5, 1000), ("b", 0, 5, 700, False, 1000, 5, 1000)], STATE)
+    scan_table(spark, [("a", 0, 900, 1), ("a", 0, 2000, 5)]).write.parquet(source)
+    scans.start_scans(scans.read_scans(spark, source), state, changelog, checkpoint, initial=initial).awaitTermination()
+    rows = scans.read_scan_state(spark, state).where("partition is not null").collect()
+    assert [(r.topic, r.offset, r.timestamp, r.scanned_at) for r in rows] == [("a", 5, 700, 2000)]
+    assert {(r.key, r.value is None) for r in scans.read_scan_changelog(spark, changelog).collect()} == {("a", False), ("b", True)}
+
+
 @pytest.mark.parametrize("seed,parts", [(21, 1), (22, 4)])
 def test_scan_stream(spark, tmp_path, seed, parts):
     series = [(time, {t: p for t, p in listed.items() if p}, answers) for time, listed, answers in random_scans(seed, 10)]
