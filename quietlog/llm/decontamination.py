@@ -19,7 +19,7 @@ from quietlog.llm.common import column, ranges, slices, texts
 
 WINDOW = 13
 #: Bytes of text in a shard; a longer document is a shard of its own.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 #: A row whose text position is a multiple of this keeps the position.
 SAMPLE = 8
 #: Benchmarks are held by every task; a larger table is refused.

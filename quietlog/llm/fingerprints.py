@@ -22,23 +22,24 @@ SEED = 42
 SHINGLE_WORDS = 3
 #: Fingerprints of one cell that are compared with each other directly; a fuller cell goes by single bit flips.
 CELL_PAIRS = 512
+#: Bytes of text whose shingles are held at once.
+CHUNK_BYTES = 4 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
-def _hashes(text: str) -> list[int]:
+def _hashes(text: str) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and exactly the six white space bytes
-    if not words:
-        return []
     digest = xxhash.xxh64_intdigest
     if len(words) < SHINGLE_WORDS:
-        return [digest(b" ".join(words), SEED)]
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
     line = b" ".join(words)
     starts = [0]
     at = 0
     for word in words:
         at += len(word) + 1
         starts.append(at)
-    return [digest(line[a:b - 1], SEED) for a, b in zip(starts, starts[SHINGLE_WORDS:])]
+    count = len(words) - SHINGLE_WORDS + 1
+    return np.fromiter((digest(line[a:b - 1], SEED) for a, b in zip(starts, starts[SHINGLE_WORDS:])), np.uint64, count)
 
 
 def fingerprint_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -69,11 +70,10 @@ def cell_of(fingerprints: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, bits, cell): one per row of ``docs``; a null text has no words and fingerprint zero."""
     def run(batches):
-        for batch in slices(batches, 16 << 20):
+        for batch in slices(batches, CHUNK_BYTES):
             each = [_hashes(t) for t in texts(batch)]
             counts = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.fromiter((h for hs in each for h in hs), np.uint64, int(counts.sum()))
-            bits = fingerprint_bits(flat, counts)
+            bits = fingerprint_bits(np.concatenate(each), counts)
             yield pa.RecordBatch.from_arrays([
                 batch.column(batch.schema.get_field_index("doc_id")),
                 pa.array(bits.view(np.int64)), pa.array(cell_of(bits).view(np.int64)),

@@ -18,7 +18,7 @@ from quietlog.llm.encoding import encoder, with_end
 from quietlog.session import scratch_dir
 
 SEQUENCE = 1024
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Pieces numbered in one task, about.
 NUMBERED = 200_000
 

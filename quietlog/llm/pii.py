@@ -17,7 +17,7 @@ from quietlog.session import scratch_dir
 from quietlog.sources.tables import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: Rounds of scoring, and what a pattern needs: distinct seeds, and the share of its identifiers that are of the kind.
 ROUNDS, SEEDS, CONFIDENCE = 3, 5, 0.8
 

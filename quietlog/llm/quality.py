@@ -18,7 +18,7 @@ from quietlog.llm.common import slices, texts
 
 #: At most so many rows of each kind are learnt from, those of smallest hash.
 SAMPLE_ROWS = 6_000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 THRESHOLD = 0.3
 
 # Classes of bytes: 0 other, 1 space, 2 line end, 3 small letter, 4 capital, 5 digit, 6 sentence mark,
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     unlabelled = [r["text"] for r in rows.join(F.broadcast(web.distinct()), "doc_id").toLocalIterator()]
     if not positive or not unlabelled:
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(3 * FEATURES), 0.0, 0.5)
-    return train(*(np.concatenate([features(x[i:i + 500]) for i in range(0, len(x), 500)]) for x in (positive, unlabelled)))
+    return train(*(np.concatenate([features(x[i:i + 100]) for i in range(0, len(x), 100)]) for x in (positive, unlabelled)))
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

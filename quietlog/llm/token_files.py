@@ -24,7 +24,7 @@ BLOCK = 1 << 16
 #: Bytes of text per file, about.
 SHARD_BYTES = 24 << 20
 #: Bytes of text that are encoded at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> np.ndarray:
