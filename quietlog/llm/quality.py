@@ -146,10 +146,10 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     return Model(mean, scale, fitted[:-1], float(fitted[-1]), prior)
 
 
-def _sample(rows: DataFrame, most: int) -> list[str]:
-    """Texts of the ``most`` rows of smallest hash, a top-k that merges in the map tasks."""
-    picked = rows.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
-    return [r["text"] for r in picked.select("text").toLocalIterator()]
+def _texts_of(rows: DataFrame, ids: DataFrame) -> list[str]:
+    """Texts of the sampled ``ids``, one each: of repeated rows the smallest text."""
+    found = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return [r["text"] for r in sorted(found.toLocalIterator(), key=lambda r: r["doc_id"])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -166,9 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     trusted = trusted.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     # which positives: decided on the narrow label table, then only their texts are read
     named = trusted.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample_rows)
-    positive = [r["text"] for r in rows.join(F.broadcast(named), "doc_id").toLocalIterator()]
+    positive = _texts_of(rows, named)
     web = rows.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample_rows)
-    unlabelled = [r["text"] for r in rows.join(F.broadcast(web.distinct()), "doc_id").toLocalIterator()]
+    unlabelled = _texts_of(rows, web.distinct())
     if not positive or not unlabelled:
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(3 * FEATURES), 0.0, 0.5)
     return train(*(np.concatenate([features(x[i:i + 100]) for i in range(0, len(x), 100)]) for x in (positive, unlabelled)))
