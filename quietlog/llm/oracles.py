@@ -37,18 +37,18 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 """
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), '" + _UPPER + "', '" + _LOWER + \
-    "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '')"
+    "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 windows AS (
   SELECT item_id, least(len(ws), 13) AS n, unnest(list_transform(range(greatest(len(ws) - 12, 1)),
-         i -> array_to_string(ws[i + 1:i + 13], ' '))) AS w FROM b WHERE len(ws) > 0),
+         lambda i: array_to_string(ws[i + 1:i + 13], ' '))) AS w FROM b WHERE len(ws) > 0),
 sizes AS (SELECT DISTINCT n FROM windows),
 places AS (
   SELECT doc_id, n, unnest(range(len(ws) - n + 1)) AS i, unnest(list_transform(range(len(ws) - n + 1),
-         i -> array_to_string(ws[i + 1:i + n], ' '))) AS w FROM d, sizes WHERE len(ws) >= n),
+         lambda i: array_to_string(ws[i + 1:i + n], ' '))) AS w FROM d, sizes WHERE len(ws) >= n),
 found AS (SELECT DISTINCT doc_id, item_id, p.n, i FROM places p JOIN windows USING (n, w)),
 hits AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM found) GROUP BY doc_id),
 items AS (
@@ -59,6 +59,19 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+least AS (SELECT u, min(w) AS w FROM reach GROUP BY u),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(w, vec_id)) AS component_id, vec_id <= coalesce(w, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN counts ON counts.u = vec_id
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION, "op5_url_rules": URLS, "op7_chat": CHAT}
+    return {"op3_decontamination": DECONTAMINATION, "op5_url_rules": URLS, "op7_chat": CHAT, "op8_embeddings": EMBEDDINGS}
