@@ -6,7 +6,7 @@ returns lazy DataFrames.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietlog.functions.ages import age_days, age_parts, age_seconds, age_text, topic_age_days, topic_age_text, utc_text
@@ -167,16 +167,29 @@ def list_sub_rows(report: DataFrame, state: DataFrame, as_of, stale_days=None) -
         "topic", "partition", "offset", "age", "message_count")
 
 
+def _numbered(nested: DataFrame) -> DataFrame:
+    """Lines of a topic with their number (``slice``) and how many there are (``slices``)."""
+    lines = Window.partitionBy("name")
+    return nested.withColumns({
+        "slices": F.count(F.lit(1)).over(lines),
+        "slice": (F.row_number().over(lines.orderBy("slice")) - 1).cast("bigint")})
+
+
+def _line_numbers() -> list[Column]:
+    """``slice`` and ``slices``; a topic without nested rows has one line."""
+    return [F.coalesce("slice", F.lit(0)).alias("slice"), F.coalesce("slices", F.lit(1)).alias("slices")]
+
+
 def list_documents(report: DataFrame, state: DataFrame | None = None, as_of=None, stale_days=None,
                    slice_width: int = SLICE_WIDTH) -> DataFrame:
     """The list report as JSON, one line per topic (K6).
 
     With a state, ``stale_partition_details`` are nested.  A topic gets one line per
     range of ``slice_width`` partition numbers that holds stale ones, so that no line
-    grows without bound.
+    grows without bound; every line says which it is of how many.
     """
     details = F.lit(None)
-    lines = report
+    lines = report.withColumns({"slice": F.lit(0).cast("bigint"), "slices": F.lit(1).cast("bigint")})
     if state is not None:
         item = F.struct("partition", "offset", "age", "message_count")
         nested = (
@@ -185,11 +198,12 @@ def list_documents(report: DataFrame, state: DataFrame | None = None, as_of=None
             .groupBy(F.col("topic").alias("name"), "slice")
             .agg(F.sort_array(F.collect_list(item)).alias("details"))
         )
-        lines = report.join(nested, "name", "left")
+        lines = report.join(_numbered(nested), "name", "left")
         details = F.col("details")
     return lines.select("name", F.to_json(F.struct(
         "name", "status", "is_empty", "partition_count", "oldest_partition_age", "newest_partition_age",
         "stale_partitions", "total_message_count", "last_update_unix", details.alias("stale_partition_details"),
+        *_line_numbers(),
     ), {"ignoreNullFields": "true"}).alias("document"))
 
 
@@ -241,9 +255,10 @@ def topic_documents(state: DataFrame, as_of, prefix=None, search=None, regex: bo
         elapsed = F.when(F.col(name) > 0, age_seconds(F.col(name), as_of)).otherwise(F.lit(0).cast("bigint"))
         return age_parts(elapsed)
 
-    return topics.join(nested, "name", "left").select("name", F.to_json(F.struct(
+    return topics.join(_numbered(nested), "name", "left").select("name", F.to_json(F.struct(
         "name", "partition_count", "partitions", age("oldest_timestamp").alias("oldest_partition_age"),
         age("newest_timestamp").alias("newest_partition_age"), "last_update", "is_empty", "total_message_count",
+        *_line_numbers(),
     )).alias("document"))
 
 

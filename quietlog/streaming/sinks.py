@@ -17,7 +17,20 @@ def batch_path(path: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/batch_id={batch_id}"
 
 
+def _refuse_used(spark: SparkSession, path: str) -> None:
+    """A new query must not continue in the folder of another one, whose later batches would hide its own."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(folder):
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("batch_id=") and name != "batch_id=0":
+                raise ValueError(f"{path} holds batches of another query; use a new folder with a new checkpoint")
+
+
 def write_batch(frame: DataFrame, path: str, batch_id: int) -> None:
+    if batch_id == 0:
+        _refuse_used(frame.sparkSession, path)
     frame.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
 

@@ -303,8 +303,10 @@ SELECT name, '{{"name":"' || name || '","status":"' || status || '","is_empty":'
   || '","newest_partition_age":"' || {_age_text(f'{_AS_OF} - newest')}
   || '","stale_partitions":' || CAST(stale AS VARCHAR) || ',"total_message_count":' || CAST(total AS VARCHAR)
   || ',"last_update_unix":' || CAST(last_update AS VARCHAR)
-  || coalesce(',"stale_partition_details":' || d, '') || '}}' AS document
+  || coalesce(',"stale_partition_details":' || d, '') || ',"slice":0,"slices":1}}' AS document
 FROM status LEFT JOIN details ON name = topic WHERE newest_days >= 4""",
+        "list_documents_wide": """SELECT 'orders.all' AS name, o_orderkey // 5000 AS range, count(*) AS partitions,
+  (SELECT count(DISTINCT o_orderkey // 5000) FROM orders) AS slices FROM orders GROUP BY 1, 2""",
         "list_header": """SELECT '2024-01-31T00:00:00Z' AS generated_at, count(*) AS count
 FROM ostatus WHERE newest_days >= 365""",
         "list_sub_rows": f"""SELECT s.topic, s.part AS partition, s.off AS "offset",
@@ -328,7 +330,7 @@ SELECT name, '{{"name":"' || name || '","partition_count":' || CAST(partition_co
   || ',"hours":' || CAST(((t - newest) // 3600) % 24 AS VARCHAR)
   || ',"minutes":' || CAST(((t - newest) // 60) % 60 AS VARCHAR) || ',"seconds":' || CAST((t - newest) % 60 AS VARCHAR)
   || '}},"last_update":' || CAST(newest AS VARCHAR) || ',"is_empty":false,"total_message_count":' || CAST(total AS VARCHAR)
-  || '}}' AS document
+  || ',"slice":0,"slices":1}}' AS document
 FROM otopic JOIN parts ON name = topic WHERE contains(name, '-1')""",
         "scan_summary": """SELECT count(*) AS total_topics,
   count(*) FILTER (WHERE contains(lower(name), 'cust-1')) AS match_count,

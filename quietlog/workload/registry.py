@@ -245,6 +245,17 @@ def list_documents(spark, sf_dir):
     return reports.list_documents(report, state, AS_OF, _STALE)
 
 
+def list_documents_wide(spark, sf_dir):
+    """All orders as one wide topic: what each line of its document holds."""
+    state = views.wide_order_state(spark, sf_dir, "orders.all").withColumn("timestamp", F.lit(AS_OF - 400 * DAY).cast("bigint"))
+    lines = reports.list_documents(reports.list_report(state, AS_OF), state, AS_OF)
+    details = "struct<slice:bigint,slices:bigint,stale_partition_details:array<struct<partition:int>>>"
+    line = F.from_json("document", details)
+    first = line["stale_partition_details"][0]["partition"]
+    return lines.select("name", F.call_function("div", first, F.lit(5000)).cast("bigint").alias("range"),
+                        F.size(line["stale_partition_details"]).cast("bigint").alias("partitions"), line["slices"].alias("slices"))
+
+
 def _order_report(spark, sf_dir):
     return reports.list_report(views.order_state(spark, sf_dir), views.order_as_of(spark, sf_dir),
                                stale_days=_O_STALE, unused_days=_O_UNUSED)
@@ -577,6 +588,7 @@ QUERIES: dict[str, Query] = {
     "list_report": list_report,
     "list_report_empty": list_report_empty,
     "list_documents": list_documents,
+    "list_documents_wide": list_documents_wide,
     "list_header": list_header,
     "list_sub_rows": list_sub_rows,
     "topic_documents": topic_documents,

@@ -134,7 +134,8 @@ def test_list_documents(spark, tmp_path):
     sliced = reports.list_documents(report, frame, NOW, slice_width=2)
     reports.write_documents(sliced, str(tmp_path / "out"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert sorted(len(line["stale_partition_details"]) for line in lines) == [1, 2, 2]
+    assert sorted((line["slice"], len(line["stale_partition_details"])) for line in lines) == [(0, 2), (1, 2), (2, 1)]
+    assert {line["slices"] for line in lines} == {3} and (plain["slice"], plain["slices"]) == (0, 1)
 
 
 def test_scan_summary_and_documents(spark):

@@ -87,6 +87,15 @@ def test_table_view_starts_from_a_replayed_state(spark, tmp_path):
     assert folds.of_state(live.read_topic_view(spark, out), with_update=True) == folds.merge(records)
 
 
+def test_a_used_folder_is_refused(spark, tmp_path):
+    records = random_records(14, 40)
+    feed(spark, tmp_path, records, 3, live.topic_view_tables, live.read_topic_view)
+    source, out = str(tmp_path / "source"), str(tmp_path / "out")
+    again = live.topic_view_tables(log_source.stream_table(spark, source), out, str(tmp_path / "other"))
+    with pytest.raises(Exception, match="another query"):
+        again.awaitTermination()
+
+
 def scan_table(spark, rows):
     sizes = {}
     for _, _, time, _ in rows:
