@@ -106,7 +106,7 @@ def write(docs: DataFrame, file: str, end: int) -> tuple[str, DataFrame]:
 
     Rows are dealt to shards by ranges of doc_id: shard bounds are approximate quantiles,
     weighted by nothing but the row count, and a shard is sorted in its task. Rows of equal
-    doc_id lie together in any order; null doc_ids come first. A null text is an empty one and
+    doc_id lie together, in as many shards as they need; null doc_ids come first. A null text is an empty one and
     gets the end id only. The manifest has a row (shard, file, documents, tokens) per shard. A
     file is written under a name of its own, and only files in the manifest count, so repeated
     tasks do no harm.
@@ -116,14 +116,15 @@ def write(docs: DataFrame, file: str, end: int) -> tuple[str, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     shards = 1 + size // SHARD_BYTES
-    spread = rows.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first())
-    spread = spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # splits a doc_id that many rows share
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    spread = rows.repartitionByRange(int(shards), *order).sortWithinPartitions(*order)
 
     def run(batches):
         import uuid
         code = encoder(file)
         bits = max(1, (max(code.vocabulary, end + 1) - 1).bit_length())
-        doc_ids, ends, parts, offsets = [], [], [], []
+        doc_ids, ends, parts, offsets, first_row = [], [], [], [], None
         rest, total, written = np.zeros(0, np.int32), 0, 0
 
         def add(ids):
@@ -136,6 +137,7 @@ def write(docs: DataFrame, file: str, end: int) -> tuple[str, DataFrame]:
         for batch in slices(batches, CHUNK_BYTES):
             ids, counts = with_end(*code.encode(texts(batch)), end)
             doc_ids += column(batch, "doc_id")
+            first_row = batch.column(2)[0].as_py() if first_row is None else first_row
             ends.append(total + np.cumsum(counts))
             total += len(ids)
             rest = np.concatenate([rest, ids])
@@ -151,12 +153,13 @@ def write(docs: DataFrame, file: str, end: int) -> tuple[str, DataFrame]:
         name = f"{uuid.uuid4().hex}.bin"
         write_file(store, f"{base}/{name}", doc_ids, np.concatenate(ends), parts, offsets, bits)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([doc_ids[0]], pa.int64()), pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([total], pa.int64())],
-            ["first_id", "file", "documents", "tokens"])
+            [pa.array([doc_ids[0]], pa.int64()), pa.array([first_row], pa.int64()), pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([total], pa.int64())],
+            ["first_id", "first_row", "file", "documents", "tokens"])
 
     manifest = f"{folder}/manifest"
-    spread.mapInArrow(run, "first_id long, file string, documents long, tokens long").write.parquet(manifest)
-    return folder, spark.read.schema("first_id long, file string, documents long, tokens long").parquet(manifest)
+    schema = "first_id long, first_row long, file string, documents long, tokens long"
+    spread.mapInArrow(run, schema).write.parquet(manifest)
+    return folder, spark.read.schema(schema).parquet(manifest)
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -164,7 +167,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
 
     Starts follow from the manifest: one row per file, summed in one small window.
     """
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_row").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     files = files.repartition(max(1, manifest.count()), "file")  # a number of its own keeps small rows from being put together
 

@@ -61,6 +61,16 @@ def test_token_files(spark, monkeypatch):
     assert token_files.summary(docs(spark, []), FILES[0], 2).count() == 0
 
 
+def test_one_doc_id_may_fill_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 2_000)
+    frame = docs(spark, ["the of the of " * 10] * 200, [7] * 190 + list(range(10)))
+    folder, manifest = token_files.write(frame, FILES[0], 2)
+    assert manifest.count() > 5 and max(r["documents"] for r in manifest.collect()) < 100
+    rows = sorted(token_files.read(spark, folder, manifest).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows[:-1])]).tolist()
+    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+
+
 def test_repeated_doc_ids_lie_together(spark):
     rows = token_files.summary(docs(spark, ["a b", "c", "d e f", "c"], [4, 1, 4, 1]), FILES[0], 2).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [1, 1, 4, 4]
