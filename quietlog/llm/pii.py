@@ -220,23 +220,25 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with all spans replaced in the texts, and n_chars counted anew where a text changed; all rows stay."""
+    mark, doc, marks = (next(n for n in (name + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+                        for name in ("pii_mark", "pii_doc", "pii_spans"))  # names that no column has
     found = detect(docs).where("size(spans) + size(found) > 0").select(
-        F.col("mark").alias("pii_mark"), F.col("doc_id").alias("pii_doc"), F.concat("spans", "found").alias("pii_spans"))
-    found = materialise(found, "pii-found").dropDuplicates(["pii_mark", "pii_doc"])
+        F.col("mark").alias(mark), F.col("doc_id").alias(doc), F.concat("spans", "found").alias(marks))
+    found = materialise(found, "pii-found").dropDuplicates([mark, doc])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(found, (F.xxhash64(text) == F.col("pii_mark")) & docs["doc_id"].cast("long").eqNullSafe(F.col("pii_doc")), "left")
-    joined = joined.drop("pii_mark", "pii_doc")
+    joined = docs.join(found, (F.xxhash64(text) == F.col(mark)) & docs["doc_id"].cast("long").eqNullSafe(F.col(doc)), "left")
+    joined = joined.drop(mark, doc)
 
     def run(batches):
         for batch in slices(batches, CHUNK_BYTES):
-            own, spans = column(batch, "text"), column(batch, "pii_spans")
+            own, spans = column(batch, "text"), column(batch, marks)
             new = [redact(t, [(s["start"], s["end"], s["kind"]) for s in x]) if x else t for t, x in zip(own, spans)]
             arrays = dict(zip(batch.schema.names, batch.columns))
             arrays["text"] = pa.array(new, batch.schema.field("text").type)
             if "n_chars" in arrays:
                 kind = batch.schema.field("n_chars").type
                 arrays["n_chars"] = pa.array([len(t) if x else n for t, x, n in zip(new, spans, arrays["n_chars"].to_pylist())], kind)
-            del arrays["pii_spans"]
+            del arrays[marks]
             yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
     return joined.mapInArrow(run, docs.schema)

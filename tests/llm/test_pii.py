@@ -33,7 +33,7 @@ def test_contexts_find_unseen_identifiers(spark):
     known = [f"please write mail to: u{i}@x{i}.org thanks" for i in range(9)]
     unseen = ["please write mail to: zoe9[at]home thanks", "version v12345 is out"]
     texts = [*known, *unseen, None, "", known[0]]
-    frame = docs(spark, texts, extra=["spans", "row", "mark"])
+    frame = docs(spark, texts, extra=["spans", "row", "mark", "pii_mark", "pii_doc", "pii_spans"])
     rows = by_id(pii.detect(frame))
     assert [s["kind"] for s in rows[0][0]["spans"]] == ["email"] and not rows[0][0]["found"]
     found = rows[9][0]["found"]
