@@ -8,6 +8,7 @@ balls, and only balls whose distance leaves it open are compared member by membe
 """
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from quietlog.sources.tables import materialise
 COSINE = 0.9
 #: Vectors from which balls are made at once, and neighbours on either side that a pass compares.
 BLOCK, WINDOW = 2048, 512
+#: Times that balls are joined to larger ones: a group of n copies becomes n / BLOCK ** LEVELS balls, about.
+LEVELS = 2
 #: Share of the pairs at exactly the threshold that the passes are to find; closer pairs are found more surely.
 RECALL = 0.99
 SEED = 8
@@ -89,7 +92,7 @@ def _numbered(embeddings: DataFrame) -> DataFrame:
     return spark.read.schema("vec_id long, vector binary, row long").parquet(path)
 
 
-def _with_key(rows: DataFrame, name: str, passes: int) -> DataFrame:
+def _with_key(rows: DataFrame, name: str, passes: Iterable[int]) -> DataFrame:
     """``rows`` once per pass, with the pass and the key of their vector ``name``."""
     schema = rows.schema.simpleString()[len("struct<"):-1] + ",pass:int,key:bigint"
 
@@ -99,7 +102,7 @@ def _with_key(rows: DataFrame, name: str, passes: int) -> DataFrame:
             for size, mine in _by_size(raw).items():
                 part = batch.take(pa.array(mine))
                 vectors = _unit(_matrix([raw[i] for i in mine]))
-                for p in range(passes):
+                for p in passes:
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns, pa.array(np.full(len(mine), p, np.int32)), pa.array(_keys(vectors, p))],
                         [*batch.schema.names, "pass", "key"])
@@ -107,57 +110,59 @@ def _with_key(rows: DataFrame, name: str, passes: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _balls(vectors: DataFrame, cosine: float) -> DataFrame:
-    """Rows (row, vec_id, vector, ball, centre, radius, size); the last three on the row that names the ball."""
+def _balls(items: DataFrame, cosine: float, number: int) -> DataFrame:
+    """Join items (item, centre, radius, size) that lie in one ball: rows (item, ball, centre, radius, size).
+
+    A ball's radius covers all its vectors and is at most half the angle of the threshold, so every two of
+    them are linked.  The last three columns are set on the row of the item that names the ball.
+    """
     most = math.acos(cosine) / 2 - 1e-7
-    near = math.cos(most)
 
     def run(batches):
         def out(held):
-            rows = np.array([h[0] for h in held], np.int64)
-            raw = [h[2] for h in held]
+            raw = [h[1] for h in held]
             found = []
             for _, mine in _by_size(raw).items():
                 original = _matrix([raw[i] for i in mine])
                 unit = _unit(original)
-                close = unit @ unit.T >= near
+                radius = np.array([held[i][2] for i in mine])
+                size = np.array([held[i][3] for i in mine])
+                close = np.arccos(np.clip(unit @ unit.T, -1, 1)) + radius[None, :] <= most
+                np.fill_diagonal(close, True)
                 free = np.ones(len(mine), bool)
                 alone = close.sum(axis=1) == 1
                 for i in range(len(mine)):
                     if not free[i]:
                         continue
-                    members = np.flatnonzero(close[i] & free) if not alone[i] else np.array([i])
-                    centre, radius = original[i], 0.0
+                    members = np.array([i]) if alone[i] else np.flatnonzero(close[i] & free)
+                    ball = (original[i].tobytes(), float(radius[i]), int(size[i]))
                     if len(members) > 1:
-                        middle = _unit(unit[members].sum(axis=0)[None])[0]
-                        angles = np.arccos(np.clip(unit[members] @ middle, -1, 1)) + 1e-8
-                        fits = angles <= most
-                        members, angles = members[fits], angles[fits]
-                        if i not in members or len(members) < 2:
-                            members = np.array([i])  # the centre moved away: this vector stays alone
+                        middle = _unit((unit[members] * size[members, None]).sum(axis=0)[None])[0]
+                        far = np.arccos(np.clip(unit[members] @ middle, -1, 1)) + radius[members] + 1e-8
+                        fits = far <= most
+                        if fits.sum() > 1 and fits[members == i][0]:
+                            members = members[fits]
+                            ball = (middle.tobytes(), float(far[fits].max()), int(size[members].sum()))
                         else:
-                            centre, radius = middle, float(angles.max())
+                            members = np.array([i])  # the centre moved away: this item stays alone
                     free[members] = False
-                    for m in members:
-                        own = (centre.tobytes(), radius, len(members)) if m == i else (None, None, None)
-                        found.append((*held[mine[m]], int(rows[mine[i]]), *own))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.float64(), pa.int64())
+                    found += [(held[mine[m]][0], held[mine[i]][0], *(ball if m == i else (None, None, None))) for m in members]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)],
-                                              ["row", "vec_id", "vector", "ball", "centre", "radius", "size"])
+                                              ["item", "ball", "centre", "radius", "size"])
 
         held = []
         for batch in batches:
-            held += zip(*(column(batch, c) for c in ("row", "vec_id", "vector")))
+            held += zip(*(column(batch, c) for c in ("item", "centre", "radius", "size")))
             while len(held) >= BLOCK:
                 yield out(held[:BLOCK])
                 held = held[BLOCK:]
         if held:
             yield out(held)
 
-    keyed = _with_key(vectors.select("row", "vec_id", "vector"), "vector", 1)
-    keyed = keyed.repartitionByRange("key", "row").sortWithinPartitions("key", "row").select("row", "vec_id", "vector")
-    return materialise(keyed.mapInArrow(
-        run, "row long, vec_id long, vector binary, ball long, centre binary, radius double, size long"), "balls")
+    keyed = _with_key(items, "centre", [number])
+    keyed = keyed.repartitionByRange("key", "item").sortWithinPartitions("key", "item").select("item", "centre", "radius", "size")
+    return materialise(keyed.mapInArrow(run, "item long, ball long, centre binary, radius double, size long"), "balls")
 
 
 _PAIR = "a long, b long, sure boolean, part long, side int, pass int, key long, ball long, centre binary, radius double"
@@ -242,7 +247,7 @@ def _window(cosine: float, window: int, edges: bool):
 def _candidates(balls: DataFrame, cosine: float, window: int, recall: float) -> DataFrame:
     """Distinct pairs (a, b, sure) of balls that are linked for sure or may be."""
     passes = passes_for(balls.count(), cosine, window, recall)
-    keyed = _with_key(balls.select("ball", "centre", "radius"), "centre", passes)
+    keyed = _with_key(balls.select("ball", "centre", "radius"), "centre", range(passes))
     keyed = keyed.select(F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "pass", "key", "ball", "centre", "radius")
     spread = keyed.repartitionByRange("pass", "key", "ball").sortWithinPartitions("pass", "key", "ball")
     found = materialise(spread.mapInArrow(_window(cosine, window, True), _PAIR), "embedding-pairs")
@@ -253,10 +258,10 @@ def _candidates(balls: DataFrame, cosine: float, window: int, recall: float) ->
     return materialise(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")), "embedding-links")
 
 
-def _members(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
+def _members(pairs: DataFrame, members: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
     """Links between the members of ball pairs that are open: rows (row, a, b, n), n links of the row's vector."""
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("ball"))
-    rows = sides.join(members.select("ball", "row", "vector"), "ball")
+    rows = sides.join(members, "ball").join(vectors.select("row", "vector"), "row")
 
     def run(table: pa.Table) -> pa.Table:
         a, b, ball = table["a"][0].as_py(), table["b"][0].as_py(), np.asarray(table["ball"])
@@ -282,10 +287,18 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, window: int =
     is the smallest vec_id in it (null where all are null), and ``kept`` tells whether it is the row's own.
     """
     vectors = _numbered(embeddings)
-    members = _balls(vectors.where("vector is not null"), cosine)
-    balls = members.where("ball = row").select("ball", "centre", "radius", "size")
+    good = vectors.where("vector is not null")
+    balls = good.select(F.col("row").alias("item"), F.col("vector").alias("centre"), F.lit(0.0).alias("radius"), F.lit(1).cast("long").alias("size"))
+    members = None
+    for level in range(LEVELS):  # each level joins up to BLOCK balls of the one before
+        found = _balls(balls, cosine, level)
+        upper = found.select(F.col("item"), F.col("ball"))
+        members = upper.withColumnRenamed("item", "row") if members is None else members.withColumnRenamed("ball", "item").join(upper, "item").select("row", "ball")
+        balls = found.where("ball = item").select("item", "centre", "radius", "size")
+    members = materialise(members, "ball-members")
+    balls = balls.withColumnRenamed("item", "ball")
     pairs = _candidates(balls, cosine, window, recall)
-    checked = _members(pairs.where("not sure"), members, cosine)
+    checked = _members(pairs.where("not sure"), members, vectors, cosine)
     sure = pairs.where("sure")
     edges = sure.select(F.col("a").alias("u"), F.col("b").alias("v")).union(checked.select(F.col("a"), F.col("b")))
     groups = components(edges, "embedding-components")
@@ -294,7 +307,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, window: int =
     partners = both.join(sizes.select(F.col("ball").alias("other"), F.col("size").alias("n")), "other").groupBy("ball").agg(F.sum("n").alias("partners"))
     known = sizes.join(partners, "ball", "left").join(groups.select(F.col("node").alias("ball"), "component"), "ball", "left").select(
         "ball", (F.col("size") - 1 + F.coalesce("partners", F.lit(0))).alias("n"), F.coalesce("component", "ball").alias("component"))
-    rows = members.select("row", "vec_id", "ball").join(known, "ball")
+    rows = members.join(known, "ball").join(good.select("row", "vec_id"), "row")
     more = checked.groupBy("row").agg(F.sum("n").alias("more"))
     rows = materialise(rows.join(more, "row", "left").select(
         "vec_id", "component", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_links")), "embedding-rows")
