@@ -219,12 +219,16 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with all spans replaced in the texts, and n_chars counted anew where a text changed; all rows stay."""
+    """``docs`` with all spans replaced in the texts, and n_chars counted anew where a text changed; all rows stay.
+
+    Exact forms are found where the text is; only spans found by context, a small table of known size,
+    are joined to the documents.
+    """
     mark, doc, marks = (next(n for n in (name + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
                         for name in ("pii_mark", "pii_doc", "pii_spans"))  # names that no column has
-    found = detect(docs).where("size(spans) + size(found) > 0").select(
-        F.col("mark").alias(mark), F.col("doc_id").alias(doc), F.concat("spans", "found").alias(marks))
-    found = materialise(found, "pii-found").dropDuplicates([mark, doc])
+    found = detect(docs).where("size(found) > 0").select(
+        F.col("mark").alias(mark), F.col("doc_id").alias(doc), F.col("found").alias(marks))
+    found = materialise(found.dropDuplicates([mark, doc]), "pii-found")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(found, (F.xxhash64(text) == F.col(mark)) & docs["doc_id"].cast("long").eqNullSafe(F.col(doc)), "left")
     joined = joined.drop(mark, doc)
@@ -232,7 +236,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches, CHUNK_BYTES):
             own, spans = column(batch, "text"), column(batch, marks)
-            new = [redact(t, [(s["start"], s["end"], s["kind"]) for s in x]) if x else t for t, x in zip(own, spans)]
+            spans = [[(a, b, kind) for kind, a, b in base_spans(t or "")] + [(s["start"], s["end"], s["kind"]) for s in x or ()]
+                     for t, x in zip(own, spans)]
+            new = [redact(t, x) if x else t for t, x in zip(own, spans)]
             arrays = dict(zip(batch.schema.names, batch.columns))
             arrays["text"] = pa.array(new, batch.schema.field("text").type)
             if "n_chars" in arrays:
