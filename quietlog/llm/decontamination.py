@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.llm.common import column, ranges, slices, texts
+from quietlog.llm.common import ranges, slices, texts
 
 WINDOW = 13
 #: Bytes of text in a shard; a longer document is a shard of its own.
