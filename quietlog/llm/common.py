@@ -19,7 +19,7 @@ def pack(values: np.ndarray) -> bytes:
     """A numeric array as compressed bytes, all first bytes of its numbers, then all second ones and so on."""
     values = np.ascontiguousarray(values)
     planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:

@@ -221,10 +221,15 @@ class _Pairs:
         self.histories, follows = self.keys >> 32, self.keys & 0xFFFFFFFF
         by_id = np.argsort(ids, kind="stable")
         total_of = lambda x: totals[by_id[np.searchsorted(ids, x, sorter=by_id)]]
-        self.follow_totals = np.where(follows == _UNKNOWN, 0, total_of(follows))
+        self.follows, self.total_of = follows, total_of
         self.hot = total_of(self.histories) * 4 * buckets > words.total
         self.bucket = (np.where(self.hot, _mixed(self.keys), _mixed(self.histories)) % np.uint64(buckets)).astype(np.int64)
 
+    def follow_totals(self, mine: np.ndarray) -> np.ndarray:
+        """Training counts of the distinct second words of some pairs, in the order of their numbers."""
+        words = np.unique(self.follows[mine])
+        return np.where(words == _UNKNOWN, 0, self.total_of(words))
+
     def parts(self):
         order = np.argsort(self.bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(self.bucket[order])) + 1
@@ -264,7 +269,7 @@ def pair_answers(moved: DataFrame, words: Words, buckets: int) -> DataFrame:
             for bucket, mine in pairs.parts():
                 yield _table((pa.int64(), pa.int64(), *(pa.binary(),) * 4), ["bucket", "block", "keys", "counts", "totals", "hot"], [(
                     bucket, block["block"], pack(np.diff(pairs.keys[mine], prepend=0)), pack(pairs.counts[mine].astype(np.int32)),
-                    pack(pairs.follow_totals[mine]), pack(pairs.hot[mine].astype(np.uint8)))])
+                    pack(pairs.follow_totals(mine)), pack(pairs.hot[mine].astype(np.uint8)))])
 
     def answer(batches):
         kinds = (pa.int32(), pa.int64(), pa.int64(), *(pa.binary(),) * 2, pa.list_(pa.int64()), pa.float64())
@@ -273,7 +278,8 @@ def pair_answers(moved: DataFrame, words: Words, buckets: int) -> DataFrame:
             keys = [np.cumsum(unpack(r["keys"], np.int64)) for r in rows]
             unique, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             counts = np.bincount(place, np.concatenate([unpack(r["counts"], np.int32) for r in rows]), len(unique)).astype(np.int64)
-            totals = np.concatenate([unpack(r["totals"], np.int64) for r in rows])[first]
+            totals = np.concatenate([
+                unpack(r["totals"], np.int64)[np.unique(k & 0xFFFFFFFF, return_inverse=True)[1]] for r, k in zip(rows, keys)])[first]
             hot = np.concatenate([unpack(r["hot"], np.uint8) for r in rows])[first].astype(bool)
             histories, c, n, p = _figures(unique >> 32, counts, words.probability(totals))
             kept = counts > 0
