@@ -55,3 +55,34 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
         updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col("batch_id")).alias("row"))
         .select(*keys, *[F.col(f"row.{name}").alias(name) for name in columns])
     )
+
+
+def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Put all batches but the newest one into one, with the newest row of every key.
+
+    Rows that say ``deleted`` go, as nothing older is left that they hide.  Run it between
+    two runs of the query: reads of the view then cost the size of the view, not of its history.
+    The newest batch stays as it is, because a restarted query may write it again.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(name: str):
+        return spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    batches = sorted(int(name.removeprefix("batch_id=")) for name in names if name.startswith("batch_id="))[:-1]
+    if len(batches) < 2:
+        return
+    old = spark.read.option("basePath", path).parquet(*[batch_path(path, n) for n in batches])
+    columns = [name for name in old.columns if name not in (*keys, "batch_id")]
+    newest = old.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col("batch_id")).alias("row")).select(*keys, "row.*")
+    # Names with an underscore are not read; the swap leaves either form whole.
+    newest.where(~F.col("deleted")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_compacted")
+    last = batches[-1]
+    files.delete(at(f"_replaced-{last}"), True)
+    files.rename(at(f"batch_id={last}"), at(f"_replaced-{last}"))
+    files.rename(at("_compacted"), at(f"batch_id={last}"))
+    for n in batches[:-1]:
+        files.delete(at(f"batch_id={n}"), True)
+    files.delete(at(f"_replaced-{last}"), True)

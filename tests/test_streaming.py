@@ -9,6 +9,7 @@ from quietlog.operators import replay
 from quietlog.schema import CHANGELOG, STATE
 from quietlog.sources import changelog as log_source
 from quietlog.streaming import live, scans
+from quietlog.streaming.sinks import compact_updates
 from tests import folds
 from tests.test_changelog import BROKEN, beat, log, random_records, record, offset_only
 from tests.test_scans import listing, observations, random_scans
@@ -87,6 +88,21 @@ def test_table_view_starts_from_a_replayed_state(spark, tmp_path):
     assert folds.of_state(live.read_topic_view(spark, out), with_update=True) == folds.merge(records)
 
 
+def test_compacted_updates_read_the_same(spark, tmp_path):
+    now = 1774864800
+    records = [beat("a", now), beat("b", now), ("tracker-instance:b", None), beat("c", now - 500), beat("a", now - 1), beat("d", now)]
+    view = feed(spark, tmp_path, records, 5, live.heartbeat_view, lambda s, out: live.read_heartbeat_view(s, out, now))[-1][1]
+    before = sorted(tuple(r) for r in view.collect())
+    out = str(tmp_path / "out")
+    compact_updates(spark, out, ["instance_id"])
+    assert len(list((tmp_path / "out").glob("batch_id=*"))) == 2
+    assert sorted(tuple(r) for r in live.read_heartbeat_view(spark, out, now).collect()) == before
+    source = str(tmp_path / "source")
+    spark.createDataFrame([(*beat("e", now), 0, 99, None)], CHANGELOG).write.mode("append").parquet(source)
+    live.heartbeat_view(log_source.stream_table(spark, source), out, str(tmp_path / "checkpoint")).awaitTermination()
+    assert {r.instance_id for r in live.read_heartbeat_view(spark, out, now).collect()} == {"a", "c", "d", "e"}
+
+
 def test_a_used_folder_is_refused(spark, tmp_path):
     records = random_records(14, 40)
     feed(spark, tmp_path, records, 3, live.topic_view_tables, live.read_topic_view)
