@@ -245,9 +245,14 @@ def list_documents(spark, sf_dir):
     return reports.list_documents(report, state, AS_OF, _STALE)
 
 
+def _wide_state(spark, sf_dir, topic: str) -> DataFrame:
+    """Written, so that the one topic's name is a column and no constant."""
+    return materialise(views.wide_order_state(spark, sf_dir, topic), "wide-state")
+
+
 def list_documents_wide(spark, sf_dir):
     """All orders as one wide topic: what each line of its document holds."""
-    state = views.wide_order_state(spark, sf_dir, "orders.all").withColumn("timestamp", F.lit(AS_OF - 400 * DAY).cast("bigint"))
+    state = _wide_state(spark, sf_dir, "orders.all").withColumn("timestamp", F.lit(AS_OF - 400 * DAY).cast("bigint"))
     lines = reports.list_documents(reports.list_report(state, AS_OF), state, AS_OF)
     details = "struct<slice:bigint,slices:bigint,stale_partition_details:array<struct<partition:int>>>"
     line = F.from_json("document", details)
@@ -328,7 +333,7 @@ def _compacted(log: DataFrame) -> DataFrame:
 
 def changelog_wide_compacted(spark, sf_dir):
     """All orders as one wide topic, written twice, compacted and replayed."""
-    state = views.wide_order_state(spark, sf_dir, "orders.all")
+    state = _wide_state(spark, sf_dir, "orders.all")
     older = codec.encode_topics(state.withColumn("offset", F.col("offset") + 1), AS_OF)
     log = _placed(older, 0).unionByName(_placed(codec.encode_topics(state, AS_OF), 1))
     return _rows(replay.replay_topics(_compacted(log), AS_OF))
@@ -336,7 +341,7 @@ def changelog_wide_compacted(spark, sf_dir):
 
 def changelog_wide_replaced(spark, sf_dir):
     """Two wide topics; another writer replaces one by a record of the whole topic, the other one is deleted."""
-    first, second = (views.wide_order_state(spark, sf_dir, f"orders.{name}") for name in "ab")
+    first, second = (_wide_state(spark, sf_dir, f"orders.{name}") for name in "ab")
     whole = views.table(spark, sf_dir, "nation").select(
         F.lit("orders.a").alias("topic"), F.col("n_nationkey").cast("int").alias("partition"),
         F.col("n_regionkey").cast("bigint").alias("offset"), F.lit(AS_OF).cast("bigint").alias("timestamp"),
