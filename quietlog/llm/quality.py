@@ -142,7 +142,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
             g[n:] = -s[n:] / m
         return g
 
-    fitted = _adam(slope, x, 600, 0.05, 1e-3)
+    fitted = _adam(slope, x, 1500, 0.05, 1e-4)
     return Model(mean, scale, fitted[:-1], float(fitted[-1]), prior)
 
 
