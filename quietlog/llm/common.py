@@ -5,6 +5,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,22 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int, name: str = "text
             yield batch.slice(start)
 
 
+def shingles(text: str, size: int, seed: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words; fewer words are one shingle, no words none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and exactly the six white space bytes
+    digest = xxhash.xxh64_intdigest
+    if len(words) < size:
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
+    line = b" ".join(words)
+    starts = [0]
+    at = 0
+    for word in words:
+        at += len(word) + 1
+        starts.append(at)
+    count = len(words) - size + 1
+    return np.fromiter((digest(line[a:b - 1], seed) for a, b in zip(starts, starts[size:])), np.uint64, count)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All positions of the given ranges, one range after the other."""
     total = int(lengths.sum())

@@ -10,11 +10,11 @@ together, and every pair found is checked on its bits.
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.llm.common import components, slices, texts
+from quietlog.llm import near_copies
+from quietlog.llm.common import components, shingles, slices, texts
 from quietlog.session import scratch_dir
 from quietlog.sources.tables import materialise
 
@@ -27,21 +27,6 @@ CHUNK_BYTES = 4 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
-def _hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and exactly the six white space bytes
-    digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE_WORDS:
-        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
-    line = b" ".join(words)
-    starts = [0]
-    at = 0
-    for word in words:
-        at += len(word) + 1
-        starts.append(at)
-    count = len(words) - SHINGLE_WORDS + 1
-    return np.fromiter((digest(line[a:b - 1], SEED) for a, b in zip(starts, starts[SHINGLE_WORDS:])), np.uint64, count)
-
-
 def fingerprint_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One fingerprint per document from all shingle hashes, document after document."""
     result = np.zeros(len(counts), np.uint64)
@@ -71,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, bits, cell): one per row of ``docs``; a null text has no words and fingerprint zero."""
     def run(batches):
         for batch in slices(batches, CHUNK_BYTES):
-            each = [_hashes(t) for t in texts(batch)]
+            each = [shingles(t, SHINGLE_WORDS, SEED) for t in texts(batch)]
             counts = np.fromiter(map(len, each), np.int64, len(each))
             bits = fingerprint_bits(np.concatenate(each), counts)
             yield pa.RecordBatch.from_arrays([
@@ -177,11 +162,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one of smallest doc_id.
+    """``docs`` with one document of each group of near copies, the one of smallest doc_id.
 
+    Near copies have 5-word shingles of a Jaccard similarity of 0.8 or more (``near_copies``).
     Of rows with equal doc_id one stays.  Rows whose doc_id is null stay as they are:
     nothing can name them.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_copies.groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).union(docs.where("doc_id is null"))
