@@ -23,6 +23,8 @@ from quietlog.sources.tables import materialise
 COSINE = 0.9
 #: Vectors from which balls are made at once, and neighbours on either side that a pass compares.
 BLOCK, WINDOW = 2048, 512
+#: Members of a ball, about, that are compared at once with those of another.
+CHUNK = 1024
 #: Times that balls are joined to larger ones: a group of n copies becomes n / BLOCK ** LEVELS balls, about.
 LEVELS = 2
 #: Share of the pairs at exactly the threshold that the passes are to find; closer pairs are found more surely.
@@ -258,25 +260,51 @@ def _candidates(balls: DataFrame, cosine: float, window: int, recall: float) ->
     return materialise(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")), "embedding-links")
 
 
-def _members(pairs: DataFrame, members: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
-    """Links between the members of ball pairs that are open: rows (row, a, b, n), n links of the row's vector."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("ball"))
-    rows = sides.join(members, "ball").join(vectors.select("row", "vector"), "row")
+def _chunked(pairs: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (a, b, ball, row, left, right): members of both balls, once per chunk of the other side.
+
+    ``sizes`` has rows (ball, size).  Each pair of members meets in one group of (a, b, left, right), whose
+    size does not depend on the balls.
+    """
+    chunks = sizes.select("ball", F.ceil(F.col("size") / CHUNK).alias("chunks"))
+    for side in ("a", "b"):
+        pairs = pairs.join(chunks.select(F.col("ball").alias(side), F.col("chunks").alias(f"{side}_chunks")), side)
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("ball"), "a", "b", "a_chunks", "b_chunks")
+    rows = sides.join(members, "ball")
+    first = F.col("ball") == F.col("a")
+    own = F.pmod(F.xxhash64("row"), F.when(first, F.col("a_chunks")).otherwise(F.col("b_chunks")))
+    rows = rows.withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(first, F.col("b_chunks")).otherwise(F.col("a_chunks")) - 1)))
+    return rows.select("a", "b", "ball", "row", F.when(first, F.col("own")).otherwise(F.col("other")).alias("left"),
+                       F.when(first, F.col("other")).otherwise(F.col("own")).alias("right"))
+
+
+def _members(pairs: DataFrame, members: DataFrame, sizes: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
+    """Links between the members of ball pairs that are open: rows (row, a, b, n), n links of the row's vector to one chunk."""
+    rows = _chunked(pairs, members, sizes).join(vectors.select("row", "vector"), "row")
 
     def run(table: pa.Table) -> pa.Table:
         a, b, ball = table["a"][0].as_py(), table["b"][0].as_py(), np.asarray(table["ball"])
         row, raw = np.asarray(table["row"]), table["vector"].to_pylist()
         left, right = np.flatnonzero(ball == a), np.flatnonzero(ball == b)
-        x, y = _matrix([raw[i] for i in left]), _matrix([raw[i] for i in right])
-        i, j = np.divmod(np.arange(len(x) * len(y)), len(y))
-        linked = _exact((_unit(x) @ _unit(y).T).reshape(-1), x[i], y[j], cosine).reshape(len(x), len(y))
-        n = np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+        if len(left) and len(right):
+            x, y = _matrix([raw[i] for i in left]), _matrix([raw[i] for i in right])
+            sims = _unit(x) @ _unit(y).T
+            linked = sims >= cosine
+            i, j = np.nonzero(np.abs(sims - cosine) < 1e-9)
+            for k in range(0, len(i), CHUNK):
+                p, q = i[k:k + CHUNK], j[k:k + CHUNK]
+                linked[p, q] = _exact(sims[p, q], x[p], y[q], cosine)
+            n = np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+        else:
+            n = np.zeros(len(left) + len(right), np.int64)
         rows = np.concatenate([row[left], row[right]])
         keep = n > 0
         size = int(keep.sum())
         return pa.table({"row": rows[keep], "a": np.full(size, a), "b": np.full(size, b), "n": n[keep].astype(np.int64)})
 
-    return materialise(rows.groupBy("a", "b").applyInArrow(run, "row long, a long, b long, n long"), "embedding-members")
+    grouped = rows.groupBy("a", "b", "left", "right")
+    return materialise(grouped.applyInArrow(run, "row long, a long, b long, n long"), "embedding-members")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
@@ -298,7 +326,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, window: int =
     members = materialise(members, "ball-members")
     balls = balls.withColumnRenamed("item", "ball")
     pairs = _candidates(balls, cosine, window, recall)
-    checked = _members(pairs.where("not sure"), members, vectors, cosine)
+    checked = _members(pairs.where("not sure"), members, balls.select("ball", "size"), vectors, cosine)
     sure = pairs.where("sure")
     edges = sure.select(F.col("a").alias("u"), F.col("b").alias("v")).union(checked.select(F.col("a"), F.col("b")))
     groups = components(edges, "embedding-components")

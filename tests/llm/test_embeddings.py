@@ -71,3 +71,21 @@ def test_pairs_at_the_threshold_and_empty_table(spark):
 
 def test_passes_grow_with_the_count():
     assert e.passes_for(10) <= e.passes_for(10**5) < e.passes_for(10**8) < 400
+
+
+def test_open_pairs_of_large_balls_are_compared_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(e, "CHUNK", 40)
+    pairs = spark.createDataFrame([(1, 2, False), (1, 3, False)], "a long, b long, sure boolean")
+    members = spark.createDataFrame([(r, 1 if r < 500 else 2 if r < 1100 else 3) for r in range(1101)], "row long, ball long")
+    sizes = spark.createDataFrame([(1, 500), (2, 600), (3, 1)], "ball long, size long")
+    groups = {}
+    for r in e._chunked(pairs, members, sizes).collect():
+        groups.setdefault((r["a"], r["b"], r["left"], r["right"]), {}).setdefault(r["ball"], []).append(r["row"])
+    assert max(len(rows) for sides in groups.values() for rows in sides.values()) < 3 * 40
+    met = [(x, y) for (a, b, _, _), sides in groups.items() for x in sides.get(a, ()) for y in sides.get(b, ())]
+    assert len(met) == len(set(met)) == 500 * 600 + 500
+    # two groups of near copies whose balls are open
+    rng = np.random.default_rng(3)
+    first, second = np.eye(16)[0], np.eye(16)[0] * math.cos(0.5) + np.eye(16)[1] * math.sin(0.5)
+    vectors = [(k, ((first if k % 2 else second) + 0.03 * rng.standard_normal(16)).tolist()) for k in range(400)]
+    assert got(e.near_duplicates(frame(spark, vectors))) == slow(vectors)
