@@ -35,7 +35,7 @@ SEED = 8
 def passes_for(count: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
     """Passes that find a pair at the threshold with the given chance among ``count`` vectors.
 
-    A pair is found in a pass if its first log2(count / window) signs agree; the number of
+    The threshold is that of the centres where balls are paired.  A pair is found in a pass if its first log2(count / window) signs agree; the number of
     passes grows with the logarithm of the count.
     """
     agree = 1 - math.acos(cosine) / math.pi
@@ -43,6 +43,11 @@ def passes_for(count: int, cosine: float = COSINE, window: int = WINDOW, recall:
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
+def _open_cosine(cosine: float, radii: list[float]) -> float:
+    """Least cosine between the centres of two balls of these radii whose members may be linked."""
+    return math.cos(min(0.99 * math.pi, math.acos(cosine) + sum(radii)))
+
+
 def _keys(vectors: np.ndarray, number: int) -> np.ndarray:
     """Signs of 63 projections, the first one highest."""
     planes = np.random.default_rng((SEED, number, vectors.shape[1])).standard_normal((vectors.shape[1], 63))
@@ -248,7 +253,8 @@ def _window(cosine: float, window: int, edges: bool):
 
 def _candidates(balls: DataFrame, cosine: float, window: int, recall: float) -> DataFrame:
     """Distinct pairs (a, b, sure) of balls that are linked for sure or may be."""
-    passes = passes_for(balls.count(), cosine, window, recall)
+    largest = [r["radius"] for r in balls.orderBy(F.desc("radius")).select("radius").head(2)]
+    passes = passes_for(balls.count(), _open_cosine(cosine, largest), window, recall)
     keyed = _with_key(balls.select("ball", "centre", "radius"), "centre", range(passes))
     keyed = keyed.select(F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "pass", "key", "ball", "centre", "radius")
     spread = keyed.repartitionByRange("pass", "key", "ball").sortWithinPartitions("pass", "key", "ball")

@@ -89,3 +89,26 @@ def test_open_pairs_of_large_balls_are_compared_in_chunks(spark, monkeypatch):
     first, second = np.eye(16)[0], np.eye(16)[0] * math.cos(0.5) + np.eye(16)[1] * math.sin(0.5)
     vectors = [(k, ((first if k % 2 else second) + 0.03 * rng.standard_normal(16)).tolist()) for k in range(400)]
     assert got(e.near_duplicates(frame(spark, vectors))) == slow(vectors)
+
+
+def test_passes_are_for_the_widest_open_pair_of_balls(spark, monkeypatch):
+    angle = math.acos(0.9)
+    asked = []
+    count = e.passes_for
+    monkeypatch.setattr(e, "passes_for", lambda n, cosine, *rest: asked.append(cosine) or count(n, cosine, *rest))
+    for radii, wide in (([0.0, 0.0, 0.0], angle), ([0.1, 0.05, 0.2], angle + 0.3)):
+        balls = spark.createDataFrame([(k, np.eye(4)[k].tobytes(), r) for k, r in enumerate(radii)], "ball long, centre binary, radius double")
+        e._candidates(balls, 0.9, 512, 0.99)
+        assert math.isclose(asked.pop(), math.cos(wide))
+    rng = np.random.default_rng(6)
+    radius, n = angle / 2, 20_000  # centres of open pairs stand up to twice the angle apart
+    x = e._unit(rng.standard_normal((n, 32)))
+    away = rng.standard_normal((200, 32))
+    away = e._unit(away - (away * x[:200]).sum(axis=1, keepdims=True) * x[:200])
+    x[200:400] = x[:200] * math.cos(1.9 * angle) + away * math.sin(1.9 * angle)
+    met = np.zeros(200, bool)
+    for p in range(count(n, e._open_cosine(0.9, [radius, radius]), 512)):
+        place = np.empty(n, np.int64)
+        place[np.argsort(e._keys(x, p), kind="stable")] = np.arange(n)
+        met |= np.abs(place[:200] - place[200:400]) <= 512
+    assert met.mean() >= 0.97
