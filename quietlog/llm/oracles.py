@@ -72,6 +72,26 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(w, vec_id)) AS
 FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN counts ON counts.u = vec_id
 """
 
+_TERMS = "regexp_extract_all(translate(text, '" + _UPPER + "', '" + _LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+SEARCH = f"""
+WITH words AS (SELECT doc_id, unnest({_TERMS}) AS w FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS w FROM benchmark),
+counts AS (SELECT doc_id, w, count(*) AS tf FROM words WHERE w IN (SELECT w FROM asked) GROUP BY doc_id, w),
+weights AS (
+  SELECT w, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM counts, whole GROUP BY w),
+norms AS (SELECT doc_id, 50 + (50 * n * docs) // total AS m FROM sizes, whole),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN counts USING (w) JOIN weights USING (w) JOIN norms USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION, "op5_url_rules": URLS, "op7_chat": CHAT, "op8_embeddings": EMBEDDINGS}
+    return {"op3_decontamination": DECONTAMINATION, "op5_url_rules": URLS, "op7_chat": CHAT, "op8_embeddings": EMBEDDINGS,
+            "op13_lexical_search": SEARCH}

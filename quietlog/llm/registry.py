@@ -5,7 +5,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quietlog.llm import chat, decontamination, embeddings, fingerprints, language_model, oracles, packing, pii, quality, token_files, url_rules
+from quietlog.llm import (
+    chat, decontamination, embeddings, fingerprints, language_model, lexical_search, oracles, packing, pii, quality, token_files, url_rules)
 from quietlog.llm.encoding import default_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,12 +74,17 @@ def op10_quality(spark, sf_dir):
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_simhash, op2_token_files, op3_decontamination, op4_katz, op5_url_rules, op6_packing, op7_chat, op8_embeddings, op9_pii, op10_quality, pipeline]
+    named = [op1_simhash, op2_token_files, op3_decontamination, op4_katz, op5_url_rules, op6_packing, op7_chat, op8_embeddings, op9_pii, op10_quality,
+             op13_lexical_search, pipeline]
     return {f.__name__: f for f in named}
 
 
