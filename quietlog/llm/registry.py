@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quietlog.llm import (
-    chat, decontamination, embeddings, fingerprints, language_model, lexical_search, oracles, packing, pii, quality, token_files, url_rules)
+    chat, conversation_repair, decontamination, embeddings, fingerprints, language_model, lexical_search, oracles, packing, pii, quality, token_files, url_rules)
 from quietlog.llm.encoding import default_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,11 @@ def op10_quality(spark, sf_dir):
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(rows), rows)
+
+
 def op13_lexical_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,7 +89,7 @@ def pipeline(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     named = [op1_simhash, op2_token_files, op3_decontamination, op4_katz, op5_url_rules, op6_packing, op7_chat, op8_embeddings, op9_pii, op10_quality,
-             op13_lexical_search, pipeline]
+             op11_conversation_repair, op13_lexical_search, pipeline]
     return {f.__name__: f for f in named}
 
 
