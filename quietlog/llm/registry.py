@@ -6,7 +6,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quietlog.llm import (
-    chat, conversation_repair, decontamination, embeddings, fingerprints, language_model, lexical_search, oracles, packing, pii, quality, token_files, url_rules)
+    chat, conversation_repair, decontamination, embeddings, fingerprints, language_model, lexical_search, oracles, packing, pii, quality,
+    repeated_passages, token_files, url_rules)
 from quietlog.llm.encoding import default_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,10 @@ def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.report(conversation_repair.damaged(rows), rows)
 
 
+def op12_repeated_passages(spark, sf_dir):
+    return repeated_passages.report(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,7 +94,7 @@ def pipeline(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     named = [op1_simhash, op2_token_files, op3_decontamination, op4_katz, op5_url_rules, op6_packing, op7_chat, op8_embeddings, op9_pii, op10_quality,
-             op11_conversation_repair, op13_lexical_search, pipeline]
+             op11_conversation_repair, op12_repeated_passages, op13_lexical_search, pipeline]
     return {f.__name__: f for f in named}
 
 
