@@ -5,9 +5,11 @@ partition numbers of ``SLICE_WIDTH`` or more is written as several records, one
 of numbers, so that no task ever builds more than that many partitions into one value.  Each
 has a key of its own, ``topic`` for the first range and ``topic#n`` for range n (no topic name
 may hold the mark), so a compacted log keeps them all.  The first one is the head: it
-names the width and the number of ranges, and on replay only the ranges that fit it count.
-A record of the whole topic, from whatever writer, therefore replaces all ranges, and
-without a head there is no topic.
+names the width, the number of ranges and each further range that holds rows, and on replay
+only the ranges that it names count.  A range gets rows only with a record of its own, so a
+range that the head names was written since the topic was last replaced or deleted: a record
+of the whole topic, from whatever writer, replaces all ranges for good, a topic that grows
+again does not bring old ones back, and without a head there is no topic.
 """
 
 from collections.abc import Sequence
@@ -129,13 +131,14 @@ def encode_topics(state: DataFrame, write_time, observed_only: bool = False,
         F.nullif(F.col("scanned_at"), F.lit(0)).alias("scanned_at"),
         F.nullif(F.col("message_count"), F.lit(0)).alias("message_count"),
     )
+    further = F.when(~F.col("target.own"), F.col("target.slices") - 1)
     entry = F.when(F.col("target.own") & F.col("partition").isNotNull(),
                    F.struct(F.col("partition").cast("string").alias("key"), body.alias("value")))
     number = F.coalesce(F.floor(F.col("partition") / F.lit(slice_width)).cast("int"), F.lit(0))
 
     def target(slice_no: Column, own: bool) -> Column:
         return F.struct(slice_no.alias("slice"), F.lit(own).alias("own"), (number + 1).alias("slices"))
-    # A row beyond the first range is also counted at the head, which so learns the number of ranges.
+    # A row beyond the first range is also counted at the head, which so learns which ranges hold rows.
     targets = F.when(number > 0, F.array(target(number, True), target(F.lit(0), False))).otherwise(
         F.array(target(F.lit(0), True)))
     observed = F.bool_or("observed") if observed_only else F.lit(True)
@@ -146,7 +149,7 @@ def encode_topics(state: DataFrame, write_time, observed_only: bool = False,
         state.withColumn("target", F.explode(targets))
         .groupBy("topic", F.col("target.slice").alias("slice"), *versions)
         .agg(F.sort_array(F.collect_list(entry)).alias("entries"), observed.alias("observed"),
-             F.max("target.slices").alias("slices"))
+             F.max("target.slices").alias("slices"), F.sort_array(F.collect_set(further)).alias("ranges"))
         .where("observed")
         .select(
             F.when(is_head, F.col("topic")).otherwise(F.concat("topic", F.lit("#"), "slice")).alias("key"),
@@ -158,6 +161,7 @@ def encode_topics(state: DataFrame, write_time, observed_only: bool = False,
                 F.nullif(F.col("slice"), F.lit(0)).alias("slice"),
                 F.when(is_head & is_wide, F.col("slices")).alias("slices"),
                 F.when(is_wide, F.lit(slice_width)).alias("slice_width"),
+                F.when(is_head & is_wide, F.col("ranges")).alias("ranges"),
             ), _JSON_WRITE).alias("value"),
             "slice",
             *versions,

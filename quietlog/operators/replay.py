@@ -51,10 +51,10 @@ def replay_topics(changelog: DataFrame, load_time: int, moved_keys: bool = False
     last = decode(_last_per_key(records, "payload").select("key", F.col("payload").alias("value"))).select(
         topic_of(F.col("key")).alias("topic"), slice_of(F.col("key")).alias("number"), "topic_record")
     heads = last.where(F.col("number").isNull())
-    widths = heads.where(F.col("topic_record.slices") > 1).select(
-        "topic", F.col("topic_record.slices").alias("slices"), F.col("topic_record.slice_width").alias("width"))
-    slices = last.where(F.col("number").isNotNull()).join(widths, "topic").where(
-        (F.col("number") < F.col("slices")) & (F.col("topic_record.slice_width") == F.col("width")))
+    named = heads.where(F.col("topic_record.slices") > 1).select(
+        "topic", F.col("topic_record.slice_width").alias("width"), F.explode("topic_record.ranges").alias("number"))
+    slices = last.where(F.col("number").isNotNull()).join(named, ["topic", "number"]).where(
+        F.col("topic_record.slice_width") == F.col("width"))
     kept = heads.select("topic", "topic_record").unionByName(slices.select("topic", "topic_record"))
     expanded = kept.select("topic", F.explode_outer(partition_rows(F.col("topic_record"))).alias("row"))
     return expanded.select("topic", "row.*", F.lit(load_time).cast("bigint").alias("last_update")).select(*STATE_COLUMNS)

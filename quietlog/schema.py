@@ -72,8 +72,8 @@ TOPIC_CONFIG = T.StructType([
 
 CORRUPT = "_corrupt"
 
-# JSON value of a topic record.  ``slice``, ``slices`` and ``slice_width`` are only
-# present on the records of a topic too wide for one record (see operators.codec).
+# JSON value of a topic record.  ``slice``, ``slices``, ``slice_width`` and ``ranges`` are
+# only present on the records of a topic too wide for one record (see operators.codec).
 TOPIC_RECORD = T.StructType([
     T.StructField("version", T.IntegerType()),
     T.StructField("topic", T.StringType()),
@@ -89,6 +89,7 @@ TOPIC_RECORD = T.StructType([
     T.StructField("slice", T.IntegerType()),
     T.StructField("slices", T.IntegerType()),
     T.StructField("slice_width", T.IntegerType()),
+    T.StructField("ranges", T.ArrayType(T.IntegerType())),
     T.StructField(CORRUPT, T.StringType()),
 ])
 

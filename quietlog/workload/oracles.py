@@ -352,6 +352,8 @@ FROM ostate GROUP BY topic""",
      || CAST(ts AS VARCHAR) || ',"message_count":' || CAST(off AS VARCHAR) || '}', ',' ORDER BY part) || '}}' AS value
 FROM ostate WHERE topic = 'orders.cust-7' GROUP BY topic""",
         "changelog_wide_compacted": f"""SELECT 'orders.all' AS topic, {_WIDE} FROM orders""",
+        "changelog_wide_regrown": f"""SELECT 'orders.all' AS topic, {_WIDE}, log
+FROM orders, (VALUES ('compacted'), ('whole')) AS logs (log) WHERE o_orderkey < 100 OR o_orderkey % 15000 < 7""",
         "changelog_wide_replaced": """SELECT 'orders.a' AS topic, CAST(n_nationkey AS INTEGER) AS partition,
   CAST(n_regionkey AS BIGINT) AS "offset", CAST(1706659200 AS BIGINT) AS "timestamp", false AS is_empty,
   CAST(1706659200 AS BIGINT) AS scanned_at, CAST(n_regionkey AS BIGINT) AS message_count FROM nation""",

@@ -353,6 +353,18 @@ def changelog_wide_replaced(spark, sf_dir):
     return _rows(replay.replay_topics(_compacted(log), AS_OF))
 
 
+def changelog_wide_regrown(spark, sf_dir):
+    """All orders as one wide topic; a record of the whole topic replaces it, then it grows wide again without most of its ranges."""
+    state = _wide_state(spark, sf_dir, "orders.all")
+    narrow = state.where(F.col("partition") % 1000 == 1)
+    again = state.where((F.col("partition") < 100) | (F.col("partition") % 15000 < 7))
+    log = (_placed(codec.encode_topics(state, AS_OF), 0)
+           .unionByName(_placed(codec.encode_topics(narrow, AS_OF, slice_width=10**9), 1))
+           .unionByName(_placed(codec.encode_topics(again, AS_OF), 2)))
+    return _rows(replay.replay_topics(_compacted(log), AS_OF)).withColumn("log", F.lit("compacted")).unionByName(
+        _rows(replay.replay_topics(log, AS_OF)).withColumn("log", F.lit("whole")))
+
+
 def state_merge(spark, sf_dir):
     """The states of two writers, each of which was last seen at another scan; every row takes part."""
     listing, observation = views.scans(spark, sf_dir)
@@ -608,6 +620,7 @@ QUERIES: dict[str, Query] = {
     "changelog_one_topic": changelog_one_topic,
     "changelog_wide_compacted": changelog_wide_compacted,
     "changelog_wide_replaced": changelog_wide_replaced,
+    "changelog_wide_regrown": changelog_wide_regrown,
     "changelog_encode_replay": changelog_encode_replay,
     "changelog_merge": changelog_merge,
     "changelog_merge_topics": changelog_merge_topics,

@@ -153,7 +153,7 @@ def test_wide_topics_survive_compaction(spark):
     """Every slice has a key of its own; a later slice replaces only its range."""
     rows = codec.encode_topics(state(spark, WIDE), 1, slice_width=10).orderBy("key", "slice").collect()
     assert [(r.key, r.slice) for r in rows] == [("slim", 0), ("wide", 0), ("wide#1", 1), ("wide#2", 2)]
-    assert '"slices":3,"slice_width":10' in rows[1].value and '"slice":2,"slice_width":10' in rows[3].value
+    assert '"slices":3,"slice_width":10,"ranges":[1,2]' in rows[1].value and '"slice":2,"slice_width":10' in rows[3].value
     assert "slice" not in rows[0].value
     records = [(r.key, r.value) for r in rows]
     assert replayed(spark, compacted(records * 2)) == WIDE
@@ -177,6 +177,17 @@ def test_whole_records_replace_all_slices(spark):
     assert replayed(spark, compacted([*records, whole, *records])) == WIDE
 
 
+def test_a_topic_that_grows_again_brings_no_old_range_back(spark):
+    records = [(r.key, r.value) for r in codec.encode_topics(state(spark, WIDE), 1, slice_width=10).collect()]
+    whole = ("wide", record("wide", {p: offset_only(7) for p in range(3)}))
+    regrown = {"wide": {**{p: (p, 1, False, 1, 1) for p in range(3)}, **{p: (p, 1, False, 1, 1) for p in range(20, 25)}}}
+    again = [(r.key, r.value) for r in codec.encode_topics(state(spark, regrown), 1, slice_width=10).collect()]
+    assert {key for key, _ in again} == {"wide", "wide#2"}
+    for between in ([whole], [("wide", None)], [("wide", None), whole], [("wide", BROKEN), whole]):
+        for read in (list, compacted):
+            assert replayed(spark, read([*records, *between, *again]))["wide"] == regrown["wide"]
+
+
 def test_tombstones_of_wide_topics(spark):
     frame = state(spark, WIDE)
     records = [(r.key, r.value) for r in codec.encode_topics(frame, 1, slice_width=10).collect()]
