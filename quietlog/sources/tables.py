@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame
 
-from quietlog.session import scratch_dir
+from quietlog.session import remove_scratch, scratch_dir
 
 
 def materialise(frame: DataFrame, purpose: str) -> DataFrame:
@@ -12,7 +12,28 @@ def materialise(frame: DataFrame, purpose: str) -> DataFrame:
     when it is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it when
     it is not.  The files outlive any executor.
     """
-    spark = frame.sparkSession
-    path = scratch_dir(spark, purpose)
+    return _written(frame, scratch_dir(frame.sparkSession, purpose))
+
+
+def _written(frame: DataFrame, path: str) -> DataFrame:
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+class Scratch:
+    """``materialise`` for tables that are needed within a block only, such as a micro-batch."""
+
+    def __init__(self) -> None:
+        self._held: list[tuple] = []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def table(self, frame: DataFrame, purpose: str) -> DataFrame:
+        path = scratch_dir(frame.sparkSession, purpose)
+        self._held.append((frame.sparkSession, path))
+        return _written(frame, path)
+
+    def __exit__(self, *_) -> None:
+        for spark, path in self._held:
+            remove_scratch(spark, path)

@@ -1,190 +1,132 @@
-"""Live views of the changelog.
+"""Live views of the changelog.
 
-Two variants of the merged topic view give the same result:
-
-* ``topic_view_tables`` folds each micro-batch into a state table (``foreachBatch``).
-  Work is spread by (topic, partition), so it is the one to use at scale.
-* ``topic_view_stateful`` keeps the state in the state store and emits changed rows
-  at once; a topic is split over ``salts`` keys.
-
-The checkpoint of the query carries the read position, so a restart reads on without
-a gap and without reading twice.
+Each view is a table kept as changes (``store``): a micro-batch reads the rows of the keys it
+touches, folds its records into them and writes what changed.  The checkpoint of the
+query carries the read position, so a restart reads on without a gap and without
+reading twice.  The records of one key must arrive in the order of their offsets, as one
+changelog partition gives them.
 """
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quietlog.operators.codec import decode, heartbeat_fields, partition_rows, topic_of
+from quietlog.operators.codec import decode, heartbeat_fields
 from quietlog.operators.instances import with_liveness
 from quietlog.operators.replay import ROW, alive_rows, fold_alive, folded_state, last_tombstones
-from quietlog.schema import HEARTBEAT, PARTITION_FIELDS, STATE
-from quietlog.sources.tables import materialise
-from quietlog.streaming.sinks import last_batch_id, latest_updates, read_batch, write_batch
+from quietlog.schema import HEARTBEAT, PARTITION_FIELDS
+from quietlog.sources.tables import Scratch
+from quietlog.streaming.store import COMPACT_EVERY, ChangeStore, same_keys
 
 _FOLDED = T.StructType([
     T.StructField("topic", T.StringType()),
+    T.StructField("partition", T.IntegerType()),
     T.StructField("row", ROW),
     T.StructField("seq", T.LongType()),
     T.StructField("last_record", T.StructType([
         T.StructField("seq", T.LongType()), T.StructField("written_at", T.LongType())])),
 ])
+_BEAT = T.StructType([*HEARTBEAT.fields, T.StructField("seq", T.LongType())])
 
 
-def _start(frame: DataFrame, write, checkpoint: str, mode: str, trigger: dict) -> StreamingQuery:
-    return (frame.writeStream.foreachBatch(write).outputMode(mode)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+def _start(frame: DataFrame, write, checkpoint: str, trigger: dict) -> StreamingQuery:
+    return (frame.writeStream.foreachBatch(write).outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-# -- merged topic view over state tables ------------------------------------------------
+# -- topics ------------------------------------------------------------------------------
 
-def _fold_batch(previous: DataFrame, batch: DataFrame) -> DataFrame:
-    seq = F.col("offset")
-    cleared = materialise(last_tombstones(batch, seq), "tombstones")
-    kept = previous.join(cleared.select("topic"), "topic", "left_anti")
-    return fold_alive(kept.unionByName(alive_rows(batch, cleared, seq)))
+def _topics(path: str, every: int = COMPACT_EVERY) -> ChangeStore:
+    return ChangeStore(path, _FOLDED, ("topic", "partition"), every)
 
 
 def folded_from(state: DataFrame) -> DataFrame:
     """A state table as the start of a view: older than every record of the tail."""
     row = F.struct(*[F.col(name) for name in ROW.names]).alias("row")
     mark = F.struct(F.lit(-1).cast("bigint").alias("seq"), F.coalesce("last_update", F.lit(0)).alias("written_at"))
-    rows = state.where(F.col("partition").isNotNull()).select("topic", row, F.lit(-1).cast("bigint").alias("seq"), mark.alias("last_record"))
+    first = F.lit(-1).cast("bigint").alias("seq")
+    rows = state.where(F.col("partition").isNotNull()).select("topic", "partition", row, first, mark.alias("last_record"))
     markers = state.groupBy("topic").agg(F.max("last_update").alias("last_update")).select(
-        "topic", F.lit(None).cast(ROW).alias("row"), F.lit(-1).cast("bigint").alias("seq"), mark.alias("last_record"))
+        "topic", F.lit(None).cast("int").alias("partition"), F.lit(None).cast(ROW).alias("row"), first, mark.alias("last_record"))
     return rows.unionByName(markers)
 
 
-def topic_view_tables(changelog: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None,
-                      **trigger) -> StreamingQuery:
-    """Fold a changelog stream into state tables under ``path``, one version per batch.
+def _fold_topics(batch: DataFrame, store: ChangeStore, batch_id: int) -> None:
+    spark, seq, before = batch.sparkSession, F.col("offset"), batch_id - 1
+    with Scratch() as scratch:
+        cleared = scratch.table(last_tombstones(batch, seq), "tombstones")
+        arrived = scratch.table(fold_alive(alive_rows(batch, cleared, seq)).withColumn("partition", F.col("row.partition")), "arrived")
+        held = store.read(spark, before, touched=arrived.select("topic", "partition")).drop("version").join(cleared, "topic", "left_anti")
+        fresh = fold_alive(held.unionByName(arrived)).withColumn("partition", F.col("row.partition"))
+        # A deletion takes all rows of its topic that have not come again.
+        gone = same_keys(store.read(spark, before, touched=cleared.select("topic")).drop("version"), arrived, ["topic", "partition"], "left_anti")
+        store.write(fresh.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True))), batch_id)
+
+
+def topic_view(changelog: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None,
+               compact_every: int = COMPACT_EVERY, **trigger) -> StreamingQuery:
+    """Keep the merged topic view (R1, A8) of a changelog stream under ``path``.
 
-    A batch reads the version of the batch before it; older ones may be deleted.
     ``initial`` is a replayed state from whose resume offsets the stream reads on.
     """
+    store = _topics(path, compact_every)
+
     def fold(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            previous = read_batch(batch.sparkSession, path, batch_id - 1, _FOLDED)
             if batch_id == 0 and initial is not None:
-                previous = folded_from(initial)
-            write_batch(_fold_batch(previous, batch), path, batch_id)
+                store.start(folded_from(initial))
+            _fold_topics(batch, store, batch_id)
         finally:
             batch.unpersist()
-    return _start(changelog, fold, checkpoint, "append", trigger or {"availableNow": True})
+    return _start(changelog, fold, checkpoint, trigger)
 
 
 def read_topic_view(spark: SparkSession, path: str) -> DataFrame:
-    """The newest state table of ``topic_view_tables``."""
-    return folded_state(read_batch(spark, path, last_batch_id(spark, path, _FOLDED), _FOLDED))
-
-
-# -- merged topic view in the state store -----------------------------------------------
-
-_INPUT = ["seq", "tombstone", "partition", *PARTITION_FIELDS]
-_SCANNED_AT = PARTITION_FIELDS.index("scanned_at")
-_CHANGE = T.StructType([f for f in STATE if f.name != "last_update"] + [T.StructField("deleted", T.BooleanType())])
-
-
-class TopicMerge(StatefulProcessor):
-    """State of one (topic, salt): a map from partition to its fields."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = T.StructType([STATE[name] for name in PARTITION_FIELDS])
-        self._partitions = handle.getMapState("partitions", T.StructType([STATE["partition"]]), fields)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        topic = key[0]
-        # Keys are many and small, so plain tuples in arrival order beat frame operations.
-        arrived = sorted(row for frame in rows for row in frame[_INPUT].itertuples(index=False, name=None))
-        start = 1 + max((i for i, row in enumerate(arrived) if row[1]), default=-1)
-        removed: set[int] = set()
-        if start:
-            removed = {int(k[0]) for k in self._partitions.keys()}
-            self._partitions.clear()
-        fresh: dict[int, tuple] = {}
-        for row in arrived[start:]:
-            partition, fields = row[2], row[3:]
-            if partition not in fresh or fields[_SCANNED_AT] >= fresh[partition][_SCANNED_AT]:
-                fresh[partition] = fields
-        changed = []
-        for partition, fields in fresh.items():
-            held = None if start else self._partitions.getValue((partition,))
-            if held is None or fields[_SCANNED_AT] >= held[_SCANNED_AT]:
-                self._partitions.updateValue((partition,), fields)
-                changed.append((topic, partition, *fields, False))
-        if changed:
-            yield pd.DataFrame(changed, columns=_CHANGE.names)
-        gone = sorted(removed - fresh.keys())
-        if gone:
-            yield pd.DataFrame([(topic, partition, 0, 0, False, 0, 0, True) for partition in gone],
-                               columns=_CHANGE.names)
-
-    def close(self) -> None:
-        pass
-
-
-def topic_changes(changelog: DataFrame, salts: int = 16) -> DataFrame:
-    """Stream of changed partition rows; ``deleted`` marks those a tombstone removed.
-
-    No column of the input is ever null, so that integers stay exact in pandas.
-    """
-    records = decode(changelog).where(F.col("instance_id").isNull())
-    zero = F.struct(*[F.lit(False if f.name == "is_empty" else 0).cast(f.dataType).alias(f.name) for f in ROW])
-    # A tombstone reaches every salt of its topic, a record only those of its partitions.
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    rows = F.when(F.col("is_tombstone"), F.transform(every_salt, lambda s: F.struct(
-        s.alias("salt"), zero.alias("row")))).otherwise(
-        F.transform(partition_rows(F.col("topic_record")), lambda r: F.struct(
-            F.pmod(r["partition"], F.lit(salts)).alias("salt"), r.alias("row"))))
-    keyed = records.select(
-        topic_of(F.col("key")).alias("topic"), F.col("offset").alias("seq"), F.col("is_tombstone").alias("tombstone"),
-        # Malformed records are dropped after the expansion, so that no value is parsed twice.
-        F.explode_outer(F.when(F.col("is_valid"), rows)).alias("entry"),
-    ).where(F.col("entry").isNotNull()).select("topic", "entry.salt", "seq", "tombstone", "entry.row.*")
-    return keyed.groupBy("topic", "salt").transformWithStateInPandas(
-        TopicMerge(), _CHANGE, "Update", "None")
-
-
-def topic_view_stateful(changelog: DataFrame, path: str, checkpoint: str, salts: int = 16,
-                        **trigger) -> StreamingQuery:
-    """Write the change rows of ``topic_changes`` under ``path``."""
-    return _start(topic_changes(changelog, salts), lambda batch, batch_id: write_batch(batch, path, batch_id),
-                  checkpoint, "update", trigger or {"availableNow": True})
-
-
-def read_topic_changes(spark: SparkSession, path: str) -> DataFrame:
-    """Partition rows after the newest change of each."""
-    return latest_updates(spark, path, ["topic", "partition"]).where(~F.col("deleted")).drop("deleted")
+    """The state table of ``topic_view``, with markers."""
+    return folded_state(_topics(path).read(spark))
+
+
+def read_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """The partition rows of ``topic_view``."""
+    rows = _topics(path).read(spark).where(F.col("partition").isNotNull())
+    return rows.select("topic", "partition", *[F.col(f"row.{name}").alias(name) for name in PARTITION_FIELDS])
 
 
 # -- heartbeats --------------------------------------------------------------------------
 
-def heartbeat_changes(changelog: DataFrame) -> DataFrame:
-    """Stream with the last valid heartbeat or tombstone of every instance (R2).
+def _beats(path: str, every: int = COMPACT_EVERY) -> ChangeStore:
+    return ChangeStore(path, _BEAT, ("instance_id",), every)
 
-    A native streaming aggregation, partial before the shuffle; malformed records do
-    not take part, so the older heartbeat stays.
-    """
+
+def last_heartbeats(changelog: DataFrame) -> DataFrame:
+    """The last valid heartbeat or tombstone of every instance (R2); malformed records do not take part."""
     records = decode(changelog).where(F.col("instance_id").isNotNull())
+    seq = F.when(F.col("is_valid"), F.col("offset"))
     return records.groupBy("instance_id").agg(
-        F.max_by(F.struct("is_tombstone", "heartbeat"), F.when(F.col("is_valid"), F.col("offset"))).alias("last")
-    ).where(F.col("last").isNotNull()).select(F.col("last.is_tombstone").alias("deleted"),
-             *heartbeat_fields(F.col("last.heartbeat"), F.col("instance_id")))
+        F.max_by(F.struct("is_tombstone", "heartbeat"), seq).alias("last"), F.max(seq).alias("seq")
+    ).where(F.col("last").isNotNull()).select(
+        *heartbeat_fields(F.col("last.heartbeat"), F.col("instance_id")), "seq", F.col("last.is_tombstone").alias("deleted"))
+
 
+def heartbeat_view(changelog: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None,
+                   compact_every: int = COMPACT_EVERY, **trigger) -> StreamingQuery:
+    """Keep the known instances of a changelog stream under ``path``.
 
-def heartbeat_view(changelog: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the rows of ``heartbeat_changes`` under ``path``."""
-    return _start(heartbeat_changes(changelog), lambda batch, batch_id: write_batch(batch, path, batch_id),
-                  checkpoint, "update", trigger or {"availableNow": True})
+    ``initial`` are the instances of a replayed log (``replay_heartbeats``), so that a tail that
+    starts at its resume offsets knows them.  Deleted instances leave the table with the
+    next compaction.
+    """
+    store = _beats(path, compact_every)
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 0 and initial is not None:
+            store.start(initial.withColumn("seq", F.lit(-1).cast("bigint")))
+        store.write(last_heartbeats(batch), batch_id)
+    return _start(changelog, fold, checkpoint, trigger)
 
 
 def read_heartbeat_view(spark: SparkSession, path: str, as_of) -> DataFrame:
     """Known instances; liveness is evaluated now, expired ones stay listed as inactive."""
-    rows = latest_updates(spark, path, ["instance_id"]).where(~F.col("deleted"))
-    return with_liveness(rows.select(*HEARTBEAT.names), as_of)
+    return with_liveness(_beats(path).read(spark).select(*HEARTBEAT.names), as_of)

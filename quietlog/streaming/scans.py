@@ -4,8 +4,17 @@ The stream has one row per listed partition and scan: topic, partition, scan_tim
 ``asked`` (false where the topic gave no answer at all), latest, earliest, and
 ``expected``, the number of rows of the scan.  A scan counts only when all its rows have
 arrived: until then it is held back, and so are later scans.
+
+A scan may never become complete, as a scan that fails half way does.  It is given up when
+``patience`` later scans are complete, or when ``max_wait`` seconds have gone by since its first row
+came; later scans go on from the state before it, and rows of it that come late are
+refused.  The ledger says of every scan whether it was folded, was given up, or is waiting.
 """
 
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +25,9 @@ from quietlog.functions.sharding import shard
 from quietlog.operators.codec import encode_topics, topic_of, topic_tombstones
 from quietlog.operators.scan import fold_scan
 from quietlog.schema import CHANGELOG, DEFAULT_SHARDS, STATE
-from quietlog.sources.tables import materialise
-from quietlog.streaming.sinks import last_batch_id, read_batch, write_batch
+from quietlog.sources.tables import Scratch
+from quietlog.streaming.sinks import batch_path, drop_batches, read_batch, write_batch
+from quietlog.streaming.store import COMPACT_EVERY, ChangeStore, same_keys
 
 SCAN_ROW = T.StructType([
     T.StructField("topic", T.StringType()),
@@ -28,6 +38,14 @@ SCAN_ROW = T.StructType([
     T.StructField("earliest", T.LongType()),
     T.StructField("expected", T.LongType()),
 ])
+LEDGER = T.StructType([
+    T.StructField("scan_time", T.LongType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("partitions", T.LongType()),
+    T.StructField("expected", T.LongType()),
+    T.StructField("first_seen", T.LongType()),
+])
+FOLDED, GIVEN_UP, WAITING, START = "folded", "given up", "waiting", "start"
 
 
 def scan_rows(listing: DataFrame, observations: DataFrame) -> DataFrame:
@@ -58,69 +76,127 @@ def _log_columns(records: DataFrame, last_scan: int) -> DataFrame:
         F.timestamp_seconds(F.lit(last_scan)).alias("timestamp"))
 
 
-def _due(rows: DataFrame, after: int | None) -> tuple[list[int], int | None]:
-    """(scan times to fold, first scan time to hold back).
+@dataclass(frozen=True)
+class Progress:
+    """One scan of the ledger."""
+
+    scan_time: int
+    status: str
+    partitions: int
+    expected: int
+    first_seen: int
 
-    Scans at or before ``after`` were overtaken by a later one and are never folded.  One
-    row per waiting scan comes to the driver.
+
+def decide(scans: list[Progress], patience: int, max_wait: int | None, now: int) -> list[Progress]:
+    """What becomes of the scans that have arrived in part or whole, given in the order of time.
+
+    Complete scans are folded up to the first incomplete one that is still waited for.
     """
-    scans = rows.groupBy("scan_time").agg(F.count(F.lit(1)).alias("n"), F.max("expected").alias("expected"))
-    due: list[int] = []
-    for scan in sorted(scans.collect(), key=lambda r: r["scan_time"]):
-        if after is not None and scan["scan_time"] <= after:
-            continue
-        if scan["n"] < scan["expected"]:
-            return due, scan["scan_time"]
-        due.append(scan["scan_time"])
-    return due, None
+    waited_for, out = False, []
+    for i, scan in enumerate(scans):
+        later = sum(s.partitions >= s.expected for s in scans[i + 1:])
+        overdue = later >= patience or (max_wait is not None and now - scan.first_seen >= max_wait)
+        if scan.partitions < scan.expected:
+            status = WAITING if waited_for or not overdue else GIVEN_UP
+        else:
+            status = WAITING if waited_for else FOLDED
+        waited_for |= status == WAITING
+        out.append(Progress(scan.scan_time, status, scan.partitions, scan.expected, scan.first_seen))
+    return out
+
+
+def _ledger(path: str, every: int) -> ChangeStore:
+    return ChangeStore(f"{path.rstrip('/')}-ledger", LEDGER, ("scan_time",), every)
+
+
+def _state(path: str, every: int = COMPACT_EVERY) -> ChangeStore:
+    return ChangeStore(path, STATE, ("topic", "partition"), every)
+
+
+def _arrived(rows: DataFrame, ledger: DataFrame, now: int) -> list[Progress]:
+    """Scans with rows that may still count; one row per scan that waits comes to the driver."""
+    settled = ledger.agg(F.max(F.when(F.col("status").isin(FOLDED, START), F.col("scan_time")))).first()[0]
+    known = {r["scan_time"]: r for r in ledger.where(
+        F.lit(settled is None) | (F.col("scan_time") > F.lit(settled))).collect()}
+    scans = rows.groupBy("scan_time").agg(F.count(F.lit(1)).alias("partitions"), F.max("expected").alias("expected")).collect()
+    out = []
+    for scan in sorted(scans, key=lambda r: r["scan_time"]):
+        before = known.get(scan["scan_time"])
+        if (settled is not None and scan["scan_time"] <= settled) or (before and before["status"] == GIVEN_UP):
+            continue  # overtaken, or late
+        out.append(Progress(scan["scan_time"], WAITING, scan["partitions"], scan["expected"], before["first_seen"] if before else now))
+    return out
+
+
+def _fold(state: DataFrame, rows: DataFrame, scan: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows of the state that the scan changed, deleted ones included; deleted topics)."""
+    own = rows.where(F.col("scan_time") == scan)
+    result = fold_scan(state, own.select("topic", "partition"), own.where("asked"), scan)
+    gone = state.join(result.deleted, "topic", "left_semi").select(*STATE.names, F.lit(True).alias("deleted"))
+    changed = result.state.where("observed").select(*STATE.names, F.lit(False).alias("deleted")).unionByName(gone)
+    return scratch.table(changed, "scanned"), result.deleted
+
+
+def _records(before: DataFrame, changed: DataFrame, deleted: DataFrame, scan: int) -> DataFrame:
+    """(key, value) of what a scan writes: the topics with observed rows, and tombstones."""
+    # What a scan leaves as it was belongs to the records of the topics that it observed.
+    kept = same_keys(before, changed, ["topic", "partition"], "left_anti").join(
+        changed.where(~F.col("deleted")).select("topic").distinct(), "topic", "left_semi")
+    after = changed.where(~F.col("deleted")).drop("deleted").withColumn("observed", F.lit(True)).unionByName(
+        kept.withColumn("observed", F.lit(False)))
+    return encode_topics(after, scan, observed_only=True).select("key", "value").unionByName(topic_tombstones(deleted, before))
 
 
 def start_scans(scans: DataFrame, state_path: str, changelog_path: str, checkpoint: str,
-                initial: DataFrame | None = None, **trigger) -> StreamingQuery:
-    """Fold every micro-batch of scans into the next state table and changelog records.
+                initial: DataFrame | None = None, patience: int = 2, max_wait: int | None = None,
+                compact_every: int = COMPACT_EVERY, clock: Callable[[], float] = time.time, **trigger) -> StreamingQuery:
+    """Fold every micro-batch of scans into the state and write changelog records.
 
     A batch may complete several scans (catching up); each writes its own set of records.
-    Rows of incomplete scans wait in a table beside the state.  A batch reads the state of
-    the batch before it; older ones may be deleted.  ``initial`` is the state to start
-    from, such as a replayed log; scans up to its last one are refused, as are scans
+    The state is kept as changes, so a scan writes the rows it observed.  Rows of
+    incomplete scans wait in a table beside it, each once however often it was read.  ``initial`` is
+    the state to start from, such as a replayed log; scans up to its last one are refused, as are scans
     that a later one has overtaken.  Batches never overlap, and ``availableNow`` gives the
     one-shot form.  The counters of A11 are reported as the observed metrics ``scan`` of
     the query; they count rows before completeness is known.
     """
     waiting_path = f"{state_path.rstrip('/')}-waiting"
+    store, ledger = _state(state_path, compact_every), _ledger(state_path, compact_every)
     scans = scans.where(~is_system_topic(F.col("topic"))).observe(
         "scan",
         F.count(F.lit(1)).alias("listed_partitions"),
         F.count_if("asked").alias("asked_partitions"),
         F.count("latest").alias("processed_partitions"))
 
+    def begin(spark: SparkSession) -> None:
+        store.start(initial.select(*STATE.names))
+        last = initial.agg(F.max(F.greatest("scanned_at", "last_update"))).first()[0]
+        if last is not None:
+            ledger.start(spark.createDataFrame([(last, START, 0, 0, 0)], LEDGER))
+
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        waiting = read_batch(spark, waiting_path, batch_id - 1, SCAN_ROW)
-        rows = waiting.unionByName(batch).persist()
-        try:
-            state = read_batch(spark, state_path, batch_id - 1, STATE)
-            if batch_id == 0 and initial is not None:
-                state = initial.select(*STATE.names)
-            after = state.agg(F.max(F.greatest("scanned_at", "last_update"))).first()[0]
-            due, held_from = _due(rows, after)
-            records = None
-            for scan in due:
-                own = rows.where(F.col("scan_time") == scan)
-                result = fold_scan(state, own.select("topic", "partition"), own.where("asked"), scan)
-                # The records are encoded from the written state, so the fold runs once.
-                before, state = state, materialise(result.state, "scanned-state")
-                written = encode_topics(state, scan, observed_only=True).select("key", "value").unionByName(
-                    topic_tombstones(result.deleted, before))
-                placed = _log_columns(written, scan)
-                records = placed if records is None else records.unionByName(placed)
-            held = rows.where(F.lit(held_from is not None) & (F.col("scan_time") >= F.lit(held_from)))
-            write_batch(held, waiting_path, batch_id)
-            if records is not None:
-                write_batch(records, changelog_path, batch_id)
-            write_batch(state.select(*STATE.names), state_path, batch_id)
-        finally:
-            rows.unpersist()
+        if batch_id == 0 and initial is not None:
+            begin(spark)
+        with Scratch() as scratch:
+            waiting = read_batch(spark, waiting_path, batch_id - 1, SCAN_ROW)
+            # A row that is read twice counts once.
+            rows = scratch.table(waiting.unionByName(batch).dropDuplicates(["scan_time", "topic", "partition"]), "scan-rows")
+            found = decide(_arrived(rows, ledger.read(spark, batch_id - 1), int(clock())), patience, max_wait, int(clock()))
+            merged, wrote = None, "overwrite"  # rows that the scans of this batch changed so far
+            for scan in [s.scan_time for s in found if s.status == FOLDED]:
+                before = store.read(spark, batch_id - 1, then=[merged] if merged else []).drop("version")
+                changed, deleted = _fold(before, rows, scan, scratch)
+                records = _log_columns(_records(before, changed, deleted, scan), scan)
+                records.write.mode(wrote).parquet(batch_path(changelog_path, batch_id))
+                wrote = "append"
+                merged = scratch.table(changed.unionByName(
+                    same_keys(merged, changed, ["topic", "partition"], "left_anti")), "scanned") if merged else changed
+            held = [s.scan_time for s in found if s.status == WAITING]
+            write_batch(rows.where(F.col("scan_time").isin(held)), waiting_path, batch_id)
+            store.write(merged or spark.createDataFrame([], STATE), batch_id)
+            ledger.write(spark.createDataFrame([tuple(vars(s).values()) for s in found], LEDGER), batch_id)
+            drop_batches(spark, waiting_path, batch_id - 1)
 
     return (scans.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -128,7 +204,12 @@ def start_scans(scans: DataFrame, state_path: str, changelog_path: str, checkpoi
 
 def read_scan_state(spark: SparkSession, state_path: str) -> DataFrame:
     """State table after the newest batch."""
-    return read_batch(spark, state_path, last_batch_id(spark, state_path, STATE), STATE)
+    return _state(state_path).read(spark).select(*STATE.names)
+
+
+def read_scan_ledger(spark: SparkSession, state_path: str) -> DataFrame:
+    """What became of every scan."""
+    return _ledger(state_path, COMPACT_EVERY).read(spark).select(*LEDGER.names)
 
 
 def read_scan_changelog(spark: SparkSession, changelog_path: str) -> DataFrame:

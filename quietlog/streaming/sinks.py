@@ -4,33 +4,43 @@ Every micro-batch writes a folder of its own, named by the batch id, so a batch
 is run again after a failure replaces what it wrote before.
 """
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_BATCH = re.compile(r"/batch_id=(\d+)/")
 
+class Folder:
+    """The numbered folders below a path, through Spark's own file system layer."""
 
-def batch_path(path: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/batch_id={batch_id}"
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._path = path.rstrip("/")
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._at(self._path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(self, prefix: str, complete: bool = True) -> list[int]:
+        """Numbers of the folders ``<prefix><number>`` that were written to the end."""
+        if not self._files.exists(self._at(self._path)):
+            return []
+        names = [status.getPath().getName() for status in self._files.listStatus(self._at(self._path))]
+        return sorted(
+            int(name.removeprefix(prefix)) for name in names if name.startswith(prefix)
+            and (not complete or self._files.exists(self._at(f"{self._path}/{name}/_SUCCESS"))))
 
+    def remove(self, name: str) -> None:
+        self._files.delete(self._at(f"{self._path}/{name}"), True)
 
-def _refuse_used(spark: SparkSession, path: str) -> None:
-    """A new query must not continue in the folder of another one, whose later batches would hide its own."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(folder):
-        for status in files.listStatus(folder):
-            name = status.getPath().getName()
-            if name.startswith("batch_id=") and name != "batch_id=0":
-                raise ValueError(f"{path} holds batches of another query; use a new folder with a new checkpoint")
+    def refuse_used(self) -> None:
+        """A new query must not continue in the folder of another one, whose later batches would hide its own."""
+        if any(n > 0 for n in self.numbers("batch_id=", complete=False)):
+            raise ValueError(f"{self._path} holds batches of another query; use a new folder with a new checkpoint")
+
+
+def batch_path(path: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/batch_id={batch_id}"
 
 
 def write_batch(frame: DataFrame, path: str, batch_id: int) -> None:
     if batch_id == 0:
-        _refuse_used(frame.sparkSession, path)
+        Folder(frame.sparkSession, path).refuse_used()
     frame.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
 
@@ -41,48 +51,9 @@ def read_batch(spark: SparkSession, path: str, batch_id: int, schema: StructType
     return spark.read.schema(schema).parquet(batch_path(path, batch_id))
 
 
-def last_batch_id(spark: SparkSession, path: str, schema: StructType) -> int:
-    """The newest batch of a sink, from the file listing; no data are read."""
-    files = spark.read.schema(schema).parquet(path).inputFiles()
-    return max((int(found.group(1)) for found in (_BATCH.search(name) for name in files) if found), default=-1)
-
-
-def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row of every key of an update stream written with ``write_batch``."""
-    updates = spark.read.parquet(path)
-    columns = [name for name in updates.columns if name not in (*keys, "batch_id")]
-    return (
-        updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col("batch_id")).alias("row"))
-        .select(*keys, *[F.col(f"row.{name}").alias(name) for name in columns])
-    )
-
-
-def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> None:
-    """Put all batches but the newest one into one, with the newest row of every key.
-
-    Rows that say ``deleted`` go, as nothing older is left that they hide.  Run it between
-    two runs of the query: reads of the view then cost the size of the view, not of its history.
-    The newest batch stays as it is, because a restarted query may write it again.
-    """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def at(name: str):
-        return spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
-
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    batches = sorted(int(name.removeprefix("batch_id=")) for name in names if name.startswith("batch_id="))[:-1]
-    if len(batches) < 2:
-        return
-    old = spark.read.option("basePath", path).parquet(*[batch_path(path, n) for n in batches])
-    columns = [name for name in old.columns if name not in (*keys, "batch_id")]
-    newest = old.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col("batch_id")).alias("row")).select(*keys, "row.*")
-    # Names with an underscore are not read; the swap leaves either form whole.
-    newest.where(~F.col("deleted")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_compacted")
-    last = batches[-1]
-    files.delete(at(f"_replaced-{last}"), True)
-    files.rename(at(f"batch_id={last}"), at(f"_replaced-{last}"))
-    files.rename(at("_compacted"), at(f"batch_id={last}"))
-    for n in batches[:-1]:
-        files.delete(at(f"batch_id={n}"), True)
-    files.delete(at(f"_replaced-{last}"), True)
+def drop_batches(spark: SparkSession, path: str, before: int) -> None:
+    """Delete what batches below ``before`` wrote."""
+    folder = Folder(spark, path)
+    for n in folder.numbers("batch_id=", complete=False):
+        if n < before:
+            folder.remove(f"batch_id={n}")

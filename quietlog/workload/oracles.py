@@ -200,6 +200,20 @@ _HISTORY = ("SELECT topic, part AS partition, epoch, scan_time, off AS offset, t
             "cnt AS message_count FROM hist")
 
 
+def _without_scan(lost: int) -> str:
+    """The common tables as if scan ``lost`` had not been made; later scans move up by one."""
+    number = f"n - CAST(n > {lost} AS INTEGER) AS n"
+    text = _COMMON.strip()
+    for old, new in (
+        ("SELECT DISTINCT topic, n, scan_time FROM listing", f"SELECT DISTINCT topic, {number}, scan_time FROM listing WHERE n <> {lost}"),
+        ("SELECT topic, part, n, scan_time,\n", f"SELECT topic, part, {number}, scan_time,\n"),
+        ("FROM cum WHERE", f"FROM cum WHERE n <> {lost} AND"),
+    ):
+        assert text.count(old) == 1, old
+        text = text.replace(old, new)
+    return text
+
+
 def sql() -> dict[str, str]:
     names = {
         "unused_topics_from_log": f""",
@@ -412,11 +426,16 @@ SELECT name, severity, problem, count(*) AS topics FROM findings GROUP BY ALL"""
   group_id, assigned_shards, is_active FROM hb_live WHERE CAST(substr(instance_id, 6) AS BIGINT) % 9 <> 0""",
         "stream_scan": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
         "stream_merge_resumed": _MERGE + f"\nSELECT {_STATE_COLUMNS} FROM merged",
-        "stream_scan_split": _state(6) + f"\nSELECT {_STATE_COLUMNS} FROM state",
+        "stream_heartbeats_resumed": """SELECT instance_id, last_heartbeat_at, heartbeat_interval_sec, 0 AS scan_interval_sec,
+  group_id, assigned_shards, is_active FROM hb_live WHERE CAST(substr(instance_id, 6) AS BIGINT) % 9 <> 0""",
+        "stream_scan_lost_rows": _state(29) + f"\nSELECT {_STATE_COLUMNS} FROM state",
+        "stream_scan_ledger": """SELECT scan_time, CASE WHEN n = 13 THEN 'given up' ELSE 'folded' END AS status, count(*) AS expected
+FROM listing WHERE n <= 30 GROUP BY ALL""",
+        "stream_scan_split": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
         "stream_scan_resumed": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
         "stream_scan_log": _state(10, "s10") + _state(20, "s20") + _state(30, "s30") + "".join(
             f"{' UNION ALL' if n > 10 else ''}\nSELECT {_STATE_COLUMNS}, {n} AS n FROM s{n}" for n in (10, 20, 30)),
         "stream_scan_replay": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
     }
-    return {name: _COMMON.strip() + body if body.startswith(",") else _COMMON.strip() + "\n" + body
-            for name, body in names.items()}
+    common = {name: _COMMON.strip() for name in names} | {"stream_scan_lost_rows": _without_scan(13)}
+    return {name: common[name] + body if body.startswith(",") else common[name] + "\n" + body for name, body in names.items()}

@@ -1,6 +1,7 @@
 """Registered queries: one per operator or report, each over whole driver tables."""
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -469,12 +470,13 @@ def _stream_topics(spark, sf_dir, start) -> str:
 
 
 def stream_merge(spark, sf_dir):
-    out = _stream_topics(spark, sf_dir, live.topic_view_stateful)
-    return live.read_topic_changes(spark, out)
+    out = _stream_topics(spark, sf_dir, live.topic_view)
+    return live.read_partitions(spark, out)
 
 
 def stream_merge_tables(spark, sf_dir):
-    out = _stream_topics(spark, sf_dir, live.topic_view_tables)
+    """As above with markers, the state compacted after every other batch."""
+    out = _stream_topics(spark, sf_dir, partial(live.topic_view, compact_every=2))
     return _rows(live.read_topic_view(spark, out))
 
 
@@ -486,25 +488,40 @@ def stream_merge_resumed(spark, sf_dir):
     source, out, checkpoint = (scratch_dir(spark, f"stream-{part}") for part in ("source", "out", "checkpoint"))
     late = F.unix_timestamp("timestamp")
     _feed(log.where(~early), [late <= _at(20), late > _at(20)], source,
-          lambda: live.topic_view_tables(log_source.stream_table(spark, source), out, checkpoint, initial=initial))
+          lambda: live.topic_view(log_source.stream_table(spark, source), out, checkpoint, initial=initial))
     return _rows(live.read_topic_view(spark, out))
 
 
-def stream_heartbeats(spark, sf_dir):
+def _beat_changes(spark, sf_dir) -> DataFrame:
     """Every heartbeat, then a broken value for some users and a tombstone for others."""
     user = F.substring_index("key", "-", -1).cast("bigint")
     beats = views.heartbeat_records(spark, sf_dir).withColumn("offset", F.lit(0))
     broken = beats.where(user % 7 == 0).withColumn("value", F.lit("{not-json")).withColumn("offset", F.lit(1))
     gone = beats.where(user % 9 == 0).withColumn("value", F.lit(None).cast("string")).withColumn("offset", F.lit(2))
-    log = log_source.normalise(beats.unionByName(broken).unionByName(gone).select(
+    return log_source.normalise(beats.unionByName(broken).unionByName(gone).select(
         "key", "value", F.lit(0).alias("partition"), "offset", F.timestamp_seconds(F.lit(AS_OF)).alias("timestamp")))
+
+
+def _stream_beats(spark, log: DataFrame, parts: list, **options) -> DataFrame:
     source, out, checkpoint = (scratch_dir(spark, f"stream-{part}") for part in ("source", "out", "checkpoint"))
-    offset = F.col("offset")
-    _feed(log, [offset == 0, offset >= 1], source,
-          lambda: live.heartbeat_view(log_source.stream_table(spark, source), out, checkpoint))
+    _feed(log, parts, source,
+          lambda: live.heartbeat_view(log_source.stream_table(spark, source), out, checkpoint, **options))
     return live.read_heartbeat_view(spark, out, AS_OF)
 
 
+def stream_heartbeats(spark, sf_dir):
+    """Heartbeats, broken values and tombstones from a stream."""
+    offset = F.col("offset")
+    return _stream_beats(spark, _beat_changes(spark, sf_dir), [offset == 0, offset >= 1])
+
+
+def stream_heartbeats_resumed(spark, sf_dir):
+    """The heartbeats replayed in one batch; a stream starts from these instances and reads the rest."""
+    log, offset = _beat_changes(spark, sf_dir), F.col("offset")
+    initial = materialise(replay.replay_heartbeats(log.where(offset == 0)), "initial-instances")
+    return _stream_beats(spark, log.where(offset > 0), [offset == 1, offset == 2], initial=initial, compact_every=1)
+
+
 def _scan_rows(spark, sf_dir) -> DataFrame:
     return materialise(scans.scan_rows(views.raw_listing(spark, sf_dir), views.observation(spark, sf_dir)), "scans")
 
@@ -531,8 +548,8 @@ def stream_scan_replay(spark, sf_dir):
 
 
 def stream_scan_split(spark, sf_dir):
-    """Scans 1 to 6 from files that cut across scans, one file per micro-batch."""
-    rows = _scan_rows(spark, sf_dir).where(F.col("scan_time") <= _at(6))
+    """All scans from files that cut across scans, one file per micro-batch."""
+    rows = _scan_rows(spark, sf_dir)
     source, state, log, checkpoint = (
         scratch_dir(spark, f"stream-{part}") for part in ("source", "state", "log", "checkpoint"))
     piece = F.pmod(F.xxhash64("topic"), F.lit(4))
@@ -541,6 +558,28 @@ def stream_scan_split(spark, sf_dir):
     return _rows(scans.read_scan_state(spark, state))
 
 
+def _scans_with_loss(spark, sf_dir) -> str:
+    """All scans; a third of the rows of scan 13 is lost, and comes after scan 30."""
+    rows = _scan_rows(spark, sf_dir)
+    lost = (F.col("scan_time") == _at(13)) & (F.pmod(F.xxhash64("topic", "partition"), F.lit(3)) == 0)
+    source, state, log, checkpoint = (
+        scratch_dir(spark, f"stream-{part}") for part in ("source", "state", "log", "checkpoint"))
+    early = F.col("scan_time") <= _at(13)
+    _feed(rows, [~lost & early, ~lost & ~early, lost], source,
+          lambda: scans.start_scans(scans.read_scans(spark, source), state, log, checkpoint, compact_every=2))
+    return state
+
+
+def stream_scan_lost_rows(spark, sf_dir):
+    """The state when scan 13 never becomes complete."""
+    return _rows(scans.read_scan_state(spark, _scans_with_loss(spark, sf_dir)))
+
+
+def stream_scan_ledger(spark, sf_dir):
+    """What became of each of these scans."""
+    return scans.read_scan_ledger(spark, _scans_with_loss(spark, sf_dir)).select("scan_time", "status", "expected")
+
+
 def stream_scan_resumed(spark, sf_dir):
     """The records of scans 1 to 26 replayed, then scans 27 to 30 from a stream that starts from that state."""
     listing, observation = views.scans(spark, sf_dir)
@@ -643,9 +682,12 @@ QUERIES: dict[str, Query] = {
     "stream_merge_tables": stream_merge_tables,
     "stream_merge_resumed": stream_merge_resumed,
     "stream_heartbeats": stream_heartbeats,
+    "stream_heartbeats_resumed": stream_heartbeats_resumed,
     "stream_scan": stream_scan,
     "stream_scan_replay": stream_scan_replay,
     "stream_scan_split": stream_scan_split,
+    "stream_scan_lost_rows": stream_scan_lost_rows,
+    "stream_scan_ledger": stream_scan_ledger,
     "stream_scan_resumed": stream_scan_resumed,
     "stream_scan_log": stream_scan_log,
 }
