@@ -175,17 +175,17 @@ def encode_topic(state: DataFrame, topic: str, write_time) -> DataFrame:
 
 
 def topic_tombstones(topics: DataFrame, state: DataFrame | None = None,
-                     slice_width: int = SLICE_WIDTH) -> DataFrame:
+                     slice_width: int = SLICE_WIDTH, versions: Sequence[str] = ()) -> DataFrame:
     """(key, value) tombstones of a ``topic`` column (K3).
 
     ``state`` is the last state of the topics; the slices of the wide ones among them
-    get tombstones too.
+    get tombstones too.  ``versions`` names further columns of ``topics`` that come along.
     """
-    keys = topics.select(F.col("topic").alias("key"))
+    keys = topics.select(F.col("topic").alias("key"), *versions)
     if state is not None:
         number = F.floor(F.col("partition") / F.lit(slice_width)).cast("string")
         wide = state.where(F.col("partition") >= slice_width).select("topic", F.concat("topic", F.lit("#"), number).alias("key"))
-        keys = keys.union(wide.distinct().join(topics.select("topic"), "topic", "left_semi").select("key"))
+        keys = keys.union(wide.distinct().join(topics.select("topic", *versions), "topic").select("key", *versions))
     return keys.withColumn("value", F.lit(None).cast("string"))
 
 

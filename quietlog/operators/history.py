@@ -5,6 +5,7 @@ most one row per scan; a topic that holds most of the rows is spread over its
 partitions.
 """
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,14 +37,14 @@ def topic_epochs(listing: DataFrame) -> DataFrame:
     )
 
 
-def returns_of(epochs: DataFrame) -> DataFrame:
+def returns_of(epochs: DataFrame, table: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """(topic, returns): scan times at which deleted topics came back.
 
     Only recreated topics have a row and an array holds at most one entry per scan.
     The frame is written out so that joins know its size.
     """
     returns = epochs.where("is_return").groupBy("topic").agg(F.sort_array(F.collect_list("scan_time")).alias("returns"))
-    return materialise(returns, "topic-returns")
+    return table(returns, "topic-returns")
 
 
 def topic_returns(listing: DataFrame) -> DataFrame:
@@ -187,3 +188,80 @@ def resume_scans(previous: DataFrame, listing: DataFrame, observations: DataFram
         .withColumn("partition", F.when(F.col("offset").isNotNull(), F.col("partition")))
     )
     return ScansResult(state.select(*STATE_COLUMNS, "observed"), gone.select("topic"))
+
+
+@dataclass(frozen=True)
+class ScansFold:
+    """What several scans did to a state.
+
+    ``changed``: state rows that are new, different or gone (``deleted``), the last ones only;
+    ``versions``: the rows of every topic after each scan that processed it, with ``scan_time``,
+    and ``observed`` where that scan answered them; ``ended``: (topic, scan_time) of deletions.
+    """
+
+    changed: DataFrame
+    versions: DataFrame
+    ended: DataFrame
+
+
+def fold_scans(previous: DataFrame, listing: DataFrame, observations: DataFrame, scan_times: Sequence[int],
+               table: Callable[[DataFrame, str], DataFrame] = materialise) -> ScansFold:
+    """As ``fold_scan`` for each of ``scan_times`` in turn, in one pass whatever their number.
+
+    ``observations`` has a row per asked partition; a topic is processed by the scans that asked
+    for it.  Intermediate tables are written by ``table``.
+    """
+    first, before = min(scan_times), min(scan_times) - 1
+    known = previous.select("topic").distinct().withColumn("scan_time", F.lit(before).cast("bigint"))
+    epochs = table(topic_epochs(listing.select("topic", "scan_time").unionByName(known)), "topic-epochs")
+    returns = returns_of(epochs, table)
+    processed = table(
+        observations.select("topic", "scan_time").distinct().join(epochs.select("topic", "scan_time", "epoch"), ["topic", "scan_time"]),
+        "processed-topics")
+    live = epochs.where(F.col("scan_time") == max(scan_times)).select("topic", "epoch")
+    # An epoch ends at the scan after its last listing; only topics of the state are deleted.
+    times = F.array(*[F.lit(t).cast("bigint") for t in sorted(scan_times)])
+    ends = epochs.groupBy("topic", "epoch").agg(F.max("scan_time").alias("until")).withColumn(
+        "scan_time", F.get(F.filter(times, lambda t: t > F.col("until")), F.lit(0)))
+    held = processed.select("topic", "epoch").unionByName(
+        epochs.where((F.col("scan_time") == before) & (F.col("epoch") == 0)).select("topic", "epoch")).distinct()
+    ended = table(ends.where(F.col("scan_time").isNotNull()).join(held, ["topic", "epoch"], "left_semi").select(
+        "topic", "epoch", "scan_time"), "ended-topics")
+
+    answers = observations.where(F.col("latest").isNotNull())
+    earliest = F.coalesce(F.col("earliest"), F.lit(0))
+    fresh = answers.select(
+        "topic", "partition", "scan_time", F.col("latest").alias("offset"), F.lit(None).cast("bigint").alias("timestamp"),
+        is_empty(F.col("latest"), earliest).alias("is_empty"), F.col("scan_time").alias("scanned_at"),
+        message_count(F.col("latest"), earliest).alias("message_count"), F.col("scan_time").alias("last_update"))
+    seeds = previous.where(F.col("partition").isNotNull()).join(processed.select("topic").distinct(), "topic", "left_semi").select(*[
+        F.lit(before).cast("bigint").alias("scan_time") if n == "scan_time" else F.col(n) for n in fresh.columns])
+    by_scan = Window.partitionBy("topic", "partition", "epoch").orderBy("scan_time")
+    is_seed, offset = F.col("scan_time") < first, F.col("offset")
+    # A seed with an unset timestamp counts as no previous answer.
+    compared = F.when(~is_seed | (F.col("timestamp") != 0), offset)
+    moved = F.col("previous").isNull() | (offset > F.col("previous"))
+    changed_at = F.when(is_seed, F.col("timestamp")).otherwise(F.when(moved, F.col("scan_time")))
+    rows = table(
+        fresh.unionByName(seeds).join(returns, "topic", "left")
+        .withColumn("epoch", _epoch_at(F.col("scan_time"))).drop("returns")
+        .withColumn("previous", F.lag(compared).over(by_scan))
+        .withColumn("until", F.lead("scan_time").over(by_scan))
+        .withColumn("timestamp", F.last(changed_at, ignorenulls=True).over(
+            by_scan.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("previous"), "scanned-rows")
+
+    last = rows.where(F.col("until").isNull() & ~is_seed).join(live, ["topic", "epoch"], "left_semi").select(*STATE_COLUMNS)
+    markers = processed.join(live, ["topic", "epoch"], "left_semi").groupBy("topic").agg(F.max("scan_time").alias("last_update"))
+    now = last.unionByName(markers, allowMissingColumns=True)
+    lost = previous.join(ended.where("epoch = 0").select("topic"), "topic", "left_semi")
+    changed = now.withColumn("deleted", F.lit(False)).unionByName(
+        lost.join(now.select(F.col("topic").alias("t"), F.col("partition").alias("p")),
+                  (F.col("topic") == F.col("t")) & F.col("partition").eqNullSafe(F.col("p")), "left_anti")
+        .select(*STATE_COLUMNS).withColumn("deleted", F.lit(True)))
+
+    kept = rows.withColumnRenamed("scan_time", "since").withColumn("scan_time", F.explode(
+        F.filter(times, lambda t: (t >= F.col("since")) & (F.col("until").isNull() | (t < F.col("until"))))))
+    kept = kept.join(processed, ["topic", "epoch", "scan_time"], "left_semi").withColumn("observed", F.col("since") == F.col("scan_time"))
+    versions = kept.select(*STATE_COLUMNS, "scan_time", "observed").unionByName(
+        processed.select("topic", "scan_time", F.lit(True).alias("observed")), allowMissingColumns=True)
+    return ScansFold(changed, versions, ended.select("topic", "scan_time"))

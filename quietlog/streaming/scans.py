@@ -23,11 +23,11 @@ from pyspark.sql.streaming import StreamingQuery
 from quietlog.functions.names import is_system_topic
 from quietlog.functions.sharding import shard
 from quietlog.operators.codec import encode_topics, topic_of, topic_tombstones
-from quietlog.operators.scan import fold_scan
+from quietlog.operators.history import ScansFold, fold_scans
 from quietlog.schema import CHANGELOG, DEFAULT_SHARDS, STATE
 from quietlog.sources.tables import Scratch
-from quietlog.streaming.sinks import batch_path, drop_batches, read_batch, write_batch
-from quietlog.streaming.store import COMPACT_EVERY, ChangeStore, same_keys
+from quietlog.streaming.sinks import drop_batches, read_batch, write_batch
+from quietlog.streaming.store import COMPACT_EVERY, ChangeStore
 
 SCAN_ROW = T.StructType([
     T.StructField("topic", T.StringType()),
@@ -67,13 +67,13 @@ def read_scans(spark: SparkSession, path: str, max_files_per_trigger: int | None
     return reader.parquet(path)
 
 
-def _log_columns(records: DataFrame, last_scan: int) -> DataFrame:
-    """Place records in a table-backed log: a tombstone just before the new record."""
+def _log_columns(records: DataFrame) -> DataFrame:
+    """Place records in a table-backed log, scan by scan: a tombstone just before the new record."""
     return records.select(
         "key", "value",
         shard(topic_of(F.col("key")), F.lit(0), DEFAULT_SHARDS).alias("partition"),
-        (F.lit(last_scan).cast("bigint") * 2 + F.col("value").isNotNull().cast("bigint")).alias("offset"),
-        F.timestamp_seconds(F.lit(last_scan)).alias("timestamp"))
+        (F.col("scan_time") * 2 + F.col("value").isNotNull().cast("bigint")).alias("offset"),
+        F.timestamp_seconds("scan_time").alias("timestamp"))
 
 
 @dataclass(frozen=True)
@@ -128,23 +128,11 @@ def _arrived(rows: DataFrame, ledger: DataFrame, now: int) -> list[Progress]:
     return out
 
 
-def _fold(state: DataFrame, rows: DataFrame, scan: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows of the state that the scan changed, deleted ones included; deleted topics)."""
-    own = rows.where(F.col("scan_time") == scan)
-    result = fold_scan(state, own.select("topic", "partition"), own.where("asked"), scan)
-    gone = state.join(result.deleted, "topic", "left_semi").select(*STATE.names, F.lit(True).alias("deleted"))
-    changed = result.state.where("observed").select(*STATE.names, F.lit(False).alias("deleted")).unionByName(gone)
-    return scratch.table(changed, "scanned"), result.deleted
-
-
-def _records(before: DataFrame, changed: DataFrame, deleted: DataFrame, scan: int) -> DataFrame:
-    """(key, value) of what a scan writes: the topics with observed rows, and tombstones."""
-    # What a scan leaves as it was belongs to the records of the topics that it observed.
-    kept = same_keys(before, changed, ["topic", "partition"], "left_anti").join(
-        changed.where(~F.col("deleted")).select("topic").distinct(), "topic", "left_semi")
-    after = changed.where(~F.col("deleted")).drop("deleted").withColumn("observed", F.lit(True)).unionByName(
-        kept.withColumn("observed", F.lit(False)))
-    return encode_topics(after, scan, observed_only=True).select("key", "value").unionByName(topic_tombstones(deleted, before))
+def _records(fold: ScansFold, before: DataFrame) -> DataFrame:
+    """(key, value, scan_time) of what each scan writes: the topics with observed rows, and tombstones."""
+    written = encode_topics(fold.versions, F.col("scan_time"), observed_only=True, versions=["scan_time"])
+    known = before.select("topic", "partition").unionByName(fold.versions.select("topic", "partition"))
+    return written.select("key", "value", "scan_time").unionByName(topic_tombstones(fold.ended, known, versions=["scan_time"]))
 
 
 def start_scans(scans: DataFrame, state_path: str, changelog_path: str, checkpoint: str,
@@ -152,7 +140,8 @@ def start_scans(scans: DataFrame, state_path: str, changelog_path: str, checkpoi
                 compact_every: int = COMPACT_EVERY, clock: Callable[[], float] = time.time, **trigger) -> StreamingQuery:
     """Fold every micro-batch of scans into the state and write changelog records.
 
-    A batch may complete several scans (catching up); each writes its own set of records.
+    A batch may complete several scans (catching up); they are folded in one pass, and each writes
+    its own set of records.
     The state is kept as changes, so a scan writes the rows it observed.  Rows of
     incomplete scans wait in a table beside it, each once however often it was read.  ``initial`` is
     the state to start from, such as a replayed log; scans up to its last one are refused, as are scans
@@ -183,18 +172,16 @@ def start_scans(scans: DataFrame, state_path: str, changelog_path: str, checkpoi
             # A row that is read twice counts once.
             rows = scratch.table(waiting.unionByName(batch).dropDuplicates(["scan_time", "topic", "partition"]), "scan-rows")
             found = decide(_arrived(rows, ledger.read(spark, batch_id - 1), int(clock())), patience, max_wait, int(clock()))
-            merged, wrote = None, "overwrite"  # rows that the scans of this batch changed so far
-            for scan in [s.scan_time for s in found if s.status == FOLDED]:
-                before = store.read(spark, batch_id - 1, then=[merged] if merged else []).drop("version")
-                changed, deleted = _fold(before, rows, scan, scratch)
-                records = _log_columns(_records(before, changed, deleted, scan), scan)
-                records.write.mode(wrote).parquet(batch_path(changelog_path, batch_id))
-                wrote = "append"
-                merged = scratch.table(changed.unionByName(
-                    same_keys(merged, changed, ["topic", "partition"], "left_anti")), "scanned") if merged else changed
+            times = [s.scan_time for s in found if s.status == FOLDED]
+            if times:
+                before, due = store.read(spark, batch_id - 1).drop("version"), rows.where(F.col("scan_time").isin(times))
+                result = fold_scans(before, due, due.where("asked"), times, scratch.table)
+                write_batch(_log_columns(_records(result, before)), changelog_path, batch_id)
+                store.write(result.changed, batch_id)
+            else:
+                store.write(spark.createDataFrame([], STATE), batch_id)
             held = [s.scan_time for s in found if s.status == WAITING]
             write_batch(rows.where(F.col("scan_time").isin(held)), waiting_path, batch_id)
-            store.write(merged or spark.createDataFrame([], STATE), batch_id)
             ledger.write(spark.createDataFrame([tuple(vars(s).values()) for s in found], LEDGER), batch_id)
             drop_batches(spark, waiting_path, batch_id - 1)
 

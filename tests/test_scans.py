@@ -193,3 +193,25 @@ def test_retained_watermarks(spark):
     log = spark.createDataFrame([("t", 0, 0, 1), ("t", 0, 1, 5), ("t", 1, 0, 1)], "topic string, partition int, offset long, ts long")
     rows = {(r.partition, r.latest, r.earliest) for r in watermarks.watermarks_from_log(log, F.col("ts") > 3).collect()}
     assert rows == {(0, 2, 1), (1, 1, 1)}
+
+
+@pytest.mark.parametrize("seed,cuts", [(42, [3, 4, 3]), (43, [1, 8, 1])])
+def test_several_scans_in_one_pass(spark, seed, cuts):
+    series, held, state, records = random_scans(seed, 10), [], spark.createDataFrame([], STATE), []
+    for n in cuts:
+        part = series[len(held):len(held) + n]
+        times = [time for time, _, _ in part]
+        fold = history.fold_scans(state, listing(spark, part), observations(spark, part), times)
+        for time, *_ in part:
+            expected = fold_scans(held := [*held, series[len(held)]])
+            rows = fold.versions.where(F.col("scan_time") == time)
+            found = of_state(rows.drop("scan_time", "observed"))
+            assert found == {t: p for t, (update, p) in expected.items() if update == time}
+            gone = {r.topic for r in fold.ended.where(F.col("scan_time") == time).collect()}
+            assert gone == set(fold_scans(held[:-1])) - set(held[-1][1])
+        changed = fold.changed.collect()
+        keys = {(r.topic, r.partition) for r in changed}
+        assert len(keys) == len(changed)
+        kept = [r for r in state.collect() if (r.topic, r.partition) not in keys]
+        state = spark.createDataFrame([tuple(r) for r in kept] + [tuple(r)[:-1] for r in changed if not r.deleted], STATE)
+        assert of_state(state, with_update=True) == fold_scans(held)
