@@ -2,11 +2,15 @@
 
 Both public vocabularies split a text before the white space in front of a word, so a piece
 (a space and what follows up to the next one) always has the same ids wherever it stands.
-Distinct pieces are encoded by the tokenizers library, many in one call, and kept; texts in
-which a piece ends in white space, where that rule could fail, are encoded whole.
+Distinct pieces are encoded by the tokenizers library, many in one call, and kept while they are met
+again; texts in which a piece ends in white space, where that rule could fail, are encoded whole.
+Most new pieces are one word, perhaps with a comma or full stop or a line break to another word.  Their
+parts go to the library's model directly, without its normaliser and splitter, whose work on
+such words is known; this is used only where a set of probes gives the library's own ids.
 """
 
 import os
+import re
 
 import numpy as np
 
@@ -14,7 +18,7 @@ from quietlog.llm.common import ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-#: Distinct pieces that a worker keeps; the store starts anew when it is full.
+#: Distinct pieces that a worker keeps; when there are more, those that were met once are dropped, then all.
 KEPT_PIECES = 500_000
 #: Longer pieces are encoded one by one.
 LONG_PIECE = 200
@@ -23,6 +27,19 @@ _MARK = "|"
 _ZERO_WIDTH = "\u180e\u200b\u2060\ufeff"
 
 
+#: One word of Latin letters, a mark, and after a line break the same once more.
+_WORD = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,60}"
+_PLAIN = re.compile(f"({_WORD})([,.]?)(?:(\n)({_WORD})([,.]?))?")
+_PROBES = ["the", "The", "thanor,", "THE.", "the.\nThe", "ab\ncd,", "d\u00e9j\u00e0", "\u00c9t\u00e9,", "\u00df", "a", "I.", "s\n\u00eat", "Xy.\nzW.", "donna", "\u00ff\u00d8"]
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return [chr(b) if b in set(prints) else chr(256 + others.index(b)) for b in range(256)]
+
+
 def default_file(name: str) -> str:
     """Path of a public vocabulary file on this machine."""
     import public_tokenizers
@@ -46,16 +63,67 @@ class Encoder:
             strings = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(strings.values()) + 1, bool)
             self.opens[[i for s, i in strings.items() if s.startswith("Ġ")]] = True  # byte-level sign of a space
+        self.letters = _byte_letters()
+        self.marks: dict[str, list[int]] = {}
+        expected = self._ids([" " + p for p in _PROBES])
+        self.plain = all(self._parts(_PLAIN.fullmatch(p)) == e.tolist() for p, e in zip(_PROBES, expected))
         self._start_over()
 
+    def _parts(self, found: re.Match) -> list[int]:
+        """Ids of a plain piece after a space."""
+        first, mark, line, second, last = found.groups("")
+        if self.drops_space:
+            first, second, line = first.lower(), second.lower(), ""
+            ids = self._word(first)
+        else:
+            ids = self._word(first, self.letters[32])
+        if mark:
+            ids += self._mark(mark)
+        if second:
+            if line:
+                ids += self._mark(line)
+            ids += self._word(second)
+            if last:
+                ids += self._mark(last)
+        return ids
+
+    def _word(self, word: str, before: str = "") -> list[int]:
+        """Ids of a run of letters, with the letter that stands for a space before it."""
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        return [t.id for t in self.tokenizer.model.tokenize(before + word)]
+
+    def _mark(self, mark: str) -> list[int]:
+        if mark not in self.marks:
+            self.marks[mark] = [t.id for t in self.tokenizer.model.tokenize(self.letters[ord(mark)])]
+        return self.marks[mark]
+
     def _start_over(self):
         self.places = Places()
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
         self.unsafe = np.zeros(1 << 16, bool)
+        self.met = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.int32)
         self.size = 0
 
+    def _drop(self):
+        """Keep the pieces that were met again since the last time, unless these are most of them."""
+        places, starts, lengths, unsafe, ids = self.places, self.starts, self.lengths, self.unsafe, self.ids
+        again = np.flatnonzero(self.met > 1)
+        self._start_over()
+        if 2 * len(again) > KEPT_PIECES:
+            return
+        pieces = list(places)
+        n = len(again)
+        self.places = Places([pieces[i] for i in again.tolist()])
+        for name, old in (("starts", starts), ("lengths", lengths), ("unsafe", unsafe)):
+            setattr(self, name, np.concatenate([old[again], np.zeros(max(0, (1 << 16) - n), old.dtype)]))
+        self.met = np.zeros(len(self.starts), np.int64)
+        kept = ids[ranges(self.starts[:n], self.lengths[:n])]
+        self.starts[:n] = np.cumsum(self.lengths[:n]) - self.lengths[:n]
+        self._store(kept)
+
     def _ids(self, items: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
@@ -74,14 +142,21 @@ class Encoder:
         n = first + len(pieces)
         if n > len(self.starts):
             more = max(len(self.starts), n - len(self.starts))
-            for name in ("starts", "lengths", "unsafe"):
+            for name in ("starts", "lengths", "unsafe", "met"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros(more, old.dtype)]))
-        alone, plain = [], []
+        alone, plain, words = [], [], []
         for i, p in enumerate(pieces, first):
+            found = _PLAIN.fullmatch(p) if self.plain else None
+            if found:
+                ids = self._parts(found)
+                self.starts[i], self.lengths[i] = self.size + len(words), len(ids)
+                words += ids
+                continue
             (alone if _MARK in p or len(p) > LONG_PIECE or not p else plain).append(i)
             if not self.drops_space and (not p or p[-1].isspace() or p[-1] in _ZERO_WIDTH):
                 self.unsafe[i] = True
+        self._store(np.array(words, np.int32))
         for at in range(0, len(plain), 1024):
             group = plain[at:at + 1024]
             line = [pieces[i - first] for i in group]
@@ -106,7 +181,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text); call with a bounded amount of text."""
         if len(self.places) > KEPT_PIECES:
-            self._start_over()
+            self._drop()
         pieces: list[str] = []
         owners = np.zeros(len(texts), np.int64)
         heads: list[str] = []
@@ -121,6 +196,7 @@ class Encoder:
         at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
         if len(self.places) > known:
             self._keep(self.places.take_new(), known)
+        self.met += np.bincount(at, minlength=len(self.met))
         lengths = self.lengths[at]
         cuts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(owners)])]
         ids, counts = self.ids[ranges(self.starts[at], lengths)], np.diff(cuts)
