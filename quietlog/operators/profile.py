@@ -51,6 +51,34 @@ def approximate_unique_keys(changelog: DataFrame, relative_error: float = 0.01)
     return changelog.agg(F.approx_count_distinct("key", relative_error).alias("unique_keys"))
 
 
+SKETCH_SIZE = 14  # logarithm of the registers: a relative error of about 0.8 %
+
+
+def batch_profile(changelog: DataFrame) -> DataFrame:
+    """One row of what can be added up over batches of a growing log: counters, and a sketch of the keys (A4, A5).
+
+    Keep one such row per batch; ``merged_profile`` of all rows then never reads the log again.
+    """
+    flags = decode(changelog)
+    is_heartbeat = F.col("instance_id").isNotNull()
+    return flags.agg(
+        F.count(F.lit(1)).alias("total_records"),
+        F.count_if("is_tombstone").alias("tombstone_records"),
+        F.count_if(is_heartbeat).alias("heartbeat_records"),
+        F.count_if(~is_heartbeat).alias("topic_state_records"),
+        F.count_if(~F.col("is_valid")).alias("malformed_records"),
+        F.hll_sketch_agg("key", SKETCH_SIZE).alias("keys"),
+    )
+
+
+def merged_profile(batches: DataFrame) -> DataFrame:
+    """One row for all ``batch_profile`` rows; ``unique_keys`` is the estimate of the united sketches."""
+    counters = ["total_records", "tombstone_records", "heartbeat_records", "topic_state_records", "malformed_records"]
+    return batches.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counters],
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("keys")), F.lit(0)).alias("unique_keys"))
+
+
 def key_mismatches(changelog: DataFrame) -> DataFrame:
     """Number of topic records whose ``topic`` field differs from their key."""
     return decode(changelog).agg(

@@ -433,6 +433,11 @@ SELECT name, severity, problem, count(*) AS topics FROM findings GROUP BY ALL"""
 FROM listing WHERE n <= 30 GROUP BY ALL""",
         "stream_scan_split": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
         "stream_scan_resumed": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
+        "state_from_intervals": _state(10, "s10") + _state(20, "s20") + _state(30, "s30") + "".join(
+            f"{' UNION ALL' if n > 10 else ''}\nSELECT {_STATE_COLUMNS}, {n} AS n FROM s{n}" for n in (10, 20, 30)),
+        "changelog_profile_merged": """SELECT count(*) AS total_records, count(*) FILTER (WHERE tomb) AS tombstone_records,
+  CAST(0 AS BIGINT) AS heartbeat_records, count(*) AS topic_state_records, count(*) FILTER (WHERE bad) AS malformed_records,
+  true AS keys_are_close FROM recs""",
         "stream_scan_log": _state(10, "s10") + _state(20, "s20") + _state(30, "s30") + "".join(
             f"{' UNION ALL' if n > 10 else ''}\nSELECT {_STATE_COLUMNS}, {n} AS n FROM s{n}" for n in (10, 20, 30)),
         "stream_scan_replay": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
