@@ -7,6 +7,8 @@ reading twice.  The records of one key must arrive in the order of their offsets
 changelog partition gives them.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,8 @@ from quietlog.schema import HEARTBEAT, PARTITION_FIELDS
 from quietlog.sources.tables import Scratch
 from quietlog.streaming.store import COMPACT_EVERY, ChangeStore, same_keys
 
+Fold = Callable[[DataFrame, int], None]
+
 _FOLDED = T.StructType([
     T.StructField("topic", T.StringType()),
     T.StructField("partition", T.IntegerType()),
@@ -64,11 +68,10 @@ def _fold_topics(batch: DataFrame, store: ChangeStore, batch_id: int) -> None:
         store.write(fresh.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True))), batch_id)
 
 
-def topic_view(changelog: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None,
-               compact_every: int = COMPACT_EVERY, **trigger) -> StreamingQuery:
-    """Keep the merged topic view (R1, A8) of a changelog stream under ``path``.
+def topic_fold(path: str, initial: DataFrame | None = None, compact_every: int = COMPACT_EVERY) -> Fold:
+    """Folds batches of the changelog, numbered from 0, into the topic view under ``path``.
 
-    ``initial`` is a replayed state from whose resume offsets the stream reads on.
+    ``initial`` is a replayed state from whose resume offsets the batches read on.
     """
     store = _topics(path, compact_every)
 
@@ -80,7 +83,13 @@ def topic_view(changelog: DataFrame, path: str, checkpoint: str, initial: DataFr
             _fold_topics(batch, store, batch_id)
         finally:
             batch.unpersist()
-    return _start(changelog, fold, checkpoint, trigger)
+    return fold
+
+
+def topic_view(changelog: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None,
+               compact_every: int = COMPACT_EVERY, **trigger) -> StreamingQuery:
+    """Keep the merged topic view of a changelog stream under ``path`` by ``topic_fold``."""
+    return _start(changelog, topic_fold(path, initial, compact_every), checkpoint, trigger)
 
 
 def read_topic_view(spark: SparkSession, path: str) -> DataFrame:
@@ -110,9 +119,8 @@ def last_heartbeats(changelog: DataFrame) -> DataFrame:
         *heartbeat_fields(F.col("last.heartbeat"), F.col("instance_id")), "seq", F.col("last.is_tombstone").alias("deleted"))
 
 
-def heartbeat_view(changelog: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None,
-                   compact_every: int = COMPACT_EVERY, **trigger) -> StreamingQuery:
-    """Keep the known instances of a changelog stream under ``path``.
+def heartbeat_fold(path: str, initial: DataFrame | None = None, compact_every: int = COMPACT_EVERY) -> Fold:
+    """Folds batches of the changelog, numbered from 0, into the known instances under ``path`` (R2).
 
     ``initial`` are the instances of a replayed log (``replay_heartbeats``), so that a tail that
     starts at its resume offsets knows them.  Deleted instances leave the table with the
@@ -124,7 +132,13 @@ def heartbeat_view(changelog: DataFrame, path: str, checkpoint: str, initial: Da
         if batch_id == 0 and initial is not None:
             store.start(initial.withColumn("seq", F.lit(-1).cast("bigint")))
         store.write(last_heartbeats(batch), batch_id)
-    return _start(changelog, fold, checkpoint, trigger)
+    return fold
+
+
+def heartbeat_view(changelog: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None,
+                   compact_every: int = COMPACT_EVERY, **trigger) -> StreamingQuery:
+    """Keep the known instances of a changelog stream under ``path`` by ``heartbeat_fold``."""
+    return _start(changelog, heartbeat_fold(path, initial, compact_every), checkpoint, trigger)
 
 
 def read_heartbeat_view(spark: SparkSession, path: str, as_of) -> DataFrame:

@@ -425,6 +425,7 @@ SELECT name, severity, problem, count(*) AS topics FROM findings GROUP BY ALL"""
         "stream_heartbeats": """SELECT instance_id, last_heartbeat_at, heartbeat_interval_sec, 0 AS scan_interval_sec,
   group_id, assigned_shards, is_active FROM hb_live WHERE CAST(substr(instance_id, 6) AS BIGINT) % 9 <> 0""",
         "stream_scan": _state(30) + f"\nSELECT {_STATE_COLUMNS} FROM state",
+        "stream_merge_by_offset": _MERGE + f"\nSELECT {_STATE_COLUMNS} FROM merged",
         "stream_merge_resumed": _MERGE + f"\nSELECT {_STATE_COLUMNS} FROM merged",
         "stream_heartbeats_resumed": """SELECT instance_id, last_heartbeat_at, heartbeat_interval_sec, 0 AS scan_interval_sec,
   group_id, assigned_shards, is_active FROM hb_live WHERE CAST(substr(instance_id, 6) AS BIGINT) % 9 <> 0""",

@@ -15,7 +15,7 @@ from quietlog.session import prepare, scratch_dir
 from quietlog.sources import changelog as log_source
 from quietlog.sources import configs, watermarks
 from quietlog.sources.tables import materialise
-from quietlog.streaming import live, scans
+from quietlog.streaming import live, scans, tail
 from quietlog.workload import views
 from quietlog.workload.views import AS_OF, BASE, DAY
 
@@ -514,6 +514,18 @@ def stream_merge_resumed(spark, sf_dir):
     return _rows(live.read_topic_view(spark, out))
 
 
+def stream_merge_by_offset(spark, sf_dir):
+    """The log up to scan 15 merged in one batch; a tail by offset goes on from there, is stopped within the partitions and goes on again."""
+    log = _partial_log(spark, sf_dir)
+    early = log.where(F.unix_timestamp("timestamp") <= F.lit(_at(15)))
+    out, positions = (scratch_dir(spark, f"tail-{part}") for part in ("out", "positions"))
+    initial, resume = materialise(replay.merge_topics(early), "initial-state"), profile.resume_offsets(early)
+    fold = live.topic_fold(out, initial)
+    tail.follow(log, positions, fold, resume, per_partition=8 * views.OFFSETS_PER_SCAN + 500, steps=1)
+    tail.follow(log, positions, fold)
+    return _rows(live.read_topic_view(spark, out))
+
+
 def _beat_changes(spark, sf_dir) -> DataFrame:
     """Every heartbeat, then a broken value for some users and a tombstone for others."""
     user = F.substring_index("key", "-", -1).cast("bigint")
@@ -705,6 +717,7 @@ QUERIES: dict[str, Query] = {
     "stream_merge": stream_merge,
     "stream_merge_tables": stream_merge_tables,
     "stream_merge_resumed": stream_merge_resumed,
+    "stream_merge_by_offset": stream_merge_by_offset,
     "stream_heartbeats": stream_heartbeats,
     "stream_heartbeats_resumed": stream_heartbeats_resumed,
     "stream_scan": stream_scan,

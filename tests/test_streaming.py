@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quietlog.operators import replay
+from quietlog.operators import profile, replay
 from quietlog.schema import CHANGELOG, STATE
 from quietlog.sources import changelog as log_source
-from quietlog.streaming import live, scans
+from quietlog.streaming import live, scans, tail
 from quietlog.streaming.store import ChangeStore
 from tests import folds
 from tests.test_changelog import BROKEN, beat, log, random_records, record, offset_only
@@ -88,6 +88,45 @@ def test_table_view_starts_from_a_replayed_state(spark, tmp_path):
     assert folds.of_state(live.read_topic_view(spark, out), with_update=True) == folds.merge(records)
 
 
+def test_a_tail_by_offset_has_no_gap_and_reads_nothing_twice(spark, tmp_path):
+    records = random_records(15, 200)
+    out, positions, source = (str(tmp_path / n) for n in ("out", "positions", "source"))
+    keys = sorted({key for key, _ in records})
+    numbered, at = [], [0, 0, 0]
+    for key, value in records:
+        p = keys.index(key) % 3
+        numbered.append((key, value, p, at[p], None))
+        at[p] += 1 + (at[p] % 50 == 49) * 30  # gaps, as compaction leaves them
+    frame = lambda rows: spark.createDataFrame(rows, CHANGELOG)
+    first = [r for r in numbered[:60] if r[2] < 2]  # the replay does not know partition 2
+    frame(numbered[:120]).repartition(2).write.parquet(source)
+    seen = []
+    inner = live.topic_fold(out, replay.merge_topics(frame(first)), compact_every=2)
+
+    def fold(batch, step):
+        seen.extend((r.partition, r.offset) for r in batch.collect())
+        inner(batch, step)
+        if step == 2 and len(failed) < 1:
+            failed.append(step)
+            raise RuntimeError("lost before the position is noted")
+    failed = []
+    resume = profile.resume_offsets(frame(first))
+    with pytest.raises(RuntimeError):
+        tail.follow(log_source.from_table(spark, source), positions, fold, resume, per_partition=9)
+    again = len(seen)
+    tail.follow(log_source.from_table(spark, source), positions, fold, resume, per_partition=9, steps=1)
+    repeated = seen[again:]
+    assert set(repeated) <= set(seen[:again])  # the failed step is taken once more
+    frame(numbered[120:]).write.mode("append").parquet(source)
+    assert tail.follow(log_source.from_table(spark, source), positions, fold, per_partition=25) > 2
+    assert tail.follow(log_source.from_table(spark, source), positions, fold) == 0
+    once = seen[:again] + seen[again + len(repeated):]
+    assert sorted(once) == sorted((r[2], r[3]) for r in numbered if r not in first)
+    assert folds.of_state(live.read_topic_view(spark, out), with_update=True) == folds.merge(records)
+    assert {r.partition: r.next_offset for r in tail.read_positions(spark, positions).collect()} == {
+        p: max(r[3] for r in numbered if r[2] == p) + 1 for p in range(3)}
+
+
 def test_deleted_instances_leave_the_table(spark, tmp_path):
     now = 1774864800
     records = [beat("a", now), beat("b", now), ("tracker-instance:b", None), beat("c", now - 500), beat("a", now - 1), beat("d", now),
