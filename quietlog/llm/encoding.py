@@ -19,7 +19,7 @@ from quietlog.llm.common import ranges
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Distinct pieces that a worker keeps; when there are more, those that were met once are dropped, then all.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 320_000
 #: Longer pieces are encoded one by one.
 LONG_PIECE = 200
 _MARK = "|"
