@@ -350,7 +350,7 @@ FROM otopic JOIN parts ON name = topic WHERE contains(name, '-1')""",
   count(*) FILTER (WHERE contains(lower(name), 'cust-1')) AS match_count,
   count(*) FILTER (WHERE contains(lower(name), 'cust-1') AND status = 'unused') AS unused_count FROM ostatus""",
         "name_match_class": "SELECT name FROM otopic WHERE regexp_matches(name, 'cust-[[&&1]+[^*+&&1]*$')",
-        "topic_search_unicode": "SELECT name FROM otopic WHERE regexp_matches(name || '-ÄÖ', '(?i)CUST-[0-9]*7-äö$')",
+        "topic_search_unicode": "SELECT name FROM otopic WHERE regexp_matches(translate(name, '24679', 'ÄäÖéЖ'), '(?i)CUST-[0-9]*[äж]+[0-9Ö]*É$')",
         "name_match_prefix": "SELECT name FROM otopic WHERE starts_with(name, 'orders.cust-2')",
         "name_match_substring": "SELECT name FROM otopic WHERE contains(lower(name), 'cust-3')",
         "name_match_regex": "SELECT name FROM otopic WHERE regexp_matches(name, 'cust-(?:1|2)[0-9]*5$')",
