@@ -287,6 +287,10 @@ SELECT o_orderkey, {_age_text('e')} AS age FROM a""",
         "list_topics_deep_page": """SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS name,
   CAST(row_number() OVER (ORDER BY o_custkey, 'order-' || CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS position,
   CAST(o_custkey AS BIGINT) AS total_message_count FROM orders QUALIFY position > 10000 AND position <= 10500""",
+        "list_topics_indexed_pages": """SELECT CAST((position - 1) // 500 + 1 AS INTEGER) AS page, * FROM (
+  SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS name,
+    CAST(row_number() OVER (ORDER BY o_custkey, 'order-' || CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS position,
+    CAST(o_custkey AS BIGINT) AS total_message_count FROM orders) WHERE (position - 1) // 500 + 1 IN (1, 21, 30)""",
         "list_topics_by_empty": _TOPICS + "\n" + _page("status", "is_empty DESC, lower(name), name", 500, 0),
         "unused_topics": _TOPICS + "\n" + _page("status", "newest DESC, lower(name), name".replace("newest", "oldest"),
                                                 50, 50, "newest_days >= 4"),

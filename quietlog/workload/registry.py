@@ -6,9 +6,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietlog.arguments import Page, Thresholds
 from quietlog.functions.ages import age_parts, age_seconds, age_text, epoch_seconds
 from quietlog.functions.names import name_matcher, search_predicate
-from quietlog.operators import audit, codec, history, instances, ownership, profile, replay, rollup, scan, validity
+from quietlog.operators import audit, codec, history, instances, ordering, ownership, profile, ranking, replay, rollup, scan, validity
 from quietlog.plans import reports, scan_cycle
 from quietlog.schema import STATE_COLUMNS
 from quietlog.session import prepare, scratch_dir
@@ -197,6 +198,16 @@ def list_topics_deep_page(spark, sf_dir):
         "name", "position", "total_message_count")
 
 
+def list_topics_indexed_pages(spark, sf_dir):
+    """Pages 1, 21 and 30 of all orders as topics from one rank index."""
+    path = scratch_dir(spark, "rank-index")
+    topics = rollup.topic_rollup(views.single_order_state(spark, sf_dir))
+    order = ordering.topic_order(F.lit(AS_OF), Thresholds.of(_O_STALE, _O_UNUSED), "messages")
+    ranking.build_rank_index(topics, order, path, rows_per_range=2000)
+    pages = [ranking.indexed_page(spark, path, order, Page.of(n, 500)).withColumn("page", F.lit(n)) for n in (1, 21, 30)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).select("page", "name", "position", "total_message_count")
+
+
 def list_topics_by_empty(spark, sf_dir):
     return reports.list_topics(_state(spark, sf_dir), AS_OF, sort_by="empty", sort_dir="desc", limit=500,
                                stale_days=_STALE, unused_days=_UNUSED).rows
@@ -669,6 +680,7 @@ QUERIES: dict[str, Query] = {
     "list_topics_by_messages": _list_orders(sort_by="messages", sort_dir="desc", search="CUST-1[0-9]+$"),
     "list_topics_by_empty": list_topics_by_empty,
     "list_topics_deep_page": list_topics_deep_page,
+    "list_topics_indexed_pages": list_topics_indexed_pages,
     "unused_topics": unused_topics,
     "empty_topics": empty_topics,
     "page_meta": page_meta,
