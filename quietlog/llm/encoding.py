@@ -2,8 +2,8 @@
 
 Both public vocabularies split a text before the white space in front of a word, so a piece
 (a space and what follows up to the next one) always has the same ids wherever it stands.
-Distinct pieces are encoded by the tokenizers library, many in one call, and kept while they are met
-again; texts in which a piece ends in white space, where that rule could fail, are encoded whole.
+Distinct pieces are encoded by the tokenizers library, many in one call, and kept; texts in
+which a piece ends in white space, where that rule could fail, are encoded whole.
 Most new pieces are one word, perhaps with a comma or full stop or a line break to another word.  Their
 parts go to the library's model directly, without its normaliser and splitter, whose work on
 such words is known; this is used only where a set of probes gives the library's own ids.
@@ -18,8 +18,8 @@ from quietlog.llm.common import ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-#: Distinct pieces that a worker keeps; when there are more, those that were met once are dropped, then all.
-KEPT_PIECES = 320_000
+#: Distinct pieces that a worker keeps; the store starts anew when it is full.
+KEPT_PIECES = 450_000
 #: Longer pieces are encoded one by one.
 LONG_PIECE = 200
 _MARK = "|"
@@ -103,27 +103,9 @@ class Encoder:
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
         self.unsafe = np.zeros(1 << 16, bool)
-        self.met = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.int32)
         self.size = 0
 
-    def _drop(self):
-        """Keep the pieces that were met again since the last time, unless these are most of them."""
-        places, starts, lengths, unsafe, ids = self.places, self.starts, self.lengths, self.unsafe, self.ids
-        again = np.flatnonzero(self.met > 1)
-        self._start_over()
-        if 2 * len(again) > KEPT_PIECES:
-            return
-        pieces = list(places)
-        n = len(again)
-        self.places = Places([pieces[i] for i in again.tolist()])
-        for name, old in (("starts", starts), ("lengths", lengths), ("unsafe", unsafe)):
-            setattr(self, name, np.concatenate([old[again], np.zeros(max(0, (1 << 16) - n), old.dtype)]))
-        self.met = np.zeros(len(self.starts), np.int64)
-        kept = ids[ranges(self.starts[:n], self.lengths[:n])]
-        self.starts[:n] = np.cumsum(self.lengths[:n]) - self.lengths[:n]
-        self._store(kept)
-
     def _ids(self, items: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
@@ -142,7 +124,7 @@ class Encoder:
         n = first + len(pieces)
         if n > len(self.starts):
             more = max(len(self.starts), n - len(self.starts))
-            for name in ("starts", "lengths", "unsafe", "met"):
+            for name in ("starts", "lengths", "unsafe"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros(more, old.dtype)]))
         alone, plain, words = [], [], []
@@ -181,7 +163,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text); call with a bounded amount of text."""
         if len(self.places) > KEPT_PIECES:
-            self._drop()
+            self._start_over()
         pieces: list[str] = []
         owners = np.zeros(len(texts), np.int64)
         heads: list[str] = []
@@ -196,7 +178,6 @@ class Encoder:
         at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
         if len(self.places) > known:
             self._keep(self.places.take_new(), known)
-        self.met += np.bincount(at, minlength=len(self.met))
         lengths = self.lengths[at]
         cuts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(owners)])]
         ids, counts = self.ids[ranges(self.starts[at], lengths)], np.diff(cuts)
