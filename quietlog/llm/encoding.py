@@ -19,7 +19,7 @@ from quietlog.llm.common import ranges
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Distinct pieces that a worker keeps; the store starts anew when it is full.
-KEPT_PIECES = 450_000
+KEPT_PIECES = 300_000
 #: Longer pieces are encoded one by one.
 LONG_PIECE = 200
 _MARK = "|"
