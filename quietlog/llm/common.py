@@ -15,6 +15,21 @@ from quietlog.sources.tables import materialise
 #: Latin capitals to small letters, all other bytes as they are.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
+_held: dict = {}
+
+
+def held(name, make):
+    """What this worker keeps from one task to the next; asking for another thing lets go of the one before."""
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Free what earlier tasks of this worker kept; for tasks that need the memory themselves."""
+    _held.clear()
+
 
 def pack(values: np.ndarray) -> bytes:
     """A numeric array as compressed bytes, all first bytes of its numbers, then all second ones and so on."""

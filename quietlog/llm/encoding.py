@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-from quietlog.llm.common import ranges
+from quietlog.llm.common import held, ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -215,14 +215,9 @@ class Places(dict):
         return new
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(file: str) -> Encoder:
     """The worker's encoder for a file."""
-    if file not in _encoders:
-        _encoders[file] = Encoder(file)
-    return _encoders[file]
+    return held(("encoder", file), lambda: Encoder(file))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

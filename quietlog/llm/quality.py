@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.llm.common import slices, texts
+from quietlog.llm.common import let_go, slices, texts
 
 #: At most so many rows of each kind are learnt from, those of smallest hash.
 SAMPLE_ROWS = 6_000
@@ -192,6 +192,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below the threshold, all columns as they are."""
     def run(batches):
+        let_go()
         for batch in slices(batches, CHUNK_BYTES):
             yield batch.filter(pa.array(model.score(features(texts(batch))) >= threshold))
 
