@@ -69,19 +69,14 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
 
     Tokens that share a character (bytes of one code point) overlap; each character counts once.
     """
-    parts, at = [], 0
-    for a, b in offsets[mask]:
-        a = max(int(a), at)
-        if b > a:
-            parts.append((a, int(b)))
-            at = int(b)
-    runs = []
-    for a, b in parts:
-        if runs and runs[-1][1] == a:
-            runs[-1][1] = b
-        else:
-            runs.append([a, b])
-    return "".join(unescape(formatted[a:b]) for a, b in runs)
+    begin, end = offsets[mask].T
+    reach = np.maximum.accumulate(end)
+    begin = np.maximum(begin, np.concatenate([[0], reach])[:-1])
+    new = end > begin
+    begin, end = begin[new], end[new]
+    apart = np.ones(len(begin) + 1, bool)  # whether a run ends before each token
+    apart[1:-1] = begin[1:] != end[:-1]
+    return "".join(unescape(formatted[x:y]) for x, y in zip(begin[apart[:-1]].tolist(), end[apart[1:]].tolist()))
 
 
 SCHEMA = "conv_id long, n_turns long, formatted string, ids array<int>, loss_mask binary, loss_text string"
