@@ -31,8 +31,13 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
 #: Signs around an identifier that do not belong to it.
 _AROUND = "\"'.,;:!?()[]{}<>"
-#: Characters of context that are looked at, on either side.
-_CONTEXT = 80
+#: Groups of digits with spaces or brackets between them, as numbers that are called or paid with are written.
+_GROUPED = re.compile(r"(?<!\w)\(?[0-9][0-9()\x20.-]*[0-9](?!\w)")
+_GROUPED_DIGITS = range(7, 20)
+_DIGITS = re.compile(r"[0-9]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Longer words of a context, and longer identifiers, are known by their digests.
+_LONG_WORD, _LONG_VALUE = 40, 200
 
 
 def luhn(digits: str) -> bool:
@@ -72,39 +77,87 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: two words before it; one before and one behind."""
-    left = text[max(0, start - _CONTEXT):start].lower().split()
-    right = text[end:end + _CONTEXT].lower().split()
-    found = []
-    if len(left) >= 2:
-        found.append(f"{left[-2]} {left[-1]} _")
-    if left and right:
-        found.append(f"{left[-1]} _ {right[0]}")
+def _short(word: str, most: int) -> str:
+    return word if len(word) <= most else hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _word(word: str) -> str:
+    """A word of a context: numbers in it are all alike."""
+    return _short(_DIGITS.sub("9", word), _LONG_WORD)
+
+
+def shape(value: str) -> str:
+    """How an identifier is built: runs of letters and of digits as one sign each, other signs as they are."""
+    return _short(_LETTERS.sub("a", _DIGITS.sub("9", value)), _LONG_WORD)
+
+
+def contexts(text: str, spans: list[tuple[str | None, int, int]]) -> list[list[str]]:
+    """Lexical patterns around each of the spans (kind, start, end).
+
+    Two words before it; the word before and the word behind; the word before alone; the word before with the
+    span's own shape.  Another span among these words stands there as its kind and ends the context, so
+    all contexts together are linear in the text.
+    """
+    order = sorted(range(len(spans)), key=lambda i: spans[i][1:])
+    name = lambda i: f"<{spans[i][0] or 'id'}>"
+    found: list[list[str]] = [[]] * len(spans)
+    reach, last = 0, None
+    for i, behind in zip(order, [*order[1:], None]):
+        _, start, end = spans[i]
+        left = [_word(w) for w in text[min(reach, start):start].lower().rsplit(None, 2)[-2:]]
+        if len(left) < 2 and last is not None:
+            left = [name(last), *left]
+        limit = len(text) if behind is None else max(end, spans[behind][1])
+        right = [_word(w) for w in text[end:limit].lower().split(None, 1)[:1]]
+        if not right and behind is not None:
+            right = [name(behind)]
+        own = []
+        if left:
+            own += [f"{left[-1]} _", f"{left[-1]} _ {shape(text[start:end].lower())}"]
+        if len(left) == 2:
+            own.append(f"{left[0]} {left[1]} _")
+        if left and right:
+            own.append(f"{left[-1]} _ | {right[0]}")
+        found[i] = own
+        if end >= reach:
+            reach, last = end, i
     return found
 
 
+def _apart(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of the others; both sorted by start."""
+    free, k, reach = [], 0, 0
+    for a, b in spans:
+        while k < len(others) and others[k][0] < b:
+            reach = max(reach, others[k][1])
+            k += 1
+        if reach <= a:
+            free.append((a, b))
+    return free
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Spans of other identifiers: words with a digit or an at sign, five characters or more, without the signs around them."""
-    if not ("@" in text or any(d in text for d in "0123456789")):
+    """Spans of other identifiers, apart from those taken.
+
+    Groups of 7 to 19 digits with spaces or brackets; words with a digit or an at sign, five
+    characters or more, without the signs around them and without a name before ``=`` or ``:``.
+    """
+    if not ("@" in text or _DIGIT.search(text)):
         return []
     used = sorted((a, b) for _, a, b in taken)
-    found, k, reach = [], 0, 0
-    for m in _TOKEN.finditer(text):
-        word = m[0]
-        if not (_DIGIT.search(word) or "@" in word):
-            continue
+    grouped = [m.span() for m in _GROUPED.finditer(text)
+               if (" " in m[0] or "(" in m[0]) and len(_DIGIT.findall(m[0])) in _GROUPED_DIGITS]
+    found = _apart(grouped, used)
+    words = [m.span() for m in _TOKEN.finditer(text) if _DIGIT.search(m[0]) or "@" in m[0]]
+    for start, end in _apart(words, sorted([*used, *found])):
+        word = text[start:end]
         head = max(word.rfind("="), word[:-1].rfind(":")) + 1  # name=value, name:value
-        a = m.start() + head
         body = word[head:]
-        a += len(body) - len(body.lstrip(_AROUND))
+        a = start + head + len(body) - len(body.lstrip(_AROUND))
         body = body.strip(_AROUND)
-        while k < len(used) and used[k][0] < m.end():
-            reach = max(reach, used[k][1])
-            k += 1
-        if len(body) >= 5 and reach <= m.start() and (_DIGIT.search(body) or "@" in body):
+        if len(body) >= 5 and (_DIGIT.search(body) or "@" in body):
             found.append((a, a + len(body)))
-    return found
+    return sorted(found)
 
 
 _SPAN = "struct<kind:string,start:long,end:long>"
@@ -122,11 +175,11 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             spans, uses = [], []
             for text in own:
                 base = base_spans(text)
-                more = candidates(text, base)
+                every = [*base, *((None, a, b) for a, b in candidates(text, base))]
                 spans.append([dict(zip(("kind", "start", "end"), s)) for s in base])
                 uses.append([
-                    {"kind": kind, "start": a, "end": b, "value": text[a:b].lower()[:200], "patterns": patterns(text, a, b)}
-                    for kind, a, b in [*base, *((None, a, b) for a, b in more)]])
+                    {"kind": kind, "start": a, "end": b, "value": _short(text[a:b].lower(), _LONG_VALUE), "patterns": around}
+                    for (kind, a, b), around in zip(every, contexts(text, every))])
             yield pa.RecordBatch.from_arrays([
                 batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("mark")),
                 pa.array(spans, _SPANS), pa.array(uses, _USES)], ["doc_id", "mark", "spans", "uses"])

@@ -26,7 +26,11 @@ def test_base_spans_by_plain_patterns():
 
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "a@" * 100_000, "a.b@" * 50_000):
-        pii.candidates(text, pii.base_spans(text))
+        base = pii.base_spans(text)
+        pii.contexts(text, [*base, *((None, a, b) for a, b in pii.candidates(text, base))])
+    for text in ("1 " * 150_000, "1" + "(" * 300_000, "a1@x.org," * 30_000, "1(" * 150_000, "1 2345678 x " * 30_000):
+        base = pii.base_spans(text)
+        pii.contexts(text, [*base, *((None, a, b) for a, b in pii.candidates(text, base))])
 
 
 def test_contexts_find_unseen_identifiers(spark):
@@ -45,6 +49,68 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.redacted(frame).columns == frame.columns
 
 
+def test_candidates_have_spaces_and_keep_apart():
+    text = "call (988) 555-2485 or a1@x.org, id=(ab12c) in 1999 and 4111 1111 1111 1112."
+    base = pii.base_spans(text)
+    assert [text[a:b] for a, b in pii.candidates(text, base)] == ["(988) 555-2485", "ab12c", "4111 1111 1111 1112"]
+
+
+def test_contexts_by_words_shapes_and_neighbours():
+    text = "Mail User12: a1@x.org 10.0.0.1"
+    assert pii.contexts(text, pii.base_spans(text)) == [
+        ["user9: _", "user9: _ a9@a.a", "mail user9: _", "user9: _ | <ip>"],
+        ["<email> _", "<email> _ 9.9.9.9"]]
+    long = "x" * 1000
+    assert len({pii.contexts(f"{long}{c} a1@x.org", [("email", 1002, 1010)])[0][0] for c in "yzz"}) == 2
+
+
+def test_shapes_mark_numbers_that_no_rule_knows(spark):
+    cards = []
+    for i in range(200):
+        card = f"4111 1111 {i:04d} 1117"
+        if pii.luhn(card.replace(" ", "")):
+            cards.append(card)
+    assert len(cards) >= 12
+    texts = [f"w{i}x card: {c} v{i}y" for i, c in enumerate(cards)]
+    texts += ["pay by card: 4111 1111 1111 1112 soon", "the lot 4111 1111 1111 1112 is", "room: 12345 is free"]
+    rows = by_id(pii.detect(docs(spark, texts)))
+    found = [[(s["kind"], texts[i][s["start"]:s["end"]]) for s in rows[i][0]["found"]] for i in range(len(texts))]
+    assert found[-3:] == [[("card", "4111 1111 1111 1112")], [], []] and not any(found[:-3])
+
+
+def slow_learnt(uses, rounds=3, seeds=5, confidence=0.8):
+    edges = {}
+    for kind, value, pattern in uses:
+        edges[pattern, value] = max(edges.get((pattern, value)) or "", kind or "") or None
+    of = {p: {v: k for (q, v), k in edges.items() if q == p} for p, _ in edges}
+    counts = {p: {k: sum(x == k for x in vs.values()) for k in pii.KINDS} for p, vs in of.items()}
+    of = {p: vs for p, vs in of.items() if max(counts[p].values()) >= 2}
+    known = {(v, k): 1.0 for vs in of.values() for v, k in vs.items() if k}
+    scores = known
+    for _ in range(rounds):
+        rated = {(p, k): sum(scores.get((v, k), 0) for v in vs) / (len(vs) + 1) for p, vs in of.items() for k in pii.KINDS}
+        doubt = {}
+        for (p, k), c in rated.items():
+            for v, own in of[p].items():
+                if own is None and c >= 0.5:
+                    doubt[v, k] = doubt.get((v, k), 1) * (1 - min(c, 0.99))
+        scores = {**known, **{x: 1 - d for x, d in doubt.items()}}
+    return {(p, k): round(c, 9) for (p, k), c in rated.items() if c >= confidence and counts[p][k] >= seeds}
+
+
+def test_graph_scores_by_brute_force(spark):
+    rng = random.Random(4)
+    kinds = {f"v{i}": rng.choice(["email", "email", "phone", "card", None]) for i in range(120)}
+    uses = []
+    for p in range(40):
+        main = rng.choice(["email", "phone", "card"])
+        near = [v for v, k in kinds.items() if k == main or k is None and rng.random() < 0.3 or rng.random() < 0.02]
+        uses += [(kinds[v], v, f"p{p}") for v in rng.choices(near, k=rng.randint(1, 30))]
+    frame = spark.createDataFrame(uses, "kind string, value string, pattern string")
+    found = {(r["pattern"], r["kind"]): round(r["confidence"], 9) for r in pii.learnt_patterns(frame, confidence=0.7).collect()}
+    assert found == slow_learnt(uses, confidence=0.7) and found
+
+
 def test_copies_of_one_seed_are_no_evidence(spark):
     texts = ["please write mail to: a1@x.org thanks"] * 20 + ["please write mail to: zoe9[at]home thanks"]
     assert not any(r["found"] for r in pii.detect(docs(spark, texts)).collect())
