@@ -2,11 +2,16 @@
 
 A document is the set of its shingles; equal sets are one node.  In any common order of all
 shingles, two sets of similarity s share one among the first n - ceil(s n) + 1 of either (prefix
-filter), so pairs meet at such a shingle.  Parities of the shingles that fall on each of 1,024 bits
-differ in no more bits than the sets differ in shingles: they rule out most pairs, the others are
-checked on the whole sets.  The order
-takes rare shingles first, by a table of counts that affects the work but not the result.  Pairs
-with one leader per shingle and size are checked first; what these join is not paired any more.
+filter), so pairs meet at such a shingle.  Parities of the shingles that fall on each bit, of at least
+twice as many bits as shingles, differ in no more bits than the sets differ in shingles: they rule out most pairs,
+the others are checked on the whole sets.  The order
+takes rare shingles first, by a table of counts that affects the work but not the result.
+
+SimHash goes first: fingerprints of the same shingles meet on the popcount grid of operator 1, and what they link
+is checked, together with one leader per shingle and size.  Fingerprints of two bits alone would miss most
+pairs of that similarity, so the rest is found by the prefix filter.  There each set takes its nearest few of other
+groups by parities, groups grow by what is confirmed, and the next round takes more, until no set has any left:
+a large group of near copies costs a few pairs a member, and no pair is left out.
 """
 
 import math
@@ -18,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietlog.llm import fingerprints
 from quietlog.llm.common import column, components, let_go, shingles, slices, texts
 from quietlog.sources.tables import materialise
 
@@ -27,6 +33,14 @@ SEED = 42
 CHUNK_BYTES = 2 << 20
 #: Counters of shingles, and rows of one shingle that are compared at once.
 SLOTS, BLOCK = 1 << 20, 1024
+#: Pairs of a set that the first round takes from each shingle, and how many times as many each further round takes.
+NEAREST, MORE = 3, 8
+#: Pairs that are held, and bytes of parities that are compared, at once.
+STEP_PAIRS, STEP_BYTES = 1 << 17, 4 << 20
+#: Sets that share a shingle and are paired without looking at their parities.
+FEW = 6
+#: Bits of parities of a small set.
+LEAST_BITS = 2048
 
 
 def _least(n, similarity: float):
@@ -34,41 +48,75 @@ def _least(n, similarity: float):
     return np.ceil(n * similarity - 1e-9)
 
 
-def _sets(batch: pa.RecordBatch, words: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted shingle hashes of each text, and the names of these sets."""
-    each = [np.unique(shingles(t, words, SEED)) for t in texts(batch)]
+def _sets(each: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted sets of the shingle hashes of each text, and the names of these sets."""
+    each = [np.unique(x) for x in each]
     names = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in each), np.uint64, len(each))
     return each, names.view(np.int64)
 
 
+def _hashes(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
+    return [shingles(t, words, SEED) for t in texts(batch)]
+
+
 def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def _parities(own: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((own >> np.uint64(20) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(bool)).tobytes()
+    """One bit per residue of the hashes: odd or even.  The number of bits follows the size of the set and is a power of two."""
+    size = max(LEAST_BITS, 1 << max(0, 2 * len(own) - 1).bit_length())
+    at = (own >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(bool)).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """The parities of the same set in ``size`` bytes: halves of the longer ones add up."""
+    words = np.frombuffer(sketch, np.uint64)
+    while len(words) * 8 > size:
+        words = words[:len(words) // 2] ^ words[len(words) // 2:]
+    return words
+
+
+def _apart(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the parities of each pair differ, in the length of the shorter ones; ``a`` and ``b`` are places in the list."""
+    lengths = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    shorter = np.minimum(lengths[a], lengths[b])
+    result = np.empty(len(a), np.int64)
+    for size in np.unique(shorter).tolist():
+        pairs = np.flatnonzero(shorter == size)
+        for start in range(0, len(pairs), max(1, STEP_BYTES // size)):
+            own = pairs[start:start + max(1, STEP_BYTES // size)]
+            used, where = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
+            rows = np.stack([_folded(sketches[k], size) for k in used.tolist()])
+            result[own] = np.bitwise_count(rows[where[:len(own)]] ^ rows[where[len(own):]]).sum(axis=1)
+    return result
 
 
 def _named(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, mark, node, n, parities, slot, seen): the set of each row, and how often slots common in a task were met."""
-    names = ["doc_id", "mark", "node", "n", "parities", "slot", "seen"]
+    """Rows (doc_id, mark, node, n, parities, bits, cell, slot, seen): set and fingerprint of each row, and how often slots common in a task were met."""
+    names = ["doc_id", "mark", "node", "n", "parities", "bits", "cell", "slot", "seen"]
 
     def run(batches):
         let_go()
         seen = np.zeros(SLOTS, np.int64)
         for batch in slices(batches, CHUNK_BYTES):
-            each, nodes = _sets(batch, words)
+            hashes = _hashes(batch, words)
+            bits = fingerprints.fingerprint_bits(np.concatenate(hashes), np.fromiter(map(len, hashes), np.int64, len(hashes)))
+            each, nodes = _sets(hashes)
             seen += np.bincount(_slots(np.concatenate(each)), minlength=SLOTS)
             none = pa.nulls(len(nodes), pa.int64())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in each], pa.int64()),
-                pa.array([_parities(s) for s in each], pa.binary()), none, none], names)
+                pa.array([_parities(s) for s in each], pa.binary()), pa.array(bits.view(np.int64)),
+                pa.array(fingerprints.cell_of(bits).view(np.int64)), none, none], names)
         slots = np.flatnonzero(seen >= max(8, 4 * seen.mean()))
         none = pa.nulls(len(slots), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.nulls(len(slots), pa.binary()), pa.array(slots), pa.array(seen[slots])], names)
+            [none, none, none, none, pa.nulls(len(slots), pa.binary()), none, none, pa.array(slots), pa.array(seen[slots])], names)
 
-    rows = docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, node long, n long, parities binary, slot long, seen long")
+    rows = docs.select("doc_id", "mark", "text").mapInArrow(
+        run, "doc_id long, mark long, node long, n long, parities binary, bits long, cell long, slot long, seen long")
     return materialise(rows, "copies-sets")
 
 
@@ -90,7 +138,7 @@ def _shared(docs: DataFrame, levels: np.ndarray, similarity: float, words: int)
     def run(batches):
         for batch in slices(batches, CHUNK_BYTES):
             parts = []
-            each, nodes = _sets(batch, words)
+            each, nodes = _sets(_hashes(batch, words))
             for own, node in {int(k): (s, k) for s, k in zip(each, nodes)}.values():
                 n = len(own)
                 if n:
@@ -116,31 +164,29 @@ def _checked(pairs: DataFrame, docs: DataFrame, named: DataFrame, similarity: fl
         pairs = pairs.join(sketch.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parities").alias(f"p_{side}")), side)
 
     def may(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(column(batch, c)), np.uint64).reshape(-1, 16) for c in ("p_u", "p_v"))
+        for batch in slices(batches, CHUNK_BYTES, "p_u"):
+            places = np.arange(batch.num_rows)
+            apart = _apart(column(batch, "p_u") + column(batch, "p_v"), places, places + batch.num_rows)
             most = (np.asarray(batch.column(2)) + np.asarray(batch.column(3))) * ((1 - similarity) / (1 + similarity)) + 1e-6
-            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most))
+            yield batch.select(["u", "v"]).filter(pa.array(apart <= most))
 
     pairs = pairs.select("u", "v", "n_u", "n_v", "p_u", "p_v").mapInArrow(may, "u long, v long")
     pairs = materialise(pairs, "copies-pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    marks = named.where("node is not null").groupBy("node").agg(F.min("mark").alias("mark"))
-    marks = materialise(marks.join(nodes, "node", "left_semi"), "copies-marks")
+    marks = named.where("node is not null").groupBy("node").agg(F.min("mark").alias("mark")).join(nodes, "node", "left_semi")
+    wanted = np.zeros(8 * SLOTS, bool)  # which texts are looked at; one too many does no harm
+    for r in marks.select(F.expr(f"mark & {len(wanted) - 1}").alias("slot")).distinct().toLocalIterator():
+        wanted[r["slot"]] = True
+    wanted = np.packbits(wanted)
 
     def pack(batches):
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, CHUNK_BYTES):
-            packed = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["mark", "packed"])
-
-    def name(batches):
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            found = [np.unique(shingles(unpacker.decompress(p).decode("utf-8", "surrogatepass"), words, SEED)) for p in column(batch, "packed")]
-            names = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found), np.uint64, len(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), batch.column(0)], ["node", "packed"])
+            slots = np.asarray(batch.column(0)) & (8 * len(wanted) - 1)
+            for part in slices([batch.filter(pa.array((wanted[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool)))], CHUNK_BYTES):
+                _, names = _sets(_hashes(part, words))
+                packed = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts(part)]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(packed, pa.binary())], ["node", "packed"])
 
     def run(batches):
         unpacker = zstandard.ZstdDecompressor()
@@ -157,9 +203,8 @@ def _checked(pairs: DataFrame, docs: DataFrame, named: DataFrame, similarity: fl
                         out.append((u, v))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    packed = docs.select("mark", "text").mapInArrow(pack, "mark long, packed binary")
-    own = packed.join(marks.select("mark"), "mark", "left_semi").select("packed")
-    own = materialise(own.mapInArrow(name, "node long, packed binary").dropDuplicates(["node"]), "copies-own")
+    own = docs.select("mark", "text").mapInArrow(pack, "node long, packed binary").join(nodes, "node", "left_semi")
+    own = materialise(own.dropDuplicates(["node"]), "copies-own")
     leaders = own.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(
         F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "packed")
     others = pairs.join(own.withColumnRenamed("node", "v"), "v").select("u", "v", "packed")
@@ -168,6 +213,14 @@ def _checked(pairs: DataFrame, docs: DataFrame, named: DataFrame, similarity: fl
     return materialise(sides.mapInArrow(run, "u long, v long"), "copies-links")
 
 
+def _printed(named: DataFrame) -> DataFrame:
+    """Pairs (u, v) that SimHash proposes: sets of one fingerprint with one of them, and fingerprints linked on the popcount grid."""
+    rows = named.where("n > 0").select("bits", "cell", "node").distinct()
+    least = materialise(rows.groupBy("bits", "cell").agg(F.min("node").alias("node")), "copies-prints")
+    same = rows.join(least.select("bits", F.col("node").alias("u")), "bits").where("u <> node").select("u", F.col("node").alias("v"))
+    return same.union(fingerprints.links(least)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _led(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs of each node with the leader among those of its size that have the same shingle."""
     rows = shared.withColumn("band", F.floor(F.log("n") / -math.log((1 + similarity) / 2)))
@@ -175,59 +228,82 @@ def _led(shared: DataFrame, similarity: float) -> DataFrame:
     return rows.join(leaders, ["token", "band"]).where("u <> node").select("u", F.col("node").alias("v")).distinct()
 
 
-def _open(shared: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of nodes with a common shingle that are not joined yet and large enough for each other."""
+def _open(shared: DataFrame, joined: DataFrame, named: DataFrame, similarity: float, nearest: int) -> DataFrame:
+    """Pairs of nodes with a common shingle that are not joined yet, large enough for each other and near enough by their parities.
+
+    A node takes its ``nearest`` ones among those before it of each shingle; a row without nodes tells that one had more.
+    """
     rows = shared.join(joined, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
     rows = materialise(rows, "copies-parts")
-    several = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    rows = rows.join(materialise(several, "copies-open"), "token", "left_semi")
+    several = rows.groupBy("token").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("met")).where("low <> high").select("token", "met")
+    rows = rows.join(materialise(several, "copies-open"), "token")
+    sketch = named.where("node is not null").select("node", "parities").dropDuplicates(["node"])
+    names = ["token", "node", "n", "pos", "part", "parities"]
+    few = rows.where(F.col("met") <= FEW).withColumn("parities", F.lit(None).cast("binary")).select(names)
+    rows = few.union(rows.where(F.col("met") > FEW).join(sketch, "node").select(names))
 
     def run(batches):
-        token, held, new = None, np.empty((0, 4), np.int64), []
+        token, held, sketches, new = None, np.empty((0, 4), np.int64), [], []
+        cut = False
 
-        def flush(held, new, last=True):
+        def flush(held, sketches, new, last=True):
             """Pairs of the new rows with those before them, and what later rows can still meet."""
-            if last and not len(held) and len(new) <= 6:  # most shingles are those of a few documents
-                return [[(x[0], y[0])] for k, y in enumerate(new) for x in new[:k]
-                        if x[3] != y[3] and x[1] >= _least(y[1], similarity)], held
-            new = np.array(new, np.int64).reshape(-1, 4)
-            every = np.concatenate([held, new])
+            nonlocal cut
+            if last and not len(held) and len(new) <= FEW:  # most shingles are those of a few documents
+                found = [(x[0], y[0]) for k, y in enumerate(new) for x in new[:k] if x[3] != y[3] and x[1] >= _least(y[1], similarity)]
+                return [np.array(found, np.int64)] if found else [], held, sketches
+            every = np.concatenate([held, np.array([r[:4] for r in new], np.int64).reshape(-1, 4)])
+            marks = sketches + [r[4] for r in new]
             node, n, pos, part = every.T
             found = []
-            for start in range(len(held), len(every), BLOCK):
-                i = np.arange(start, min(start + BLOCK, len(every)))[:, None]
+            step = max(1, STEP_PAIRS // max(1, len(every)))
+            for start in range(len(held), len(every), step):
+                i = np.arange(start, min(start + step, len(every)))[:, None]
                 j = np.arange(i[-1, 0] + 1)[None, :]
                 least = np.ceil((n[i] + n[j]) * (similarity / (1 + similarity)) - 1e-9)
                 most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
                 a, b = np.nonzero((j < i) & (part[i] != part[j]) & (n[j] >= _least(n[i], similarity)) & (most >= least))
-                found.append(np.stack([node[b], node[a + start]], axis=1))
-            return found, every[n >= _least(n[-1], similarity)] if len(every) else every
+                a += start
+                apart = _apart(marks, a, b)
+                near = np.flatnonzero(apart <= (n[a] + n[b]) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+                near = near[np.lexsort((apart[near], a[near]))]
+                a, b = a[near], b[near]
+                first = np.searchsorted(a, a)  # where the pairs of the same row begin
+                few = np.arange(len(a)) - first < nearest
+                cut |= not few.all()
+                found.append(np.stack([node[b[few]], node[a[few]]], axis=1))
+            stay = np.flatnonzero(n >= _least(n[-1], similarity)) if len(every) else []
+            return found, every[stay], [marks[k] for k in stay]
 
         def out(found):
-            pairs = np.sort(np.concatenate(found), axis=1)
-            pairs = np.unique(pairs, axis=0)
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
 
-        found = []
+        found, size = [], 0
         for batch in batches:
-            for t, *row in zip(*(column(batch, c) for c in ("token", "node", "n", "pos", "part"))):
+            for t, *row in zip(*(column(batch, c) for c in ("token", "node", "n", "pos", "part", "parities"))):
+                more = []
                 if t != token:
-                    found += flush(held, new)[0]
-                    token, held, new = t, held[:0], []
-                elif len(new) >= BLOCK:
-                    more, held = flush(held, new, False)
-                    found += more
+                    more = flush(held, sketches, new)[0]
+                    token, held, sketches, new = t, held[:0], [], []
+                elif len(new) >= max(BLOCK, FEW + 1):
+                    more, held, sketches = flush(held, sketches, new, False)
                     new = []
                 new.append(row)
-                if len(found) > 1000:
+                found += more
+                size += sum(map(len, more))
+                if size > STEP_PAIRS or len(found) > STEP_PAIRS:
                     yield out(found)
-                    found = []
-        found += flush(held, new)[0]
+                    found, size = [], 0
+        found += flush(held, sketches, new)[0]
         if found:
             yield out(found)
+        if cut:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, ["u", "v"])
 
-    rows = rows.repartition("token").sortWithinPartitions("token", "n").select("token", "node", "n", "pos", "part")
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    rows = rows.repartition("token").sortWithinPartitions("token", "n")
+    return materialise(rows.mapInArrow(run, "u long, v long").distinct(), "copies-near")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -241,9 +317,17 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE
     docs = docs.withColumn("mark", F.xxhash64("text"))
     named = _named(docs, words)
     shared = _shared(docs, _levels(named), similarity, words)
-    first = _checked(_led(shared, similarity), docs, named, similarity, words)
-    rest = _checked(_open(shared, components(first), similarity), docs, named, similarity, words)
-    found = components(first.union(rest))
+    tried = materialise(_printed(named).union(_led(shared, similarity)).distinct(), "copies-tried")
+    links = _checked(tried, docs, named, similarity, words)
+    nearest, cut = NEAREST, True
+    while cut:
+        near = _open(shared, components(links), named, similarity, nearest)
+        cut = not near.where("u is null").isEmpty()
+        near = near.where("u is not null")
+        links = links.union(_checked(near.join(tried, ["u", "v"], "left_anti"), docs, named, similarity, words))
+        tried = tried.union(near)
+        nearest *= MORE
+    found = components(links)
     rows = named.where("node is not null").select("doc_id", "node")
     least = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(found, "node", "left")
     least = materialise(least.select("node", "doc_id", F.coalesce("component", "node").alias("part")), "copies-nodes")

@@ -58,3 +58,39 @@ def test_all_pairs_are_checked_without_leaders(spark, monkeypatch):
     texts = corpus()
     found = {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs(spark, texts)).collect()}
     assert found == dict(enumerate(slow_groups(texts)))
+
+
+def variants(size):
+    """Copies of one text with a few words changed at places of their own: many pairs lie just under the similarity."""
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(150)]
+    made = []
+    for k in range(size):
+        text = list(base)
+        for place in rng.sample(range(150), rng.choice([1, 2, 3])):
+            text[place] = f"x{k}"
+        made.append(" ".join(text))
+    return made
+
+
+def test_fingerprints_propose_pairs_first(spark, monkeypatch):
+    asked = []
+    links = fingerprints.links
+    monkeypatch.setattr(fingerprints, "links", lambda frame: asked.append(frame.count()) or links(frame))
+    texts = corpus()
+    kept = {r["doc_id"] for r in fingerprints.deduplicated(docs(spark, texts)).collect()}
+    assert kept == set(slow_groups(texts))
+    assert len(asked) == 1 and asked[0] > 40
+
+
+def test_a_large_group_of_near_copies_takes_few_pairs_a_member(spark, monkeypatch):
+    texts = variants(300) + corpus()
+    expected = dict(enumerate(slow_groups(texts)))
+    checked = []
+    check = near_copies._checked
+    monkeypatch.setattr(near_copies, "_checked", lambda pairs, *rest: checked.append(pairs.count()) or check(pairs, *rest))
+    for nearest in (3, 1):
+        monkeypatch.setattr(near_copies, "NEAREST", nearest)
+        checked.clear()
+        assert {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs(spark, texts)).collect()} == expected
+        assert sum(checked[1:]) < 20 * len(texts)  # all pairs of the group are 44,850
