@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietlog.llm.common import column, slices, texts
-from quietlog.llm.encoding import encoder, with_end
+from quietlog.llm.encoding import KEPT_PIECES, encoder, with_end
 from quietlog.session import scratch_dir
 
 SEQUENCE = 1024
@@ -23,7 +23,7 @@ CHUNK_BYTES = 1 << 20
 NUMBERED = 200_000
 
 
-def pieces(docs: DataFrame, file: str, end: int, sequence: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, file: str, end: int, sequence: int = SEQUENCE, kept: int = KEPT_PIECES) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids) of all documents, written once.
 
     Documents of more than ``sequence`` ids are cut into pieces of that length; the first one is shorter
@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, file: str, end: int, sequence: int = SEQUENCE) -> Da
     are little-endian unsigned 32-bit integers.
     """
     def run(batches):
-        code = encoder(file)
+        code = encoder(file, kept)
         for batch in slices(batches, CHUNK_BYTES):
             ids, counts = with_end(*code.encode(texts(batch)), end)
             data = memoryview(ids.astype("<u4").tobytes())
@@ -193,14 +193,15 @@ def numbered(rows: DataFrame) -> DataFrame:
         "row", "length", (F.col("within") + F.col("first")).alias("k"))
 
 
-def packed(docs: DataFrame, file: str, end: int, sequence: int = SEQUENCE) -> DataFrame:
+def packed(docs: DataFrame, file: str, end: int, sequence: int = SEQUENCE, kept: int = KEPT_PIECES) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset), one per piece.
 
     Sequences hold at most ``sequence`` ids without gaps.  Rows with a null or a repeated
     doc_id are packed like others, each on its own.  An empty table gives no rows.
+    A worker keeps the ids of about ``kept`` pieces of text, which costs memory and saves time.
     """
     spark: SparkSession = docs.sparkSession
-    cut = pieces(docs, file, end, sequence)
+    cut = pieces(docs, file, end, sequence, kept)
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row per length
     places = slots(plan(histogram, sequence))
     lookup = defaultdict(lambda: ([], [], []))
