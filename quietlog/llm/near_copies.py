@@ -5,13 +5,14 @@ shingles, two sets of similarity s share one among the first n - ceil(s n) + 1 o
 filter), so pairs meet at such a shingle.  Parities of the shingles that fall on each bit, of at least
 twice as many bits as shingles, differ in no more bits than the sets differ in shingles: they rule out most pairs,
 the others are checked on the whole sets.  The order
-takes rare shingles first, by a table of counts that affects the work but not the result.
+takes rare shingles first, by a table of counts over all documents that affects the work but not the result: a shingle
+of d sets adds d to its counter, so however large the table of documents, the common ones stand out and come last.
 
 SimHash goes first: fingerprints of the same shingles meet on the popcount grid of operator 1, and what they link
 is checked, together with one leader per shingle and size.  Fingerprints of two bits alone would miss most
 pairs of that similarity, so the rest is found by the prefix filter.  There each set takes its nearest few of other
-groups by parities, groups grow by what is confirmed, and the next round takes more, until no set has any left:
-a large group of near copies costs a few pairs a member, and no pair is left out.
+groups by parities, groups grow by what is confirmed, and the next round takes more of the shingles that had more, until
+none has any left: a large group of near copies costs a few pairs a member, and no pair is left out.
 """
 
 import math
@@ -24,15 +25,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietlog.llm import fingerprints
-from quietlog.llm.common import column, components, let_go, shingles, slices, texts
+from quietlog.llm.common import column, components, let_go, pack, shingles, slices, texts, unpack
 from quietlog.sources.tables import materialise
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SEED = 42
 CHUNK_BYTES = 2 << 20
-#: Counters of shingles, and rows of one shingle that are compared at once.
-SLOTS, BLOCK = 1 << 20, 1024
+#: Counters of shingles, the ranges they are summed in, and rows of one shingle that are compared at once.
+SLOTS, RANGES, BLOCK = 1 << 22, 64, 1024
+#: Marks of texts that are looked at.
+MARKS = 1 << 23
 #: Pairs of a set that the first round takes from each shingle, and how many times as many each further round takes.
 NEAREST, MORE = 3, 8
 #: Pairs that are held, and bytes of parities that are compared, at once.
@@ -94,39 +97,58 @@ def _apart(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _named(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, mark, node, n, parities, bits, cell, slot, seen): set and fingerprint of each row, and how often slots common in a task were met."""
-    names = ["doc_id", "mark", "node", "n", "parities", "bits", "cell", "slot", "seen"]
+    """Rows (doc_id, mark, node, n, parities, bits, cell, part, seen): set and fingerprint of each row, and what a task has counted in each range of slots."""
+    names = ["doc_id", "mark", "node", "n", "parities", "bits", "cell", "part", "seen"]
 
     def run(batches):
         let_go()
-        seen = np.zeros(SLOTS, np.int64)
+        seen = np.zeros(SLOTS, np.uint32)
         for batch in slices(batches, CHUNK_BYTES):
             hashes = _hashes(batch, words)
             bits = fingerprints.fingerprint_bits(np.concatenate(hashes), np.fromiter(map(len, hashes), np.int64, len(hashes)))
             each, nodes = _sets(hashes)
-            seen += np.bincount(_slots(np.concatenate(each)), minlength=SLOTS)
-            none = pa.nulls(len(nodes), pa.int64())
+            np.add.at(seen, _slots(np.concatenate(each)), 1)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in each], pa.int64()),
                 pa.array([_parities(s) for s in each], pa.binary()), pa.array(bits.view(np.int64)),
-                pa.array(fingerprints.cell_of(bits).view(np.int64)), none, none], names)
-        slots = np.flatnonzero(seen >= max(8, 4 * seen.mean()))
-        none = pa.nulls(len(slots), pa.int64())
+                pa.array(fingerprints.cell_of(bits).view(np.int64)), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.binary())], names)
+        none = pa.nulls(RANGES, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.nulls(len(slots), pa.binary()), none, none, pa.array(slots), pa.array(seen[slots])], names)
+            [none, none, none, none, pa.nulls(RANGES, pa.binary()), none, none, pa.array(range(RANGES), pa.int64()),
+             pa.array([pack(x) for x in np.split(seen, RANGES)], pa.binary())], names)
 
     rows = docs.select("doc_id", "mark", "text").mapInArrow(
-        run, "doc_id long, mark long, node long, n long, parities binary, bits long, cell long, slot long, seen long")
+        run, "doc_id long, mark long, node long, n long, parities binary, bits long, cell long, part long, seen binary")
     return materialise(rows, "copies-sets")
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts in 256 steps: fine around what most slots have by chance, by powers above."""
+    usual = np.median(counts)
+    over = (counts - usual) / max(1.0, math.sqrt(usual))
+    return np.where(over < 4, np.clip(16 * over + 64, 0, 127), np.minimum(255, 128 + 4 * np.log2(np.maximum(over, 4) / 4))).astype(np.uint8)
+
+
 def _levels(named: DataFrame) -> np.ndarray:
-    """How common the shingles of each slot are: zero for most, else the logarithm of their count."""
-    counts = named.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen"))
-    levels = np.zeros(SLOTS, np.uint8)
-    for r in counts.toLocalIterator():
-        levels[r["slot"]] = int(math.log2(r["seen"]))
-    return levels
+    """How common the shingles of each slot are among all rows."""
+    def add(batches):
+        part, counts = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pack(_level(counts))], pa.binary())], ["part", "levels"])
+        for batch in batches:
+            for k, seen in zip(column(batch, "part"), column(batch, "seen")):
+                if k != part:
+                    if part is not None:
+                        yield done()
+                    part, counts = k, np.zeros(SLOTS // RANGES, np.int64)
+                counts += unpack(seen, np.uint32)
+        if part is not None:
+            yield done()
+
+    rows = named.where("part is not null").select("part", "seen").repartition("part").sortWithinPartitions("part")
+    levels = np.zeros((RANGES, SLOTS // RANGES), np.uint8)
+    for r in rows.mapInArrow(add, "part long, levels binary").collect():  # as large for any input
+        levels[r["part"]] = unpack(r["levels"], np.uint8)
+    return levels.reshape(-1)
 
 
 def _shared(docs: DataFrame, levels: np.ndarray, similarity: float, words: int) -> DataFrame:
@@ -174,7 +196,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, named: DataFrame, similarity: fl
     pairs = materialise(pairs, "copies-pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     marks = named.where("node is not null").groupBy("node").agg(F.min("mark").alias("mark")).join(nodes, "node", "left_semi")
-    wanted = np.zeros(8 * SLOTS, bool)  # which texts are looked at; one too many does no harm
+    wanted = np.zeros(MARKS, bool)  # which texts are looked at; one too many does no harm
     for r in marks.select(F.expr(f"mark & {len(wanted) - 1}").alias("slot")).distinct().toLocalIterator():
         wanted[r["slot"]] = True
     wanted = np.packbits(wanted)
@@ -231,7 +253,7 @@ def _led(shared: DataFrame, similarity: float) -> DataFrame:
 def _open(shared: DataFrame, joined: DataFrame, named: DataFrame, similarity: float, nearest: int) -> DataFrame:
     """Pairs of nodes with a common shingle that are not joined yet, large enough for each other and near enough by their parities.
 
-    A node takes its ``nearest`` ones among those before it of each shingle; a row without nodes tells that one had more.
+    A node takes its ``nearest`` ones among those before it of each shingle; a row without u names, as v, a shingle where one had more.
     """
     rows = shared.join(joined, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
     rows = materialise(rows, "copies-parts")
@@ -245,7 +267,7 @@ def _open(shared: DataFrame, joined: DataFrame, named: DataFrame, similarity: fl
 
     def run(batches):
         token, held, sketches, new = None, np.empty((0, 4), np.int64), [], []
-        cut = False
+        cut, more_at = False, []
 
         def flush(held, sketches, new, last=True):
             """Pairs of the new rows with those before them, and what later rows can still meet."""
@@ -286,7 +308,9 @@ def _open(shared: DataFrame, joined: DataFrame, named: DataFrame, similarity: fl
                 more = []
                 if t != token:
                     more = flush(held, sketches, new)[0]
-                    token, held, sketches, new = t, held[:0], [], []
+                    if cut:
+                        more_at.append(token)
+                    token, held, sketches, new, cut = t, held[:0], [], [], False
                 elif len(new) >= max(BLOCK, FEW + 1):
                     more, held, sketches = flush(held, sketches, new, False)
                     new = []
@@ -300,7 +324,9 @@ def _open(shared: DataFrame, joined: DataFrame, named: DataFrame, similarity: fl
         if found:
             yield out(found)
         if cut:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, ["u", "v"])
+            more_at.append(token)
+        if more_at:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(more_at), pa.int64()), pa.array(more_at, pa.int64())], ["u", "v"])
 
     rows = rows.repartition("token").sortWithinPartitions("token", "n")
     return materialise(rows.mapInArrow(run, "u long, v long").distinct(), "copies-near")
@@ -319,13 +345,17 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE
     shared = _shared(docs, _levels(named), similarity, words)
     tried = materialise(_printed(named).union(_led(shared, similarity)).distinct(), "copies-tried")
     links = _checked(tried, docs, named, similarity, words)
-    nearest, cut = NEAREST, True
-    while cut:
+    nearest = NEAREST
+    while True:
         near = _open(shared, components(links), named, similarity, nearest)
-        cut = not near.where("u is null").isEmpty()
+        cut = materialise(near.where("u is null").select(F.col("v").alias("token")), "copies-cut")
         near = near.where("u is not null")
         links = links.union(_checked(near.join(tried, ["u", "v"], "left_anti"), docs, named, similarity, words))
+        if cut.isEmpty():
+            break
         tried = tried.union(near)
+        # All pairs of the other shingles have been tried.
+        shared = materialise(shared.join(cut, "token", "left_semi"), "copies-rest")
         nearest *= MORE
     found = components(links)
     rows = named.where("node is not null").select("doc_id", "node")

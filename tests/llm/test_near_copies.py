@@ -94,3 +94,26 @@ def test_a_large_group_of_near_copies_takes_few_pairs_a_member(spark, monkeypatc
         checked.clear()
         assert {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs(spark, texts)).collect()} == expected
         assert sum(checked[1:]) < 20 * len(texts)  # all pairs of the group are 44,850
+
+
+def test_common_shingles_come_last_however_they_are_spread(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"own{rng.random()}" for _ in range(60)) + " " + passage for _ in range(64)]  # four to a task
+    shared = []
+    make = near_copies._shared
+    monkeypatch.setattr(near_copies, "_shared", lambda *args: shared.append(make(*args)) or shared[-1])
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs(spark, texts).repartition(16)).collect()}
+    assert found == dict(enumerate(slow_groups(texts)))
+    assert shared[0].count() == 0
+
+
+def test_later_rounds_visit_only_shingles_that_had_more(spark, monkeypatch):
+    texts = variants(120) + corpus()
+    visited = []
+    visit = near_copies._open
+    monkeypatch.setattr(near_copies, "_open", lambda shared, *rest: visited.append(shared.select("token").distinct().count()) or visit(shared, *rest))
+    monkeypatch.setattr(near_copies, "NEAREST", 1)
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs(spark, texts)).collect()}
+    assert found == dict(enumerate(slow_groups(texts)))
+    assert len(visited) > 1 and visited[1] < visited[0] / 2
