@@ -92,3 +92,19 @@ def test_anchors_of_equal_strings_agree():
         at = text.find(shared)
         found.append([d for w in range(at, at + 21) for a, b, d in zip(first, last, digests) if a <= w <= b])
     assert found[0] == found[1] and len(found[0]) == 21
+
+
+def test_runs_whose_phrases_occur_once_are_not_compared(spark):
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    # Shorter than a string, so it makes candidates and no repeated string; the longer one is repeated.
+    short, long = say(390), say(900)
+    texts = [say(500) + short + say(500) for _ in range(4)] + [say(200) + long + say(200) for _ in range(2)]
+    candidates = repeated_passages._candidates(repeated_passages._prepared(docs(spark, texts)), 400)
+    rows = repeated_passages._members(candidates, 400).where("inner is not null").collect()
+    weight = Counter()
+    for r in rows:
+        weight[r["inner"]] += r["weight"]
+    assert rows and min(weight.values()) > 1
+    assert candidates.count() == 6
+    assert got(repeated_passages.report(docs(spark, texts))) == expected(range(len(texts)), texts, 400)
