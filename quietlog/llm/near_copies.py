@@ -122,6 +122,13 @@ def _named(docs: DataFrame, words: int) -> DataFrame:
     return materialise(rows, "copies-sets")
 
 
+def _distinct(named: DataFrame) -> DataFrame:
+    """Rows (node, doc_id, mark, n, parities), one per set: smallest doc_id and mark of its rows."""
+    rows = named.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("parities").alias("parities"))
+    return materialise(rows, "copies-distinct")
+
+
 def _level(counts: np.ndarray) -> np.ndarray:
     """Counts in 256 steps: fine around what most slots have by chance, by powers above."""
     usual = np.median(counts)
@@ -175,15 +182,28 @@ def _shared(docs: DataFrame, levels: np.ndarray, similarity: float, words: int)
     return materialise(several.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "copies-shared")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, named: DataFrame, similarity: float, words: int) -> DataFrame:
+def _wanted(marks: DataFrame) -> np.ndarray:
+    """One bit per residue of the marks, low bits first: which texts are looked at; one too many does no harm.
+
+    Tasks build the bits, so one job brings as many bytes for any input.
+    """
+    slot = marks.select(F.expr(f"mark & {MARKS - 1}").alias("slot")).withColumn("slot", F.col("slot") + 1)  # Spark counts them from 1
+    rows = slot.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    wanted = np.zeros(MARKS >> 3, np.uint8)
+    for r in rows.collect():
+        start = (r["part"] - 1) * len(r["bits"])
+        wanted[start:start + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)[:len(wanted) - start]
+    return wanted
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float, words: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the similarity.
 
     Texts are compressed before they move.  The text of v goes to each of its pairs; that of u is sent once, and
     its pairs stream past its set.
     """
-    sketch = named.where("node is not null").select("node", "n", "parities").dropDuplicates(["node"])
     for side in ("u", "v"):
-        pairs = pairs.join(sketch.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parities").alias(f"p_{side}")), side)
+        pairs = pairs.join(distinct.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parities").alias(f"p_{side}")), side)
 
     def may(batches):
         for batch in slices(batches, CHUNK_BYTES, "p_u"):
@@ -195,17 +215,13 @@ def _checked(pairs: DataFrame, docs: DataFrame, named: DataFrame, similarity: fl
     pairs = pairs.select("u", "v", "n_u", "n_v", "p_u", "p_v").mapInArrow(may, "u long, v long")
     pairs = materialise(pairs, "copies-pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    marks = named.where("node is not null").groupBy("node").agg(F.min("mark").alias("mark")).join(nodes, "node", "left_semi")
-    wanted = np.zeros(MARKS, bool)  # which texts are looked at; one too many does no harm
-    for r in marks.select(F.expr(f"mark & {len(wanted) - 1}").alias("slot")).distinct().toLocalIterator():
-        wanted[r["slot"]] = True
-    wanted = np.packbits(wanted)
+    wanted = _wanted(distinct.select("node", "mark").join(nodes, "node", "left_semi"))
 
     def pack(batches):
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             slots = np.asarray(batch.column(0)) & (8 * len(wanted) - 1)
-            for part in slices([batch.filter(pa.array((wanted[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool)))], CHUNK_BYTES):
+            for part in slices([batch.filter(pa.array((wanted[slots >> 3] >> (slots & 7) & 1).astype(bool)))], CHUNK_BYTES):
                 _, names = _sets(_hashes(part, words))
                 packed = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts(part)]
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(packed, pa.binary())], ["node", "packed"])
@@ -250,7 +266,7 @@ def _led(shared: DataFrame, similarity: float) -> DataFrame:
     return rows.join(leaders, ["token", "band"]).where("u <> node").select("u", F.col("node").alias("v")).distinct()
 
 
-def _open(shared: DataFrame, joined: DataFrame, named: DataFrame, similarity: float, nearest: int) -> DataFrame:
+def _open(shared: DataFrame, joined: DataFrame, distinct: DataFrame, similarity: float, nearest: int) -> DataFrame:
     """Pairs of nodes with a common shingle that are not joined yet, large enough for each other and near enough by their parities.
 
     A node takes its ``nearest`` ones among those before it of each shingle; a row without u names, as v, a shingle where one had more.
@@ -260,10 +276,9 @@ def _open(shared: DataFrame, joined: DataFrame, named: DataFrame, similarity: fl
     several = rows.groupBy("token").agg(
         F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("met")).where("low <> high").select("token", "met")
     rows = rows.join(materialise(several, "copies-open"), "token")
-    sketch = named.where("node is not null").select("node", "parities").dropDuplicates(["node"])
     names = ["token", "node", "n", "pos", "part", "parities"]
     few = rows.where(F.col("met") <= FEW).withColumn("parities", F.lit(None).cast("binary")).select(names)
-    rows = few.union(rows.where(F.col("met") > FEW).join(sketch, "node").select(names))
+    rows = few.union(rows.where(F.col("met") > FEW).join(distinct.select("node", "parities"), "node").select(names))
 
     def run(batches):
         token, held, sketches, new = None, np.empty((0, 4), np.int64), [], []
@@ -332,6 +347,17 @@ def _open(shared: DataFrame, joined: DataFrame, named: DataFrame, similarity: fl
     return materialise(rows.mapInArrow(run, "u long, v long").distinct(), "copies-near")
 
 
+def _grown(before: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) of more ``links`` than those of ``before``: only what they join is walked again."""
+    for side in ("u", "v"):
+        parts = before.select(F.col("node").alias(side), F.col("component").alias("part"))
+        links = links.join(parts, side, "left").withColumn(side, F.coalesce("part", side)).drop("part")
+    found = materialise(components(links), "copies-joined")
+    tops = found.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = before.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return materialise(moved.union(found.join(before, "node", "left_anti")), "copies-groups")
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
     """Rows (doc_id, component_id), one per row of ``docs``: the smallest doc_id reachable over similar documents.
 
@@ -342,24 +368,24 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("mark", F.xxhash64("text"))
     named = _named(docs, words)
+    distinct = _distinct(named)
     shared = _shared(docs, _levels(named), similarity, words)
     tried = materialise(_printed(named).union(_led(shared, similarity)).distinct(), "copies-tried")
-    links = _checked(tried, docs, named, similarity, words)
+    joined = materialise(components(_checked(tried, docs, distinct, similarity, words)), "copies-groups")
     nearest = NEAREST
     while True:
-        near = _open(shared, components(links), named, similarity, nearest)
+        near = _open(shared, joined, distinct, similarity, nearest)
         cut = materialise(near.where("u is null").select(F.col("v").alias("token")), "copies-cut")
         near = near.where("u is not null")
-        links = links.union(_checked(near.join(tried, ["u", "v"], "left_anti"), docs, named, similarity, words))
+        joined = _grown(joined, _checked(near.join(tried, ["u", "v"], "left_anti"), docs, distinct, similarity, words))
         if cut.isEmpty():
             break
         tried = tried.union(near)
         # All pairs of the other shingles have been tried.
         shared = materialise(shared.join(cut, "token", "left_semi"), "copies-rest")
         nearest *= MORE
-    found = components(links)
     rows = named.where("node is not null").select("doc_id", "node")
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(found, "node", "left")
+    least = distinct.select("node", "doc_id").join(joined, "node", "left")
     least = materialise(least.select("node", "doc_id", F.coalesce("component", "node").alias("part")), "copies-nodes")
     names = least.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least.select("node", "part").join(names, "part"), "node").select("doc_id", "component_id")

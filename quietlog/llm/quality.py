@@ -18,6 +18,8 @@ from quietlog.llm.common import let_go, slices, texts
 
 #: At most so many rows of each kind are learnt from, those of smallest hash.
 SAMPLE_ROWS = 6_000
+#: Parts in which they come to the driver.
+PARTS = 8
 CHUNK_BYTES = 1 << 20
 THRESHOLD = 0.3
 
@@ -149,7 +151,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
 def _texts_of(rows: DataFrame, ids: DataFrame) -> list[str]:
     """Texts of the sampled ``ids``, one each: of repeated rows the smallest text."""
     found = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return [r["text"] for r in sorted(found.toLocalIterator(), key=lambda r: r["doc_id"])]
+    return [r["text"] for r in sorted(found.coalesce(PARTS).toLocalIterator(), key=lambda r: r["doc_id"])]  # a job for each
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:

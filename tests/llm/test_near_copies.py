@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from quietlog.llm import fingerprints, near_copies
-from tests.llm.rows import docs
+from tests.llm.rows import docs, jobs
 
 
 def slow_sets(texts):
@@ -117,3 +119,33 @@ def test_later_rounds_visit_only_shingles_that_had_more(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs(spark, texts)).collect()}
     assert found == dict(enumerate(slow_groups(texts)))
     assert len(visited) > 1 and visited[1] < visited[0] / 2
+
+
+def test_jobs_do_not_grow_with_partitions(spark):
+    texts = corpus()[:120]
+    expected = dict(enumerate(slow_groups(texts)))
+    counts = []
+    for parts in (4, 48):
+        rows, n = jobs(spark, parts, lambda: near_copies.groups(docs(spark, texts)).collect())
+        assert {r["doc_id"]: r["component_id"] for r in rows} == expected
+        counts.append(n)
+    assert 0 < counts[1] < counts[0] + 30
+
+
+def test_marks_of_wanted_texts(spark):
+    marks = [0, 1, 7, 8, 32767, 32768, near_copies.MARKS - 1, near_copies.MARKS + 5, -1, -2, -(1 << 63), 5]
+    bits = near_copies._wanted(spark.createDataFrame([(m,) for m in marks], "mark long"))
+    found = np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()
+    assert len(bits) == near_copies.MARKS >> 3 and found == sorted({m % near_copies.MARKS for m in marks})
+    assert not near_copies._wanted(spark.createDataFrame([], "mark long")).any()
+
+
+def test_later_rounds_join_groups_by_new_links_alone(spark, monkeypatch):
+    texts = variants(120) + corpus()
+    walked = []
+    walk = near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda links, *rest: walked.append(links.where("u <> v").count()) or walk(links, *rest))
+    monkeypatch.setattr(near_copies, "NEAREST", 1)
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs(spark, texts)).collect()}
+    assert found == dict(enumerate(slow_groups(texts)))
+    assert len(walked) > 2 and walked[-1] < walked[0] / 2

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quietlog.llm import quality
-from tests.llm.rows import by_id, docs
+from tests.llm.rows import by_id, docs, jobs
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,12 @@ def test_odd_rows(spark, corpus):
 def test_features_are_bounded():
     rows = quality.features(["", "A", "é" * 10, "a\n" * 1000, "\n"])
     assert rows.shape == (5, quality.FEATURES) and np.isfinite(rows).all() and not rows[0, :-6].any()
+
+
+def test_jobs_do_not_grow_with_partitions(spark, corpus):
+    texts, good = corpus
+    labels = spark.createDataFrame(list(enumerate(good)), "doc_id long, quality int")
+    frame = docs(spark, texts[:300])
+    (few, n), (many, m) = (jobs(spark, parts, lambda: quality.fit(frame, labels)) for parts in (4, 48))
+    assert np.array_equal(few.weights, many.weights) and few.bias == many.bias and few.prior == many.prior
+    assert 0 < m < n + 30
