@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quietlog.functions.offsets import is_empty, message_count
 from quietlog.schema import STATE_COLUMNS
-from quietlog.sources.tables import materialise
+from quietlog.sources.tables import join_side, materialise
 
 
 def topic_epochs(listing: DataFrame) -> DataFrame:
@@ -209,24 +209,28 @@ def fold_scans(previous: DataFrame, listing: DataFrame, observations: DataFrame,
     """As ``fold_scan`` for each of ``scan_times`` in turn, in one pass whatever their number.
 
     ``observations`` has a row per asked partition; a topic is processed by the scans that asked
-    for it.  Intermediate tables are written by ``table``.
+    for it.  Intermediate tables are written by ``table``; joins with them go by their rows (``join_side``).
     """
     first, before = min(scan_times), min(scan_times) - 1
     known = previous.select("topic").distinct().withColumn("scan_time", F.lit(before).cast("bigint"))
     epochs = table(topic_epochs(listing.select("topic", "scan_time").unionByName(known)), "topic-epochs")
     returns = returns_of(epochs, table)
+    listed = epochs.count()
     processed = table(
-        observations.select("topic", "scan_time").distinct().join(epochs.select("topic", "scan_time", "epoch"), ["topic", "scan_time"]),
+        observations.select("topic", "scan_time").distinct().join(
+            join_side(epochs.select("topic", "scan_time", "epoch"), listed), ["topic", "scan_time"]),
         "processed-topics")
+    asked = processed.count()
     live = epochs.where(F.col("scan_time") == max(scan_times)).select("topic", "epoch")
+    live = join_side(live, live.count())
     # An epoch ends at the scan after its last listing; only topics of the state are deleted.
     times = F.array(*[F.lit(t).cast("bigint") for t in sorted(scan_times)])
     ends = epochs.groupBy("topic", "epoch").agg(F.max("scan_time").alias("until")).withColumn(
         "scan_time", F.get(F.filter(times, lambda t: t > F.col("until")), F.lit(0)))
     held = processed.select("topic", "epoch").unionByName(
         epochs.where((F.col("scan_time") == before) & (F.col("epoch") == 0)).select("topic", "epoch")).distinct()
-    ended = table(ends.where(F.col("scan_time").isNotNull()).join(held, ["topic", "epoch"], "left_semi").select(
-        "topic", "epoch", "scan_time"), "ended-topics")
+    ended = table(ends.where(F.col("scan_time").isNotNull()).join(
+        join_side(held, listed), ["topic", "epoch"], "left_semi").select("topic", "epoch", "scan_time"), "ended-topics")
 
     answers = observations.where(F.col("latest").isNotNull())
     earliest = F.coalesce(F.col("earliest"), F.lit(0))
@@ -234,7 +238,8 @@ def fold_scans(previous: DataFrame, listing: DataFrame, observations: DataFrame,
         "topic", "partition", "scan_time", F.col("latest").alias("offset"), F.lit(None).cast("bigint").alias("timestamp"),
         is_empty(F.col("latest"), earliest).alias("is_empty"), F.col("scan_time").alias("scanned_at"),
         message_count(F.col("latest"), earliest).alias("message_count"), F.col("scan_time").alias("last_update"))
-    seeds = previous.where(F.col("partition").isNotNull()).join(processed.select("topic").distinct(), "topic", "left_semi").select(*[
+    seeds = previous.where(F.col("partition").isNotNull()).join(
+        join_side(processed.select("topic").distinct(), asked), "topic", "left_semi").select(*[
         F.lit(before).cast("bigint").alias("scan_time") if n == "scan_time" else F.col(n) for n in fresh.columns])
     by_scan = Window.partitionBy("topic", "partition", "epoch").orderBy("scan_time")
     is_seed, offset = F.col("scan_time") < first, F.col("offset")
@@ -255,13 +260,13 @@ def fold_scans(previous: DataFrame, listing: DataFrame, observations: DataFrame,
     now = last.unionByName(markers, allowMissingColumns=True)
     lost = previous.join(ended.where("epoch = 0").select("topic"), "topic", "left_semi")
     changed = now.withColumn("deleted", F.lit(False)).unionByName(
-        lost.join(now.select(F.col("topic").alias("t"), F.col("partition").alias("p")),
+        lost.join(join_side(now.select(F.col("topic").alias("t"), F.col("partition").alias("p")), rows.count() + asked),
                   (F.col("topic") == F.col("t")) & F.col("partition").eqNullSafe(F.col("p")), "left_anti")
         .select(*STATE_COLUMNS).withColumn("deleted", F.lit(True)))
 
     kept = rows.withColumnRenamed("scan_time", "since").withColumn("scan_time", F.explode(
         F.filter(times, lambda t: (t >= F.col("since")) & (F.col("until").isNull() | (t < F.col("until"))))))
-    kept = kept.join(processed, ["topic", "epoch", "scan_time"], "left_semi").withColumn("observed", F.col("since") == F.col("scan_time"))
+    kept = kept.join(join_side(processed, asked), ["topic", "epoch", "scan_time"], "left_semi").withColumn("observed", F.col("since") == F.col("scan_time"))
     versions = kept.select(*STATE_COLUMNS, "scan_time", "observed").unionByName(
         processed.select("topic", "scan_time", F.lit(True).alias("observed")), allowMissingColumns=True)
     return ScansFold(changed, versions, ended.select("topic", "scan_time"))

@@ -100,7 +100,7 @@ class ChangeStore:
             body = [n for n in self._stored.names if n not in keys]
             changes = changes.groupBy(*keys).agg(F.max_by(F.struct(*body), "version").alias("row")).select(
                 *keys, *[F.col(f"row.{n}").alias(n) for n in body])
-            rows = same_keys(rows, changes, keys, "left_anti").unionByName(changes)
+            rows = changes if base is None else same_keys(rows, changes, keys, "left_anti").unionByName(changes)
         return rows.where(~F.col("deleted")).select(*self.schema.names, "version")
 
     def write(self, changes: DataFrame, batch_id: int) -> None:

@@ -12,6 +12,7 @@ from quietlog.plans.scan_cycle import run_scan, scan_once, scan_state
 from quietlog.schema import CHANGELOG, LISTING, OBSERVATION, STATE
 from quietlog.sources import changelog as log_source
 from quietlog.sources import watermarks
+from quietlog.sources.tables import join_side, materialise
 from tests.folds import fold_scans, of_state
 
 HOUR = 3600
@@ -215,3 +216,43 @@ def test_several_scans_in_one_pass(spark, seed, cuts):
         kept = [r for r in state.collect() if (r.topic, r.partition) not in keys]
         state = spark.createDataFrame([tuple(r) for r in kept] + [tuple(r)[:-1] for r in changed if not r.deleted], STATE)
         assert of_state(state, with_update=True) == fold_scans(held)
+
+
+def physical(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def threshold(spark):
+    """Sets what may be broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    yield lambda size: spark.conf.set(name, size)
+    spark.conf.set(name, before)
+
+
+def test_topics_times_scans_are_not_broadcast(spark, threshold):
+    """20,000 rows, whose files are below the threshold and whose memory is above it."""
+    rows = spark.range(20_000).select(
+        F.concat(F.lit("topic-"), F.col("id") % 1000).alias("topic"), F.lit(0).alias("partition"),
+        F.floor(F.col("id") / 1000).alias("scan_time"), F.col("id").alias("latest"), F.lit(0).cast("bigint").alias("earliest"))
+    rows, plans = materialise(rows, "scans"), {}
+
+    def table(frame, purpose):
+        plans[purpose] = physical(frame)
+        return materialise(frame, purpose)
+    threshold("300k")
+    fold = history.fold_scans(spark.createDataFrame([], STATE), rows, rows, range(20), table)
+    assert "SortMergeJoin" in plans["processed-topics"] and "BroadcastHashJoin" not in plans["processed-topics"]
+    assert "SortMergeJoin" in physical(fold.versions) and "BroadcastHashJoin" not in physical(fold.versions)
+    now = fold.changed.where("partition is not null")
+    assert now.count() == 1000 and now.where("offset = 19000 + substr(topic, 7) and timestamp = 19").count() == 1000
+    assert fold.versions.count() == 2 * 20_000
+
+
+def test_a_side_of_a_join_goes_by_its_rows(spark, threshold):
+    left, right = (materialise(spark.range(1000), "side") for _ in range(2))  # a row counts 16 bytes
+    broadcast, merge = "BroadcastHashJoin", "SortMergeJoin"
+    for size, rows, kind in (("16000b", 1000, broadcast), ("15999b", 1000, merge), ("15999b", 999, broadcast), ("-1", 1000, merge)):
+        threshold(size)
+        assert kind in physical(left.join(join_side(right, rows), "id"))

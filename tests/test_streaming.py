@@ -181,6 +181,16 @@ def test_a_repeated_batch_replaces_its_output(spark, tmp_path):
     assert {r.partition for r in store.read(spark, touched=touched).collect()} == {None, 3}
 
 
+def test_changes_are_only_joined_with_a_base(spark, tmp_path):
+    store = ChangeStore(str(tmp_path / "table"), STATE, ("topic", "partition"), every=3)
+    for n in range(3):
+        plan = store.read(spark, n - 1)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan  # nothing that would gather all rows for a base that is not there
+        store.write(spark.createDataFrame([("t", p, n, 1, False, 1, 1, None) for p in (0, n)], STATE), n)
+        assert {(r.partition, r.offset) for r in store.read(spark).collect()} == {(0, n), *((p, p) for p in range(1, n + 1))}
+    assert "Join" in store.read(spark, then=[spark.createDataFrame([], STATE)])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_used_folder_is_refused(spark, tmp_path):
     records = random_records(14, 40)
     feed(spark, tmp_path, records, 3, live.topic_view, live.read_topic_view)
